@@ -52,7 +52,7 @@ def features(values: list[bytes | None]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 20.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, c: float = 300.0) -> np.ndarray:
     """w (the last entry is the bias) of the squared hinge; y is 1 or -1, both sides weigh the same."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)

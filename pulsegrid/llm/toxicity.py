@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 BUCKETS, SAMPLE, LEAST, KEPT, FACTORS, PREFIX = 1 << 22, 12_000, 5, 1 << 14, 8, 5
+#: Least log-likelihood ratio of a kept term; chance terms would add up over long texts.
+TELLING = 8.0
 MEMO = 400_000
 #: ASCII letters lowered; all other ASCII is blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,7 +63,7 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 25, rate: float = 0.2, decay: float = 1e-5) -> Machine:
     """rows: the buckets present in each text."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     if not len(flat) or labels.min() == labels.max():
@@ -75,13 +77,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, rate: floa
     tell = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
     kept = np.flatnonzero(n >= LEAST)
     kept = np.sort(kept[np.argsort(-tell[kept], kind="stable")[:KEPT]])
-    kept = kept[tell[kept] > 2]
+    kept = kept[tell[kept] > TELLING]
     place = np.full(len(all_), -1)
     place[kept] = np.arange(len(kept))
     at = np.r_[0, np.cumsum([len(r) for r in rows])]
     x = [(lambda t: t[t >= 0])(place[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
     rng = np.random.default_rng(3)
-    w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)), float(np.log(share / (1 - share)))
+    odds = np.log((p[kept] + 1e-3) / (1 - p[kept] + 1e-3)) - np.log(share / (1 - share))
+    # Start from the terms' own odds, so that a term need not come in pairs to tell.
+    w, v, bias = 0.8 * np.clip(odds, -2, 4), rng.normal(0, 0.01, (len(kept), FACTORS)), float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(len(kept), 1e-6), np.full((len(kept), FACTORS), 1e-6), 1e-6
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     weight = weight / weight.mean()
@@ -104,7 +108,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, rate: floa
             gv[seen] += dv[seen] ** 2
             gb += err.sum() ** 2
             w[seen] -= rate * dw[seen] / np.sqrt(gw[seen])
-            v[seen] -= 0.2 * rate * dv[seen] / np.sqrt(gv[seen])
+            v[seen] -= 0.1 * rate * dv[seen] / np.sqrt(gv[seen])
             bias -= rate * err.sum() / np.sqrt(gb)
     return Machine(all_[kept], bias, w, v)
 
