@@ -1,0 +1 @@
+"""Activity analytics for open-source communities as Spark DataFrame operators."""

@@ -1,2 +1,326 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries of the activity operators and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import merge, metrics, reports, views
+from .plans.binding import CTES, Tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+AS_OF = "2001-06-01"
+
+
+def query(name: str, fn: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+    if sql:
+        sql = sql.strip()
+        ORACLE_SQL[name] = f"{CTES}, {sql[5:]}" if sql.startswith("with ") else f"{CTES} {sql}"
+
+
+def _trunc(period: str, column: str) -> str:
+    return f"cast(date_trunc('{period}', {column}) as timestamp)"
+
+
+def _period(name: str, rows: Callable[[Tables], DataFrame], column: str, source: str, period: str = "month", value=None, sql_value: str = "count(*)") -> None:
+    query(
+        name,
+        lambda t: metrics.per_period(rows(t), column, period, value() if value else None),
+        f"select repo_id, {_trunc(period, column)} as period, cast({sql_value} as bigint) as value from {source} where {column} is not null group by all",
+    )
+
+
+# Listings and predicates.
+query("repo_groups_list", lambda t: t.repo_groups, "select * from repo_groups")
+query("repos_list", lambda t: t.repos.join(t.repo_groups, "repo_group_id").select("repo_id", "repo_name", "rg_name", "repo_git"), "select repo_id, repo_name, rg_name, repo_git from repos join repo_groups using (repo_group_id)")
+query("repos_by_group", lambda t: t.repos.filter("repo_group_id = 2").select("repo_id", "repo_name"), "select repo_id, repo_name from repos where repo_group_id = 2")
+query("repo_lookup", lambda t: t.repos.filter((F.lower("repo_owner") == "asia") & (F.lower("repo_name") == F.lower(F.lit("INDIA")))).limit(1), "select * from repos where lower(repo_owner) = 'asia' and lower(repo_name) = 'india' limit 1")
+query(
+    "repo_search",
+    lambda t: t.repos.filter(F.lower("repo_name").contains("an") | F.lower("repo_owner").contains("an") | F.lower("repo_git").contains("an")).orderBy("repo_name", "repo_id").limit(20).select("repo_id", "repo_name"),
+    "select repo_id, repo_name from repos where lower(repo_name) like '%an%' or lower(repo_owner) like '%an%' or lower(repo_git) like '%an%' order by repo_name, repo_id limit 20",
+)
+query("group_page", lambda t: t.repos.filter("repo_group_id < 4").orderBy("repo_name", "repo_id").offset(5).limit(5).select("repo_id", "repo_name"), "select repo_id, repo_name from repos where repo_group_id < 4 order by repo_name, repo_id limit 5 offset 5")
+query("repos_in_list", lambda t: t.repos.filter(F.col("repo_id").isin(1, 3, 5, 99)), "select * from repos where repo_id in (1, 3, 5, 99)")
+query("items_not_closed", lambda t: t.items.filter(~F.col("state").eqNullSafe(F.lit("closed"))).select("id", "state"), "select id, state from items where state is distinct from 'closed'")
+query("commit_resolution_candidates", lambda t: t.commits.join(t.contributors.select(F.col("email").alias("author_email")).distinct(), "author_email", "left_anti").select("hash", "author_email").distinct(), "select distinct hash, author_email from commits where author_email not in (select email from contributors)")
+query("open_item_numbers", lambda t: t.issues.filter("closed_at is null").select("repo_id", "id"), "select repo_id, id from issues where closed_at is null")
+query(
+    "abandoned_issues",
+    lambda t: t.issues.filter(F.col("closed_at").isNull() & (F.year(F.lit(AS_OF).cast("date")) - F.year("created_at") >= 1)).select("id", "repo_id", "created_at"),
+    f"select id, repo_id, created_at from issues where closed_at is null and year(date '{AS_OF}') - year(created_at) >= 1",
+)
+query("issue_reporters", lambda t: t.issues.select("id", "repo_id", F.col("author_id").alias("reporter_id"), "created_at", "closed_at"), "select id, repo_id, author_id as reporter_id, created_at, closed_at from issues")
+query("pr_files", lambda t: t.pull_requests.join(t.commits.select(F.col("hash").alias("id"), "filename"), "id").select("id", "repo_id", F.coalesce(F.col("filename").cast("string"), F.lit("")).alias("path")), "select p.id, p.repo_id, coalesce(cast(filename as varchar), '') as path from pull_requests p join commits c on c.hash = p.id")
+query(
+    "compat_pull_requests",
+    lambda t: t.pull_requests.select("id", "repo_id", "created_at", "state").withColumnsRenamed({"id": "pull_request_id", "created_at": "pr_created_at", "state": "pr_src_state"}).withColumn("pr_created_at", F.col("pr_created_at").cast("timestamp_ntz")),
+    "select id as pull_request_id, repo_id, created_at as pr_created_at, state as pr_src_state from pull_requests",
+)
+query("url_rewrite", lambda t: t.repos.select("repo_id", F.replace("repo_git", F.lit("forge.example.org"), F.lit("code.example.net")).alias("repo_git")), "select repo_id, replace(repo_git, 'forge.example.org', 'code.example.net') as repo_git from repos")
+query("bad_timestamp_cleanup", lambda t: t.items.select("id", F.when(F.year("closed_at") >= 1995, F.col("closed_at")).alias("closed_at")), "select id, case when year(closed_at) >= 1995 then closed_at end as closed_at from items")
+query("git_suffix_cleanup", lambda t: t.repos.select("repo_id", S.repo_url(F.col("repo_git")).alias("url"), S.url_owner(F.col("repo_git")).alias("owner"), S.url_repo(F.col("repo_git")).alias("repo")), "select repo_id, regexp_replace(repo_git, '\\.git$', '') as url, repo_owner as owner, lower(repo_name) as repo from repos")
+query("libyear_list", lambda t: t.deps.select("repo_id", "name", F.coalesce("license", F.lit("")).alias("license"), "libyear"), "select repo_id, name, coalesce(license, '') as license, libyear from deps")
+query("page_urls", lambda t: t.raw("pages").select("page_id", S.trailing_number(F.col("url")).alias("number"), F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host")), r"select page_id, try_cast(nullif(regexp_extract(url, '(\d+)$', 1), '') as bigint) as number, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages")
+
+# Counts and period metrics.
+query("all_repo_prs", lambda t: t.pull_requests.groupBy("repo_id").agg(F.count("*").alias("prs")), "select repo_id, count(*) as prs from pull_requests group by 1")
+query("all_repos_commits", lambda t: t.commits.groupBy("repo_id").agg(F.count_distinct("hash").alias("commits")), "select repo_id, count(distinct hash) as commits from commits group by 1")
+query("all_repos_issues", lambda t: t.issues.groupBy("repo_id").agg(F.count("*").alias("issues")), "select repo_id, count(*) as issues from issues group by 1")
+query("entry_list", lambda t: t.repos.join(t.repo_groups, "repo_group_id").select("repo_git", "rg_name").distinct(), "select distinct repo_git, rg_name from repos join repo_groups using (repo_group_id)")
+query(
+    "daily_commits",
+    lambda t: t.commits.groupBy("repo_id", F.date_trunc("day", "authored_at").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("author_id").alias("committers")),
+    "select repo_id, cast(date_trunc('day', authored_at) as timestamp) as day, count(*) as n, count(distinct author_id) as committers from commits group by all",
+)
+query(
+    "libyear_by_month",  # every repository gets the average over all dependencies, as the view defines it
+    lambda t: t.repos.select("repo_id", "repo_name").crossJoin(t.deps.groupBy(F.month("collected_at").cast("long").alias("month")).agg(F.round(F.avg("libyear"), 6).alias("libyear"))),
+    "select repo_id, repo_name, month, libyear from repos, (select month(collected_at) as month, round(avg(libyear), 6) as libyear from deps group by 1)",
+)
+query(
+    "libyear_by_month_per_repo",
+    lambda t: t.deps.groupBy("repo_id", F.month("collected_at").cast("long").alias("month")).agg(F.round(F.avg("libyear"), 6).alias("libyear")),
+    "select repo_id, month(collected_at) as month, round(avg(libyear), 6) as libyear from deps group by all",
+)
+query("libyear_detail", lambda t: t.deps.groupBy("repo_id", "name", "kind", "manager").agg(F.max("collected_at").alias("collected_at")), "select repo_id, name, kind, manager, max(collected_at) as collected_at from deps group by all")
+_period("issues_new", lambda t: t.issues, "created_at", "issues")
+_period("issues_new_weekly", lambda t: t.issues, "created_at", "issues", "week")
+_period("issues_closed", lambda t: t.issues, "closed_at", "issues")
+query(
+    "issues_active",
+    lambda t: metrics.per_period(t.item_events.drop("cntrb_id").join(t.issues.select(F.col("id").alias("item_id"), "repo_id"), "item_id"), "created_at", "week", F.count_distinct("item_id")),
+    f"select repo_id, {_trunc('week', 'e.created_at')} as period, count(distinct item_id) as value from item_events e join issues i on i.id = item_id group by all",
+)
+query("issue_backlog", lambda t: t.issues.filter("closed_at is null").groupBy("repo_id").agg(F.count("*").alias("n")), "select repo_id, count(*) as n from issues where closed_at is null group by 1")
+query("issue_throughput", lambda t: metrics.throughput(t.issues), "select repo_id, round(count(closed_at) / count(*), 6) as throughput from issues group by 1")
+query("issue_duration", lambda t: metrics.durations(t.issues, "closed_at"), "select id, repo_id, created_at, closed_at, round(epoch(closed_at - created_at) / 86400, 6) as days from issues where closed_at is not null")
+query("issue_resolution", lambda t: metrics.average_resolution(t.issues), "select repo_id, coalesce(round(avg(epoch(closed_at - created_at) / 86400), 6), 0) as days from issues group by 1")
+_period("prs_new", lambda t: t.pull_requests, "created_at", "pull_requests")
+_period("prs_accepted", lambda t: t.pull_requests, "merged_at", "pull_requests")
+_period("prs_declined", lambda t: t.pull_requests.filter("merged_at is null"), "closed_at", "(from pull_requests where merged_at is null)")
+query("review_duration", lambda t: metrics.durations(t.pull_requests, "merged_at"), "select id, repo_id, created_at, merged_at, round(epoch(merged_at - created_at) / 86400, 6) as days from pull_requests where merged_at is not null")
+_period("committers", lambda t: t.commits, "authored_at", "commits", "month", lambda: F.count_distinct("author_email"), "count(distinct author_email)")
+_period("code_changes", lambda t: t.commits, "authored_at", "commits", "week", lambda: F.count_distinct("hash"), "count(distinct hash)")
+query(
+    "code_changes_lines",
+    lambda t: t.commits.groupBy("repo_id", metrics.bucket("authored_at", "month").alias("period")).agg(F.sum("added").alias("added"), F.sum("removed").alias("removed")),
+    f"select repo_id, {_trunc('month', 'authored_at')} as period, cast(sum(added) as bigint) as added, cast(sum(removed) as bigint) as removed from commits group by all",
+)
+query(
+    "issues_in_range",
+    lambda t: metrics.per_period(t.issues, "created_at", "day", begin="1996-01-01", end="1996-12-31"),
+    f"select repo_id, {_trunc('day', 'created_at')} as period, count(*) as value from issues where created_at between timestamp '1996-01-01' and timestamp '1996-12-31' group by all",
+)
+query(
+    "contributors",
+    lambda t: metrics.contributor_summary(t.commits, t.pull_requests, t.issues),
+    """with s as (select author_id as cntrb_id, count(distinct hash) as c, 0 as p, 0 as i from commits group by 1
+       union all select author_id, 0, count(*), 0 from pull_requests group by 1 union all select author_id, 0, 0, count(*) from issues group by 1)
+       select cntrb_id, cast(sum(c) as bigint) as commits, cast(sum(p) as bigint) as prs, cast(sum(i) as bigint) as issues from s group by 1""",
+)
+_FIRST = "select repo_id, author_id, min(authored_at) as f from commits group by all union all select repo_id, author_id, min(created_at) from issues group by all"
+query("contributors_new", lambda t: metrics.new_contributors(t.commits, t.issues, "month"), f"select repo_id, {_trunc('month', 'f')} as period, count(*) as value from ({_FIRST}) group by all")
+query("contributors_new_deduped", lambda t: metrics.new_contributors(t.commits, t.issues, "month", True), f"select repo_id, {_trunc('month', 'f')} as period, count(*) as value from (select repo_id, author_id, min(f) as f from ({_FIRST}) group by all) group by all")
+query("star_series", lambda t: t.repo_info.select("repo_id", F.date_trunc("day", "collected_at").cast("timestamp_ntz").alias("day"), "stars", "forks", "watchers"), "select repo_id, cast(date_trunc('day', collected_at) as timestamp) as day, stars, forks, watchers from repo_info")
+query("stars_latest", lambda t: metrics.latest_counter(t.repo_info, "stars"), "select repo_id, max_by(stars, (collected_at, info_id)) as stars from repo_info group by 1")
+query("messages_per_period", lambda t: metrics.per_period(t.messages.join(t.items.select(F.col("id").alias("item_id"), "repo_id"), "item_id"), "msg_timestamp", "month"), f"select repo_id, {_trunc('month', 'msg_timestamp')} as period, count(*) as value from messages join items on id = item_id group by all")
+query(
+    "languages",
+    lambda t: t.labor.groupBy("language").agg(F.count("*").alias("files"), F.count_distinct("repo_id").alias("repos"), F.sum("code_lines").alias("code_lines"), F.sum("complexity").alias("complexity"), F.round(F.avg("code_lines"), 6).alias("mean_lines")),
+    "select language, count(*) as files, count(distinct repo_id) as repos, cast(sum(code_lines) as bigint) as code_lines, cast(sum(complexity) as bigint) as complexity, round(avg(code_lines), 6) as mean_lines from labor group by 1",
+)
+_SERIES = """(select repo_id, 'commits' as metric, authored_at as ts, hash as key from commits union all select repo_id, 'prs_opened', created_at, id from pull_requests
+    union all select repo_id, 'prs_merged', merged_at, id from pull_requests union all select repo_id, 'issues', created_at, id from issues)"""
+query(
+    "weekly_series",
+    lambda t: metrics.weekly_series(t.commits, t.pull_requests, t.issues, "1996-01-01", "1999-01-01"),
+    f"select repo_id, metric, {_trunc('week', 'ts')} as week, count(distinct key) as value from {_SERIES} where ts >= timestamp '1996-01-01' and ts < timestamp '1999-01-01' group by all",
+)
+_SUMS = "cast(sum(added) as bigint) as added, cast(sum(removed) as bigint) as removed, count(distinct filename) as files, count(distinct hash) as patches"
+_WHO = "coalesce(nullif(trim(affiliation), ''), '(Unknown)') as affiliation"
+for _name, _cols in {"year": "year(authored_at) as year", "month": "year(authored_at) as year, month(authored_at) as month", "week": "year(authored_at) as year, week(authored_at) as week"}.items():
+    query(f"repo_aggregates_{_name}", lambda t, p=_name: metrics.period_aggregates(t.commits, p), f"select repo_id, author_email, {_WHO}, {_cols}, {_SUMS} from commits group by all")
+    query(
+        f"group_aggregates_{_name}",
+        lambda t, p=_name: metrics.period_aggregates(t.commits.join(t.repos.select("repo_id", "repo_group_id"), "repo_id"), p, ("repo_group_id",)),
+        f"select repo_group_id, author_email, {_WHO}, {_cols}, {_SUMS} from commits join repos using (repo_id) group by all",
+    )
+query(
+    "repo_stats",
+    lambda t: metrics.repo_stats(t.repos, t.pull_requests, t.issues, t.commits, t.repo_info),
+    """select r.repo_id, repo_name, coalesce(prs, 0) as prs, coalesce(issues, 0) as issues, coalesce(commits, 0) as commits, coalesce(m.pr_count, 0) as meta_pr_count, coalesce(m.issues_count, 0) as meta_issues_count, coalesce(m.commit_count, 0) as meta_commit_count
+       from repos r left join (select repo_id, count(*) as prs from pull_requests group by 1) using (repo_id) left join (select repo_id, count(*) as issues from issues group by 1) using (repo_id)
+       left join (select repo_id, count(distinct hash) as commits from commits group by 1) using (repo_id)
+       left join (select distinct on (repo_id) repo_id, pr_count, issues_count, commit_count from repo_info order by repo_id, collected_at desc, info_id desc) m using (repo_id)""",
+)
+query("newest_event", lambda t: t.item_events.groupBy("cntrb_id").agg(F.max("created_at").alias("newest")), "select cntrb_id, max(created_at) as newest from item_events group by 1")
+query("event_payloads", lambda t: t.item_events.groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n")), "select cast(props->>'k' as bigint) as k, count(*) as n from item_events group by 1")
+query("duplicate_commit_keys", lambda t: t.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")).filter("n > 1"), "select l_orderkey, l_partkey, count(*) as n from lineitem group by all having count(*) > 1")
+query("commits_deduped", lambda t: t.commits.select("hash", "filename", "author_id", "added"), "select hash, filename, author_id, added from commits")
+query("status_counts", lambda t: t.spark.createDataFrame([("open",), ("closed",), ("merged",), ("lost",)], "state string").join(t.items.groupBy("state").agg(F.count("*").alias("n")), "state", "left").fillna(0), "select s.state, coalesce(n, 0) as n from (values ('open'), ('closed'), ('merged'), ('lost')) s(state) left join (select state, count(*) as n from items group by 1) using (state)")
+query("groups_with_repo_counts", lambda t: t.repo_groups.join(t.repos, "repo_group_id", "left").groupBy("repo_group_id", "rg_name").agg(F.count("repo_id").alias("repos")), "select repo_group_id, rg_name, count(repo_id) as repos from repo_groups left join repos using (repo_group_id) group by all")
+query(
+    "commit_count_backfill",
+    lambda t: t.repo_info.join(t.commits.groupBy("repo_id").agg(F.count_distinct("hash").alias("n")), "repo_id", "left").select("info_id", "repo_id", F.when(F.col("commit_count") == 0, F.coalesce("n", F.lit(0))).otherwise(F.col("commit_count")).alias("commit_count")),
+    "select info_id, repo_id, case when commit_count = 0 then coalesce(n, 0) else commit_count end as commit_count from repo_info left join (select repo_id, count(distinct hash) as n from commits group by 1) using (repo_id)",
+)
+query("dependency_counts", lambda t: t.deps.groupBy("manager", "kind").agg(F.count("*").alias("n")), "select manager, kind, count(*) as n from deps group by all")
+
+# Licences, vulnerabilities, people.
+_SPDX = """case when upper(trim(license)) in ('', 'NOASSERTION') then 'Unknown' when lower(trim(license)) in ('mit', 'mit license') then 'MIT' when license = 'Apache 2.0' then 'Apache-2.0' when license = 'BSD' then 'BSD-3-Clause'
+    when license = 'GPLv3' then 'GPL-3.0-only' when license = 'ISC license' then 'ISC' when license = 'MPL 2.0' then 'MPL-2.0' else license end"""
+query("licence_counts", lambda t: reports.licence_counts(t.deps, "license", "repo_id"), f"select repo_id, {_SPDX} as licence, count(*) as n, licence not in ('Unknown', 'Custom terms') as is_osi from deps group by repo_id, licence")
+query(
+    "document_licence_ids",
+    lambda t: t.raw("documents").groupBy(F.coalesce(S.licence_text_id(F.col("text")), F.lit("none")).alias("licence")).agg(F.count("*").alias("n")),
+    """select case when contains(l, 'apache license') and contains(l, '2.0') then 'Apache-2.0' when contains(l, 'gnu general public license') and contains(l, 'version 3') then 'GPL-3.0-only'
+       when contains(l, 'gnu general public license') and contains(l, 'version 2') then 'GPL-2.0-only' else 'none' end as licence, count(*) as n from (select lower(text) as l from documents) group by 1""",
+)
+_VECTOR = "case p_partkey % 4 when 0 then 'CVSS:3.1/AV:N/AC:L/C:H/I:H/A:H' when 1 then 'CVSS:3.1/AV:N/AC:L/C:L/I:H/A:N' when 2 then 'CVSS:3.1/AV:L/AC:H' else 'CVSS:3.1/AV:N/AC:H' end"
+query(
+    "vulnerability_counts",
+    lambda t: reports.vulnerability_counts(t.raw("part").select((F.col("p_partkey") % 25).alias("repo_id"), F.expr(_VECTOR).alias("vector"))),
+    "select p_partkey % 25 as repo_id, count(*) as total, count(*) filter (p_partkey % 4 = 0) as critical from part group by 1",
+)
+query(
+    "vulnerability_severity",
+    lambda t: t.raw("part").select("p_partkey", S.cvss_score(F.expr(_VECTOR)).alias("score")).withColumn("label", S.cvss_label(F.col("score"))),
+    "select p_partkey, cast([9.8, 7.5, 4.0, 6.5][p_partkey % 4 + 1] as double) as score, ['CRITICAL', 'HIGH', 'MEDIUM', 'MEDIUM'][p_partkey % 4 + 1] as label from part",
+)
+query(
+    "consensus_affiliation",
+    lambda t: reports.consensus_affiliation(t.contributors),
+    "with n as (select split_part(email, '@', 2) as domain, company, count(*) as n from contributors group by all) select distinct on (domain) domain, company, n from n order by domain, n desc, company",
+)
+query(
+    "domain_lookup",
+    lambda t: reports.domain_lookup(t.contributors, t.spark.createDataFrame([("example.com", "Example"), ("org3.example.com", "Third"), ("org5.example.com", "Fifth")], "domain string, affiliation string")),
+    "select distinct email, case split_part(email, '@', 2) when 'org3.example.com' then 'Third' when 'org5.example.com' then 'Fifth' else 'Example' end as affiliation from contributors",
+)
+query(
+    "resolve_identities",
+    lambda t: reports.resolve_identities(t.commits, t.contributors.filter("cntrb_id % 3 <> 0"), t.contributors.filter("cntrb_id % 6 = 0").select(F.col("email").alias("alias_email"), "cntrb_id")),
+    """with e as (select distinct author_email as email from commits) select e.email, coalesce(o.cntrb_id, a.cntrb_id) as cntrb_id, case when o.cntrb_id is not null then 'address' when a.cntrb_id is not null then 'alias' end as how
+       from e left join (from contributors where cntrb_id % 3 <> 0) o using (email) left join (from contributors where cntrb_id % 6 = 0) a on a.email = e.email""",
+)
+query(
+    "person_ids",
+    lambda t: t.contributors.select("cntrb_id", S.person_uuid(F.lit(1), F.col("cntrb_id")).alias("uuid")),
+    "select cntrb_id, '01' || lpad(lower(to_hex(cntrb_id)), 8, '0')[1:6] || '-' || lpad(lower(to_hex(cntrb_id)), 8, '0')[7:8] || '00-0000-0000-000000000000' as uuid from contributors",
+)
+query("sbom_documents", lambda t: reports.sbom(t.repos, t.deps))
+
+# Views.
+_ACTIVITY = """a as (
+    select author_id as cntrb_id, authored_at as created_at, repo_id, 'commit' as action, author_id as actor from (select distinct hash, author_id, repo_id, authored_at from commits)
+    union all select author_id, created_at, repo_id, 'issue_opened', author_id from issues
+    union all select cntrb_id, e.created_at, repo_id, 'pull_request_closed', cntrb_id from item_events e join pull_requests p on p.id = item_id where merged_at is null and action = 'closed'
+    union all select cntrb_id, e.created_at, repo_id, 'pull_request_merged', cntrb_id from item_events e join pull_requests p on p.id = item_id where action = 'merged'
+    union all select cntrb_id, e.created_at, repo_id, 'issue_closed', cntrb_id from item_events e join issues i on i.id = item_id where action = 'closed'
+    union all select cntrb_id, e.created_at, repo_id, 'pull_request_review_labeled', cntrb_id from item_events e join pull_requests p on p.id = item_id where action = 'labeled'
+    union all select author_id, created_at, repo_id, 'pull_request_open', author_id from pull_requests
+    union all select cntrb_id, msg_timestamp, repo_id, 'pull_request_comment', cntrb_id from messages join pull_requests p on p.id = item_id
+    union all select author_id, msg_timestamp, repo_id, 'issue_comment', cntrb_id from messages join issues i on i.id = item_id where closed_at <> msg_timestamp)"""
+_RANKED = "select a.cntrb_id, created_at, a.repo_id, action, login, repo_name, row_number() over (partition by a.cntrb_id, a.repo_id order by created_at desc nulls first, action, login) as rank from a join repos using (repo_id) left join (select cntrb_id as actor, login from contributors) using (actor)"
+query("contributor_actions", lambda t: views.contributor_actions(t), f"with {_ACTIVITY} {_RANKED}")
+query("contributor_recent_actions", lambda t: views.contributor_actions(t, "1998-05-01"), f"with {_ACTIVITY} {_RANKED} where created_at >= timestamp '1998-05-01'")
+query(
+    "new_contributors",
+    lambda t: views.first_actions(t),
+    """with c as (select canonical, min(cntrb_id) as canonical_id from contributors where canonical = email group by 1), p as (select cntrb_id, login, canonical, canonical_id from contributors left join c using (canonical)),
+       r as (select canonical_id as id, created_at, i.repo_id, 'issue_opened' as action, login from issues i left join p on author_id = cntrb_id
+       union select canonical_id, date_trunc('day', authored_at), m.repo_id, 'commit', login from commits m left join p on author_email = canonical
+       union select canonical_id, created_at, q.repo_id, 'pull_request_open', login from pull_requests q left join p on author_id = cntrb_id
+       union select canonical_id, msg_timestamp, q.repo_id, 'pull_request_comment', login from messages m join pull_requests q on q.id = item_id left join p on p.cntrb_id = m.cntrb_id)
+       select *, row_number() over (partition by id, repo_id order by created_at desc nulls first, action, login) as rank from r where id is not null qualify rank <= 7""",
+)
+for _name in ("pull_requests", "issues"):
+    query(
+        f"{_name}_assignments",
+        lambda t, n=_name: views.assignments(getattr(t, n), t.item_events),
+        f"select i.id, repo_id, i.created_at as created, i.closed_at as closed, e.created_at as assign_date, e.action as assignment_action, e.cntrb_id as assignee from {_name} i left join item_events e on item_id = i.id and action in ('assigned', 'unassigned')",
+    )
+query(
+    "pr_response",
+    lambda t: views.pr_response(t.pull_requests, t.messages),
+    "with m as (select distinct item_id, msg_timestamp, cntrb_id as msg_cntrb_id from messages) select id, repo_id, author_id as cntrb_id, created_at as pr_created_at, closed_at as pr_closed_at, msg_timestamp, msg_cntrb_id from pull_requests left join m on item_id = id",
+)
+query(
+    "pr_response_times",
+    lambda t: views.pr_response_times(t),
+    f"""with r as (select e.item_id, min(msg_timestamp) as first, max(msg_timestamp) as last, count(distinct msg_timestamp) as comment_count, {", ".join(f"count(*) filter (action = '{a}') as {a}_count" for a in views.ACTIONS)}
+       from item_events e join messages m on m.item_id = e.item_id group by 1)
+       select p.id, repo_id, repo_name, rg_name as repo_group, state, year(created_at) as created_year, month(closed_at) as closed_month, round(epoch(closed_at - created_at) / 3600, 4) as hours_to_close,
+       round(epoch(first - created_at) / 3600, 4) as hours_to_first_response, round(epoch(last - created_at) / 3600, 4) as hours_to_last_response, round(epoch(last - first) / comment_count, 4) as seconds_between_responses,
+       comment_count, {", ".join(f"{a}_count" for a in views.ACTIONS)} from pull_requests p join repos using (repo_id) join repo_groups using (repo_group_id) left join r on item_id = p.id""",
+)
+query(
+    "language_breakdown",
+    lambda t: views.language_breakdown(t.labor),
+    "with x as (select repo_id, max(analysed_at) as latest from labor group by 1) select repo_id, language, count(*) as files, cast(sum(code_lines) as bigint) as code_lines, max(complexity) as complexity from labor join x using (repo_id) where analysed_at >= latest - interval 5 minutes group by all",
+)
+query("repo_files", lambda t: views.repo_files(t.labor), "select repo_id, file_path, language, code_lines from labor where (repo_id, analysed_at) in (select (repo_id, max(analysed_at)) from labor group by repo_id)")
+query(
+    "contributors_per_file",
+    lambda t: views.contributors_per_file(t.commits),
+    "select repo_id, filename, string_agg(distinct cast(author_id as varchar), ',' order by cast(author_id as varchar)) as author_ids, string_agg(distinct author_email, ',' order by author_email) as emails from commits group by all",
+)
+query(
+    "user_repos",
+    lambda t: t.contributors.select("cntrb_id", "login", F.col("repo_id").alias("home")).join(t.repos.select(F.col("repo_id").alias("home"), "repo_group_id"), "home").join(t.repos.select("repo_id", "repo_group_id"), "repo_group_id").select("login", "cntrb_id", "repo_group_id", "repo_id"),
+    "select login, cntrb_id, h.repo_group_id, r.repo_id from contributors c join repos h on c.repo_id = h.repo_id join repos r on r.repo_group_id = h.repo_group_id",
+)
+
+# Gaps, comparison, reconciliation, merges, queue.
+_expected = lambda t: t.items.select("repo_id", F.col("id").alias("number"))
+_collected = lambda t: _expected(t).filter("number % 10 not in (3, 4, 7)")
+query(
+    "gaps",
+    lambda t: reports.gaps(_expected(t), _collected(t)),
+    """with m as (select repo_id, id as number, id % 10 not in (3, 4, 7) as have from items), r as (select *, sum(case when have then 1 else 0 end) over (partition by repo_id order by number) as run from m)
+       select repo_id, min(number) as first, max(number) as last, count(*) as n from r where not have group by repo_id, run""",
+)
+_shards = lambda t: _expected(t).withColumn("shard", F.ntile(4).over(Window.partitionBy("repo_id").orderBy("number")).cast("long"))
+query("shards", _shards, "select repo_id, id as number, ntile(4) over (partition by repo_id order by id) as shard from items")
+query("reconcile", lambda t: _expected(t).join(_collected(t), ["repo_id", "number"], "left_anti").distinct(), "select distinct repo_id, id as number from items where id % 10 in (3, 4, 7)")
+_weekly = lambda t: t.commits.filter("repo_id < 5").groupBy("repo_id", metrics.bucket("authored_at", "week").alias("week")).agg(F.count_distinct("hash").alias("value"))
+_WEEKLY = """with s as (select repo_id, cast(date_trunc('week', authored_at) as timestamp) as week, count(distinct hash) as value from commits where repo_id < 5 group by all),
+    f as (select r.repo_id, w.week, coalesce(value, 0) as value from (select distinct repo_id from s) r cross join (select distinct week from s) w left join s on s.repo_id = r.repo_id and s.week = w.week)"""
+query("compare_percent", lambda t: reports.compare(_weekly(t), "percent"), f"{_WEEKLY} select repo_id, week, round(value / greatest(max(value) over (partition by repo_id), 1) * 100, 6) as value from f")
+query("compare_zscore", lambda t: reports.compare(_weekly(t), "zscore"), f"{_WEEKLY} select repo_id, week, round((value - avg(value) over p) / case when stddev_pop(value) over p = 0 then 1 else stddev_pop(value) over p end, 6) as value from f window p as (partition by repo_id)")
+query(
+    "semantic_diff",
+    lambda t: reports.semantic_diff(
+        t.items.filter("id % 5 <> 1").select("repo_id", "id", "state", "closed_at"),
+        t.items.filter("id % 7 <> 1").select("repo_id", "id", F.when(F.col("id") % 11 == 0, F.lit("lost")).otherwise(F.col("state")).alias("state"), "closed_at"), ["repo_id", "id"],
+    ),
+    "select repo_id, id, case when id % 5 = 1 then 'extra' when id % 7 = 1 then 'missing' else 'content' end as status from items where (id % 5 = 1 and id % 7 <> 1) or (id % 7 = 1 and id % 5 <> 1) or (id % 11 = 0 and id % 5 <> 1 and id % 7 <> 1)",
+)
+query(
+    "upsert_items",
+    lambda t: merge.upsert(t.items.filter("id % 3 <> 0").select("id", "state", "author_id"), t.items.filter("id % 2 = 0").select("id", F.lit("new").alias("state"), F.when(F.col("id") % 4 == 0, F.col("author_id") + 1).alias("author_id")), ["id"], ["state"], ("author_id",)),
+    "select id, case when id % 2 = 0 then 'new' else state end as state, case when id % 4 = 0 then author_id + 1 when id % 3 <> 0 then author_id end as author_id from items where id % 3 <> 0 or id % 2 = 0",
+)
+query("insert_absent_items", lambda t: merge.insert_absent(t.items.filter("id % 3 = 0").select("id", "state"), t.items.filter("id % 2 = 0").select("id", F.lit("new").alias("state")), ["id"]), "select id, case when id % 3 = 0 then state else 'new' end as state from items where id % 3 = 0 or id % 2 = 0")
+query("history_latest", lambda t: merge.latest(t.repo_info.select("repo_id", "collected_at", "info_id", "stars"), ["repo_id"], ["collected_at", "info_id"]), "select distinct on (repo_id) repo_id, collected_at, info_id, stars from repo_info order by repo_id, collected_at desc, info_id desc")
+query(
+    "queue_listing",
+    lambda t: reports.queue_order(t.items.select(F.col("id").alias("repo_id"), F.when(F.col("state") == "open", "queued").when(F.col("state") == "merged", "collecting").otherwise("done").alias("status"), (F.col("id") % 5).alias("priority"), F.col("created_at").alias("due_at"))).offset(20).limit(40),
+    "select id as repo_id, case state when 'open' then 'queued' when 'merged' then 'collecting' else 'done' end as status, id % 5 as priority, created_at as due_at from items order by case state when 'merged' then 0 when 'open' then 1 else 2 end, id % 5, created_at, id limit 40 offset 20",
+)
+query("least_recent", lambda t: t.contributors.join(t.item_events.groupBy("cntrb_id").agg(F.max("created_at").alias("seen")), "cntrb_id", "left").select("cntrb_id", "seen").orderBy(F.asc_nulls_first("seen"), "cntrb_id").limit(100), "select c.cntrb_id, seen from contributors c left join (select cntrb_id, max(created_at) as seen from item_events group by 1) e using (cntrb_id) order by seen asc nulls first, cntrb_id limit 100")
+
+
+def _windows(t: Tables) -> DataFrame:
+    from .streaming.ingest import event_windows
+
+    return event_windows(t.item_events)
+
+
+query("event_windows", _windows, "select date_trunc('hour', created_at) as start, action, count(*) as n from item_events group by all")
