@@ -182,22 +182,17 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         while n:
             while room <= capacity and not open_[room]:
                 room += 1
-            if room > capacity:
-                per = 1  # shorter ones and later ones of this length may still join
-                open_[capacity - length].append(((length,), n)) if capacity - length < length else None
-                if capacity - length >= length:
-                    per = min(n, capacity // length)
-                    open_[capacity - per * length].append(((length,) * per, n // per))
-                    rest = n % per
-                    if rest:
-                        open_[capacity - rest * length].append(((length,) * rest, 1))
-                break
-            pattern, m = open_[room].pop()
-            use = min(n, m)
+            if room > capacity:  # new sequences; shorter lengths may still join them
+                per = min(n, capacity // length)
+                pattern, m, at = (), max(1, n // per), capacity
+            else:
+                pattern, m = open_[room].pop()
+                per, at = min(n, room // length), room
+            use = min(m, n // per)
             if m > use:
-                open_[room].append((pattern, m - use))
-            open_[room - length].append(((*pattern, length), use))
-            n -= use
+                open_[at].append((pattern, m - use))
+            open_[at - per * length].append(((*pattern, *(length,) * per), use))
+            n -= use * per
     return done + [x for group in open_ for x in group]
 
 

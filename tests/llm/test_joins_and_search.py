@@ -51,7 +51,7 @@ def near_copies(seed: int, n: int):
         elif bases and kind < 0.7:
             words = list(rng.choice(bases))
             for _ in range(rng.choice((1, 1, 1, 2, 3))):
-                at = rng.randrange(len(words))
+                at = rng.randrange(max(1, len(words)))
                 words[at : at + 1] = rng.choice(([], ["new"], [rng.choice(vocabulary), "x"]))
             bases.append(words or ["w"])
         else:
