@@ -11,8 +11,9 @@ seen. Baum-Welch runs over all training texts: tasks return expected counts, whi
 shuffle; the model itself (``STATES`` x ``CLASSES``) has a fixed size. The scaled forward recursion then
 gives the exact likelihood of each text.
 
-Counts of the ``FREQUENT`` most frequent tokens (a bound by count threshold) are read by tasks from the
-shared folder; whatever tokens remain are joined with their counts by a shuffle, so no token is left out.
+Counts of tokens that make up at least 1 / ``FREQUENT`` of all (there can be no more than ``FREQUENT`` of
+them, whatever the corpus) are read by tasks from the shared folder; the other tokens of a text are summed
+in its task and joined with their counts by a shuffle, so no token is left out.
 
 Null and empty texts hold only the end token. Repeated rows count and are scored as rows of their own
 (the result is by row). Other columns are ignored.
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, lowered_words, mix, new_path, read_columns, table, texts
 
 STATES, CLASSES, ROUNDS = 4, 1 << 12, 3
-FREQUENT = 2_500_000
+FREQUENT = 5_000_000
 #: Training texts whose class counts start the states apart; Baum-Welch itself reads all.
 SEED_TEXTS = 200
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -146,6 +146,16 @@ def _grouped(values: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarra
         yield _class_of(tokens), at
 
 
+def _other(tokens: np.ndarray, at: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and number in that text of the tokens that are not hit, by text."""
+    which = np.flatnonzero(~hit)
+    row, h = np.searchsorted(at, which, side="right") - 1, tokens[which]
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return row[first], h[first], np.diff(np.r_[first, len(h)])
+
+
 class Model:
     """start (K), a (K, K), b (CLASSES, K): columns of b sum to one."""
 
@@ -208,16 +218,12 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = FREQUENT) -> DataFr
     path = new_path(spark, "lm-counts")
     count_tokens(train).withColumn("k", F.pmod(F.shiftrightunsigned("h", 40), F.lit(CLASSES)).cast("int")).write.parquet(path)
     counts = spark.read.parquet(path)
-    # By class and by count: CLASSES rows, and as many as there are different counts (at most sqrt(2 N), combined by powers).
+    # CLASSES rows.
     by_class = counts.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     big_n, big_v = int(by_class["n"].sum()), int(by_class["v"].sum())
     size = np.zeros(CLASSES)
     size[by_class["k"].to_numpy(np.int64)] = (by_class["n"] + by_class["v"]).to_numpy(float)
-    least = 1
-    if big_v > frequent:
-        levels = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).count().orderBy(F.desc("c")).toPandas()
-        fits = levels[levels["count"].cumsum() <= frequent]
-        least = int(fits["c"].min()) if len(fits) else int(levels["c"].max()) + 1
+    least = max(1, -(-big_n // frequent))
     hot = new_path(spark, "lm-frequent")
     counts.filter(F.col("c") >= least).select("h", "c").write.parquet(hot)
     model = train_hmm(train)
@@ -228,7 +234,7 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = FREQUENT) -> DataFr
         for batch in batches:
             values = texts(batch.column("text"))
             order = sorted(range(len(values)), key=lambda i: len(values[i] or b""))
-            parts, done = [], 0
+            done = 0
             for tokens, at in token_hashes([values[i] for i in order]):
                 classes = _class_of(tokens)
                 path_log, _ = _forward(model.b, model.a, model.start, classes, at)
@@ -236,25 +242,20 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = FREQUENT) -> DataFr
                 hit = known[pos] == tokens if len(known) else np.zeros(len(tokens), bool)
                 got = np.where(hit, logs[pos], 0.0) if len(known) else np.zeros(len(tokens))
                 n = np.diff(at)
-                rest = [None] * len(n)
-                if least > 1:
-                    miss = tokens[~hit].view(np.int64)
-                    cut = np.r_[0, np.cumsum(~hit)][at]
-                    rest = [miss[x:y].tolist() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                parts.append(pd.DataFrame({
-                    "i": order[done : done + len(n)], "n_tokens": n, "n_known": np.add.reduceat(hit.astype(np.int64), at[:-1]),
-                    "sum_log": np.add.reduceat(got, at[:-1]), "path": path_log - np.add.reduceat(log_size[classes], at[:-1]), "rest": rest,
-                }))
+                row, h, tf = _other(tokens, at, hit if least > 1 else np.ones(len(tokens), bool))
+                rest = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(tf)], ["h", "tf"])
+                cols = [
+                    batch.column("doc_id").take(pa.array(order[done : done + len(n)])), pa.array(n), pa.array(np.add.reduceat(hit.astype(np.int64), at[:-1])),
+                    pa.array(np.add.reduceat(got, at[:-1])), pa.array(path_log - np.add.reduceat(log_size[classes], at[:-1])),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)), rest),
+                ]
                 done += len(n)
-            if parts:
-                f = pd.concat(parts).sort_values("i")
-                cols = [batch.column("doc_id"), *(pa.array(f[c].to_numpy()) for c in ("n_tokens", "n_known", "sum_log", "path")), pa.array(f["rest"].tolist(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "sum_log", "path", "rest"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, sum_log double, path double, rest array<long>")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, sum_log double, path double, rest array<struct<h: long, tf: long>>")
     if least > 1:  # the other tokens: counts come by a join, sums go back by row
-        rows = table(rows.withColumn("row", F.expr("uuid()")), "lm-rows")
-        other = rows.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("tf"))
+        rows = table(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+        other = rows.select("row", F.inline("rest"))
         found = other.join(counts.filter(F.col("c") < least).select("h", "c"), "h")
         found = found.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more_log"))
         rows = rows.join(found, "row", "left")
