@@ -19,6 +19,7 @@ are packed as rows of their own. Documents longer than a sequence are cut; nothi
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,13 @@ from .common import table, texts
 #: Entries of a worker's cache of white-space-separated chunks; when full it is emptied.
 CACHE = 900_000
 _tokenizers: dict[str, "_Tokens"] = {}
+#: The tokenizer's splitter parts runs of letters, single digits and runs of marks (but for apostrophes' endings and special tokens).
+_PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
+
+
+def _plain(c: bytes) -> bool:
+    """Letters of a-z and Latin-1 only, which normalising leaves as they are."""
+    return c.isalpha() or (s := c.decode()).isalpha() and "ß" <= min(x for x in s if x > "\x7f") and max(s) <= "ÿ"
 
 
 class _Tokens:
@@ -54,10 +62,21 @@ class _Tokens:
         return [e.ids for e in self.t.encode_batch_fast(values, add_special_tokens=False)]
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Plain words go through in one call, parted again at their word ends; others one by one."""
-        words, other = [], []
+        """Plain words go through in one call, parted again at their word ends; chunks of words, digits and marks are joined from these; others go one by one."""
+        words, other, joined = set(), set(), {}
         for c in chunks:
-            (words if c.isalpha() or (s := c.decode()).isalpha() and "ß" <= min(x for x in s if x > "\x7f") and max(s) <= "ÿ" else other).append(c)
+            if c.isalpha() or _plain(c):
+                words.add(c)
+                continue
+            parts = [c] if b"'" in c or b"<" in c else _PARTS.findall(c)
+            if len(parts) == 1 or not all(x.isalpha() or x < b"a" or b"{" <= x < b"\x80" or _plain(x) for x in parts):
+                other.add(c)
+                continue
+            joined[c] = parts
+            for x in parts:
+                if x not in self.kept:
+                    (words if x.isalpha() or x >= b"\x80" or b"a" <= x < b"{" else other).add(x)
+        words, other = list(words), list(other)
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             ids = np.array(self._ids([b" ".join(part).decode()])[0], "<u4")
@@ -73,6 +92,8 @@ class _Tokens:
             part = other[i : i + 20_000]
             for c, ids in zip(part, self._ids([c.decode() for c in part]), strict=True):
                 self.kept[c] = np.array(ids, "<u4").tobytes()
+        for c, parts in joined.items():
+            self.kept[c] = b"".join(map(self.kept.__getitem__, parts))
 
     def encode(self, values: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
