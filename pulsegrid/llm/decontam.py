@@ -1,13 +1,15 @@
 """Benchmark decontamination with a positional inverted index sharded by document.
 
 Building: one pass over the documents keeps, as a written table, the postings of the benchmark's terms:
-for each document the terms and positions, sorted by term and position. Only positions in a run of
-benchmark terms at least as long as the shortest window are kept, since no window or phrase can lie
-elsewhere; that is exact and leaves a small part of the corpus.
+for each document the terms and positions, sorted by term and position. For exact phrases only positions in
+a run of benchmark terms at least as long as the shortest window are kept, since no window or phrase can lie
+elsewhere; that is exact and leaves a small part of the corpus. A proximity match may lie anywhere, so
+``build_index(..., every=True)`` keeps every position of every term.
 
 Searching: corpus counts of the terms come from the index; every window is looked up from its rarest term,
 its list intersected with the offset-adjusted lists of the other terms, next rarest first. ``find`` serves
-exact phrases and, with ``slop``, proximity matches; ``decontaminate`` marks the words that windows hit.
+exact phrases and, with ``slop`` on an index of every position, proximity matches in any order and with foreign
+words between; ``decontaminate`` marks the words that windows hit.
 
 The benchmark is cut into blocks of at most ``BLOCK_BYTES``, each with its own term numbers and postings;
 tasks hold one block at a time, read from the shared folder, so its size has no bound to break.
@@ -23,6 +25,7 @@ import hashlib
 import itertools
 import pickle
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +130,8 @@ class Benchmark:
             _write(self.paths[b], block)
 
 
-def build_index(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """INDEX rows, one per document row, written to the shared folder."""
+def build_index(docs: DataFrame, bench: Benchmark, every: bool = False) -> DataFrame:
+    """INDEX rows, one per document row, written to the shared folder. every: keep all positions, as proximity needs."""
     paths = bench.paths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,7 @@ def build_index(docs: DataFrame, bench: Benchmark) -> DataFrame:
             words = None
             for b, path in enumerate(paths):
                 block = _load(path)
-                get, least = block["terms"].get, block["least"]
+                get, least = block["terms"].get, 1 if every else block["least"]
                 for i, v in enumerate(values):
                     words = split_words(v)
                     if b == 0:
@@ -158,7 +161,8 @@ def build_index(docs: DataFrame, bench: Benchmark) -> DataFrame:
             kind = pa.list_(pa.struct([("block", pa.int32()), ("terms", pa.binary()), ("positions", pa.binary())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(postings, kind)], ["doc_id", "n_words", "postings"])
 
-    index = table(docs.select("doc_id", "text").mapInArrow(run, INDEX), "postings")
+    built = docs.select("doc_id", "text").mapInArrow(run, INDEX)
+    index = table(built.withMetadata("postings", {"every": every}), "postings")
     bench.rank(index)
     return index
 
@@ -211,8 +215,13 @@ def _matches(posting: dict, path: str, slop: int | None) -> Iterator[tuple[int,
 
 
 def find(index: DataFrame, bench: Benchmark, slop: int | None = None) -> DataFrame:
-    """doc_id, item_id, position, n_terms: exact phrase matches of the windows or, with slop, proximity matches."""
+    """doc_id, item_id, position, n_terms: exact phrase matches of the windows or, with slop, proximity matches.
+
+    An index without every position gives only the proximity matches inside runs of benchmark terms.
+    """
     paths = bench.paths
+    if slop is not None and not index.schema["postings"].metadata.get("every"):
+        warnings.warn("proximity matches are complete only on build_index(..., every=True)", stacklevel=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -153,5 +154,50 @@ def test_find_by_position_and_proximity(spark):
     assert {r["doc_id"] for r in decontam.find(index, items, slop=2).collect()} == {1}
 
 
+def brute_near(docs, items, slop):
+    """(doc, item, position of the rarest term) with every term of the item less than its length plus slop away."""
+    texts = {d: words_of(t) for d, t in docs}
+    count = {}
+    for w in itertools.chain.from_iterable(texts.values()):
+        count[w] = count.get(w, 0) + 1
+    out = set()
+    for item, text in items:
+        win = words_of(text)
+        rarest, reach = min(win, key=lambda w: count.get(w, 0)), len(win) + slop
+        for d, w in texts.items():
+            out |= {(d, item, i, len(win)) for i, x in enumerate(w) if x == rarest and set(win) <= set(w[max(0, i - reach + 1) : i + reach])}
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 5])
+def test_proximity_equals_brute_force(spark, slop):
+    rng = random.Random(11)
+    items = [(str(i), " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4)}" for _ in range(rng.choice((3, 5, 13))))) for i in range(8)]
+    docs = [(0, None), (1, ""), (2, "z")]
+    for d in range(3, 80):
+        w = words_of(items[d % 8][1])
+        if d % 3 == 0:
+            rng.shuffle(w)
+        for _ in range(rng.randrange(4)):
+            w.insert(rng.randrange(len(w) + 1), "foreign")
+        docs.append((d, " ".join(["x"] * rng.randrange(5) + w + ["y", rng.choice("abcd") + "1"])))
+    bench = decontam.Benchmark(spark.createDataFrame(items, "item_id string, text string"), None)
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"), bench, every=True)
+    got = [tuple(r) for r in decontam.find(index, bench, slop=slop).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(docs, items, slop)
+
+
+def test_proximity_of_split_windows(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = [(1, " ".join(words[:6] + ["foreign"] + words[6:13])), (2, " ".join(reversed(words[:13]))), (3, " ".join(words[:12])), (4, " ".join(words[:13]))]
+    bench = decontam.Benchmark(spark.createDataFrame([("i", " ".join(words))], "item_id string, text string"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = decontam.build_index(frame, bench, every=True)
+    assert {r["doc_id"] for r in decontam.find(index, bench, slop=1).collect()} == {1, 2, 4}
+    assert {r["doc_id"] for r in decontam.find(index, bench).collect()} == {4}
+    with pytest.warns(UserWarning, match="every=True"):
+        decontam.find(decontam.build_index(frame, bench), bench, slop=1)
+
+
 def test_decontamination_oracle(spark):
     assert_same(queries.op4_decontamination(spark, f"{DATA}/sf0.001"), duck("sf0.001"), queries.ORACLE_SQL["op4_decontamination"])
