@@ -2,8 +2,10 @@
 
 A notice of a few words is split into ``errors + 1`` pieces; by the pigeonhole rule any occurrence with at
 most so many edits holds one piece unchanged. The pieces are exact seeds, found over the whole text (words
-joined by one blank); about each seed the ``regex`` library matches the notice with bounded errors and gives
-the span and its edits. Matches without edits are the base; the others add labels of their own.
+joined by one blank); from each word that may begin an occurrence about a seed, a banded edit-distance table
+gives the edits of every end at a word border. So all spans of whole words within a notice's edits are found,
+overlapping ones too, each with its least edits; edits count bytes. Spans without edits of a base phrase are
+the base; the others add labels of their own.
 
 Null texts are empty. Rows repeat as they are; other columns are ignored.
 """
@@ -13,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import ALNUM, texts
@@ -37,10 +38,7 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, bytes]]:
     return [(a, phrase[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-_FUZZY = [
-    (phrase.encode(), label, errors, pieces(phrase, errors), regex.compile(rb"(?b)(?:" + regex.escape(phrase.encode()) + rb"){e<=%d}" % errors))
-    for phrase, (label, errors) in NOTICES.items()
-]
+_FUZZY = [(phrase.encode(), label, errors, pieces(phrase, errors)) for phrase, (label, errors) in NOTICES.items()]
 
 
 def base_places(padded: bytes) -> list[tuple[int, str]]:
@@ -53,20 +51,46 @@ def base_places(padded: bytes) -> list[tuple[int, str]]:
     return out
 
 
+def prefix_edits(phrase: bytes, text: bytes, errors: int) -> list[tuple[int, int]]:
+    """(n, edits) for every n with at most ``errors`` edits between the phrase and the text's first n bytes."""
+    far, size = errors + 1, len(text)
+    row = [j if j <= errors else far for j in range(size + 1)]
+    for i, c in enumerate(phrase, 1):
+        lo, hi = max(1, i - errors), min(size, i + errors)
+        if lo > hi:
+            return []
+        above, row = row, [far] * (size + 1)
+        best = row[0] = min(i, far)
+        for j in range(lo, hi + 1):
+            x = above[j - 1] + (text[j - 1] != c)
+            if above[j] < x:
+                x = above[j] + 1
+            if row[j - 1] < x:
+                x = row[j - 1] + 1
+            row[j] = x
+            if x < best:
+                best = x
+        if best > errors:
+            return []
+    return [(j, x) for j, x in enumerate(row) if x <= errors]
+
+
 def fuzzy_places(padded: bytes) -> list[tuple[int, int, str, int]]:
-    """(begin, end, label, edits) in the padded text, for whole-word matches with at least one edit or of other notices."""
+    """(begin, end, label, edits) in the padded text of every span of whole words within a notice's edits."""
     out = []
-    for phrase, label, errors, seeds, pattern in _FUZZY:
-        seen: set[tuple[int, int]] = set()
+    for phrase, label, errors, seeds in _FUZZY:
+        seen: set[int] = set()
         for offset, seed in seeds:
             at = -1
             while (at := padded.find(seed, at + 1)) >= 0:
-                lo, hi = max(0, at - offset - errors), at - offset + len(phrase) + errors
-                window = padded[lo:hi]
-                if (m := pattern.search(window)) and (span := (lo + m.start(), lo + m.end())) not in seen:
-                    if padded[span[0] - 1 : span[0]] == b" " and padded[span[1] : span[1] + 1] == b" ":
-                        seen.add(span)
-                        out.append((*span, label, sum(m.fuzzy_counts)))
+                blank, last = max(0, at - offset - errors - 1), at - offset + errors
+                while (blank := padded.find(b" ", blank, max(0, last))) >= 0:
+                    blank += 1
+                    if blank not in seen:
+                        seen.add(blank)
+                        for n, edits in prefix_edits(phrase, padded[blank : blank + len(phrase) + errors], errors):
+                            if padded[blank + n : blank + n + 1] == b" " != padded[blank + n - 1 : blank + n]:
+                                out.append((blank, blank + n, label, edits))
     return out
 
 

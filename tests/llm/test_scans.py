@@ -101,6 +101,48 @@ def test_licences(spark):
     assert by[902]["n_base"] == 2
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_notices(words):
+    out = set()
+    for phrase, (label, errors) in licences.NOTICES.items():
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                span = b" ".join(words[i:j])
+                if abs(len(span) - len(phrase)) <= errors and (e := edit_distance(phrase.encode(), span)) <= errors:
+                    out.add((i, j, label, e))
+    return out
+
+
+def test_notices_equal_brute_force():
+    rng = random.Random(19)
+    notices = list(licences.NOTICES)
+    for _ in range(1500):
+        text = bytearray(" ".join(rng.choice((*notices, "a", "of", "gnu general", "license", "eserved")) for _ in range(rng.randrange(1, 5))).encode())
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(2)] = rng.choice((b"", b"s", b" ", b"e", b"ll", b" a "))
+        words = bytes(text).split()
+        padded = b" " + b" ".join(words) + b" "
+        got = [(padded.count(b" ", 0, a) - 1, padded.count(b" ", 0, b), x, e) for a, b, x, e in licences.fuzzy_places(padded)]
+        assert len(got) == len(set(got)) and set(got) == brute_notices(words), padded
+
+
+def test_notices_with_suffixes(spark):
+    texts = {"under the gnu general public licenses here": ("gpl", "2:6:gpl:1"), "under the mit licensed": ("mit", "0:4:mit:1"), "All Rights Reservedd.": ("proprietary", "0:3:proprietary:1"), "xunder the mit license": ("mit", "0:4:mit:1")}
+    rows = list(enumerate(texts))
+    for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        label, span = texts[rows[r["doc_id"]][1]]
+        assert label in r["labels"].split(",") and span in r["spans"].split(",") and r["n_base"] == 0
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
