@@ -35,7 +35,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"\W{0,3}(?:no\.?|number|nr\.?|#)?\W{0,3}((?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[0-9](?:[ -]?[0-9]){5,17}))(?![A-Za-z0-9])", re.I)
-_LOGIN = re.compile(r"[A-Za-z0-9._%+:-]{1,128}(?=@)")
+_LOGIN = re.compile(r"[A-Za-z0-9._%+:-]++(?=@)")
 _automaton: list[ahocorasick.Automaton] = []
 
 

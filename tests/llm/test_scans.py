@@ -66,6 +66,15 @@ def test_redaction():
     assert pii.redact("clean text, 3.14") == "clean text, 3.14"
 
 
+@pytest.mark.parametrize("n", [1, 128, 129, 5000, 300_000])
+def test_login_of_any_length(n):
+    user = "".join(random.Random(n).choice("aZ7._%+:-") for _ in range(n - 1)) + "t"
+    text = f"clone https://{user}@host/x.git now"
+    assert (14, pii.KINDS.index("url_login"), 14 + n) in pii.spans(text)
+    assert pii.redact(text) == "clone https://<url_login>@host/x.git now"
+    assert all(k != pii.KINDS.index("url_login") for _, k, _ in pii.spans(f"https://{user} @host https://@host"))
+
+
 def test_pii_on_the_table(spark):
     texts = {r["doc_id"]: r["text"] for r in queries.read(spark, f"{DATA}/sf0.01", "documents").collect()}
     for r in queries.op6_pii(spark, f"{DATA}/sf0.01").collect():
