@@ -37,6 +37,17 @@ def test_toxicity_held_out(spark):
     assert np.mean(good) > 0.9
 
 
+def test_toxicity_held_out_of_few_rows(spark):
+    label = {r["doc_id"]: r["toxic"] for r in queries.read(spark, SF, "labels").collect()}
+    rows = queries.op1_toxicity(spark, SF).collect()
+    assert len(rows) == queries.read(spark, SF, "documents").count()
+    for r in rows:
+        assert r["held_out"] == held(r["doc_id"], 3, 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+    mine = [(r["score"], label[r["doc_id"]]) for r in rows if r["held_out"] and label.get(r["doc_id"]) is not None]
+    good = [(a > b) + 0.5 * (a == b) for (a, x), (b, y) in itertools.product(mine, mine) if x == 1 and y == 0]
+    assert np.mean(good) > 0.9
+
+
 def test_toxicity_edges(spark):
     none = toxicity.learn(spark.createDataFrame([], "doc_id long, text string, label int"))
     assert {r["score"] for r in toxicity.score(edges(spark), none).collect()} == {0.5}
