@@ -73,6 +73,11 @@ def test_plan_uses_up_the_histogram():
         assert used == histogram
 
 
+def test_plan_of_every_length_is_tight():
+    histogram = {n: 1 + 200_000 // n for n in range(1, 4097)}
+    assert sum(n for _, n in packing.plan(histogram, 4096)) == -(-sum(k * n for k, n in histogram.items()) // 4096)
+
+
 def brute_warc(pages):
     last: dict[str, int] = {}
     for page, _, html in pages:
