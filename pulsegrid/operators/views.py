@@ -62,7 +62,7 @@ def canonical_people(contributors: DataFrame) -> DataFrame:
 def first_actions(t, keep: int = 7) -> DataFrame:
     """Per canonical contributor and repository the ``keep`` newest distinct actions.
 
-    Without merges, closings and reviews; commits count by address and day. Comments on issues are empty by
+    Without merges, closings, reviews and comments on commits, which the tables do not have; commits count by address and day. Comments on issues are empty by
     definition (the reference compares with a null), so that branch is left out.
     """
     people = t.contributors.select("cntrb_id", "login", "canonical").join(canonical_people(t.contributors), "canonical", "left")
@@ -90,26 +90,47 @@ def pr_response(pulls: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 ACTIONS = ("assigned", "unassigned", "labeled", "closed", "merged")
+#: The actions that the view counts; the bound test tables have only those of ACTIONS.
+VIEW_ACTIONS = ("assigned", "review_requested", "labeled", "unlabeled", "subscribed", "mentioned", "referenced", "closed", "head_ref_force_pushed", "head_ref_deleted", "milestoned", "merged")
 
 
-def pr_response_times(t, dedup_counts: bool = False) -> DataFrame:
+def pr_rollups(pulls: DataFrame, pr_commits: DataFrame, pr_meta: DataFrame, commits: DataFrame) -> DataFrame:
+    """id, commit_count, lines_added, lines_removed, file_count per pull request with a commit that counts.
+
+    pulls: id, repo_id, merge_sha; pr_commits: id, sha; pr_meta: id, meta_sha; commits: a row per file. A commit counts
+    once for each meta row with another hash, unless it is the merge commit, so lines multiply as in the view's
+    definition; the product is a weight and not rows. Nulls compare as in SQL: without a merge commit there is no row.
+    The view gives lines and files only where there is a base label; here they do not depend on labels.
+    """
+    metas = pr_meta.filter("meta_sha is not null")
+    every = metas.groupBy("id").agg(F.count("*").alias("every"))
+    same = metas.groupBy("id", F.col("meta_sha").alias("sha")).agg(F.count("*").alias("same"))
+    c = pr_commits.groupBy("id", "sha").agg(F.count("*").alias("n")).join(pulls.select("id", "repo_id", "merge_sha"), "id").filter("sha <> merge_sha")
+    c = c.join(every, "id").join(same, ["id", "sha"], "left").withColumn("by", F.col("n") * (F.col("every") - F.coalesce("same", F.lit(0)))).filter("by > 0")
+    lines = c.join(commits.select("repo_id", F.col("hash").alias("sha"), "filename", "added", "removed"), ["repo_id", "sha"])
+    lines = lines.groupBy("id").agg(F.sum(F.col("added") * F.col("by")).alias("lines_added"), F.sum(F.col("removed") * F.col("by")).alias("lines_removed"), F.count_distinct("filename").alias("file_count"))
+    return c.groupBy("id").agg(F.count("*").alias("commit_count")).join(lines, "id", "left")
+
+
+def pr_response_times(t, dedup_counts: bool = False, actions: tuple[str, ...] = ACTIONS) -> DataFrame:
     """Response measures per pull request.
 
     Events join messages, so counts multiply by the messages of the pull request as in the view's definition; the
     product is computed from two aggregates instead of the joined rows. ``dedup_counts`` gives plain counts.
-    Without an event or without a message all measures are null.
+    Without an event or without a message all measures are null. ``actions=VIEW_ACTIONS`` gives the view's twelve
+    counts; commits and lines are in ``pr_rollups``, labels and repeated units of time are left out.
     """
-    e = t.item_events.groupBy("item_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ACTIONS))
+    e = t.item_events.groupBy("item_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in actions))
     m = t.messages.groupBy("item_id").agg(F.count("*").alias("n"), F.min("msg_timestamp").alias("first"), F.max("msg_timestamp").alias("last"), F.count_distinct("msg_timestamp").alias("comment_count"))
     by = 1 if dedup_counts else F.col("n")
-    r = e.join(m, "item_id").select(F.col("item_id").alias("id"), "first", "last", "comment_count", *((F.col(a) * by).alias(f"{a}_count") for a in ACTIONS))
+    r = e.join(m, "item_id").select(F.col("item_id").alias("id"), "first", "last", "comment_count", *((F.col(a) * by).alias(f"{a}_count") for a in actions))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     hours = lambda c: F.round((micros(c) - micros("created_at")) / 3_600e6, 4)
     out = t.pull_requests.join(t.repos.select("repo_id", "repo_name", "repo_group_id"), "repo_id").join(t.repo_groups, "repo_group_id").join(r, "id", "left")
     return out.select(
         "id", "repo_id", "repo_name", F.col("rg_name").alias("repo_group"), "state", F.year("created_at").cast("long").alias("created_year"), F.month("closed_at").cast("long").alias("closed_month"),
         hours("closed_at").alias("hours_to_close"), hours("first").alias("hours_to_first_response"), hours("last").alias("hours_to_last_response"),
-        F.round((micros("last") - micros("first")) / 1e6 / F.col("comment_count"), 4).alias("seconds_between_responses"), "comment_count", *(f"{a}_count" for a in ACTIONS),
+        F.round((micros("last") - micros("first")) / 1e6 / F.col("comment_count"), 4).alias("seconds_between_responses"), "comment_count", *(f"{a}_count" for a in actions),
     )
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import random
+from types import SimpleNamespace
 
+import duckdb
 import pytest
+from conftest import assert_same
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators import merge
+from pulsegrid.operators import merge, views
 from pulsegrid.streaming import ingest
 
 CASES = [
@@ -89,3 +93,46 @@ def test_stream_drains_by_entity_and_replays_to_the_same_tables(spark, tmp_path)
         assert {(r["number"], r["state"]) for r in ingest.table(spark, str(tmp_path / "out"), "issue").collect()} == {(7, "closed"), (8, "open")}
         assert [(r["number"], r["event_id"]) for r in ingest.table(spark, str(tmp_path / "out"), "issue_event").collect()] == [(7, 1)]
     assert ingest.quarantine(spark.read.schema(ingest.STAGED).json(str(staged))).count() == 1
+
+
+VIEW_COUNTS = "assigned review_requested labeled unlabeled subscribed mentioned referenced closed head_ref_force_pushed head_ref_deleted milestoned merged".split()
+
+
+def test_pr_rollups_as_the_view_defines_them(spark):
+    rng = random.Random(8)
+    sha = lambda: rng.choice(["a", "b", "c", "d", None])
+    tables = {
+        "pulls": ("id long, repo_id long, merge_sha string", [(i, i % 3, sha()) for i in range(30)]),
+        "pr_commits": ("id long, sha string", [(rng.randrange(30), sha()) for _ in range(150)]),
+        "pr_meta": ("id long, meta_sha string", [(rng.randrange(30), sha()) for _ in range(60)]),
+        "commits": ("repo_id long, hash string, filename string, added long, removed long", [(r, h, f, rng.randrange(50), rng.randrange(50)) for r in range(3) for h in "abc" for f in "xyz"[: rng.randrange(1, 4)]]),
+    }
+    con = duckdb.connect()
+    frames = {}
+    for name, (schema, rows) in tables.items():
+        frames[name] = spark.createDataFrame(rows, schema)
+        con.execute(f"create table {name} ({schema.replace('long', 'bigint')})")
+        con.executemany(f"insert into {name} values ({', '.join('?' * len(rows[0]))})", rows)
+    sql = """
+        with x as (select c.id, c.sha, p.repo_id from pr_commits c, pulls p, pr_meta m
+                   where p.id = c.id and p.id = m.id and c.sha <> p.merge_sha and c.sha <> m.meta_sha),
+        n as (select id, count(distinct sha) as commit_count from x group by id),
+        l as (select id, sum(added) as lines_added, sum(removed) as lines_removed, count(distinct filename) as file_count
+              from x join commits k on k.repo_id = x.repo_id and k.hash = x.sha group by id)
+        select id, commit_count, cast(lines_added as bigint) as lines_added, cast(lines_removed as bigint) as lines_removed, file_count from n left join l using (id)"""
+    assert len(con.execute(sql).fetchall()) > 5
+    assert_same(views.pr_rollups(**frames), con, sql)
+
+
+def test_pr_response_counts_all_actions_of_the_view(spark):
+    frame = spark.createDataFrame
+    t = SimpleNamespace(
+        repos=frame([(1, "r", 2)], "repo_id long, repo_name string, repo_group_id long"), repo_groups=frame([(2, "g")], "repo_group_id long, rg_name string"),
+        pull_requests=frame([(7, 1, "open")], "id long, repo_id long, state string").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as created_at", "cast(null as timestamp_ntz) as closed_at"),
+        item_events=frame([(7, a) for i, a in enumerate(VIEW_COUNTS) for _ in range(i + 1)], "item_id long, action string"),
+        messages=frame([(7, 1), (7, 2)], "item_id long, h int").selectExpr("item_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, h) as msg_timestamp"),
+    )
+    row = views.pr_response_times(t, actions=views.VIEW_ACTIONS).first()
+    assert [row[f"{a}_count"] for a in VIEW_COUNTS] == [2 * (i + 1) for i in range(12)]
+    row = views.pr_response_times(t, True, views.VIEW_ACTIONS).first()
+    assert [row[f"{a}_count"] for a in VIEW_COUNTS] == [i + 1 for i in range(12)]
