@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space 0x09-0x0D and 0x20: the separators of ``[^\x20\x09-\x0D]+`` words.
@@ -23,9 +23,11 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; set here only where unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; set here only where unset and all is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -73,6 +75,12 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch's rows a few at a time, so that what a task makes of them stays small."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def chunks(values: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of at most ``limit`` bytes, one value at least."""
     begin = size = 0
@@ -167,3 +175,11 @@ def smallest_of(labels: DataFrame) -> DataFrame:
 def bucket_of(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
+
+def positive_hash(*columns) -> Column:
+    return F.xxhash64(*columns).bitwiseAND(F.lit(2**63 - 1))
+
+
+def least_hash(wanted: float, n: int) -> int:
+    """The bound of ``positive_hash`` that about ``wanted`` of n rows keep; it never falls to nothing."""
+    return min(2**63 - 1, int(wanted / max(1, n) * 2**63))
