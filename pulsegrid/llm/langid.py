@@ -3,28 +3,30 @@
 A text is the hashed counts of its byte pairs and triples (letters only, ASCII lowered), square-rooted and of
 length one. Linear support vector machines (squared hinge) are fitted for each pair of families and for each
 pair of languages of a family, in the driver, on a bounded sample of about ``SAMPLE`` labelled rows, dealt
-evenly to the languages. Pairs vote; the summed margins break ties. The score is the logistic of the smallest
+evenly to the (at most ``LANGUAGES``, the commonest) languages. Pairs vote; the summed margins break ties. The score is the logistic of the smallest
 winning margin of both levels.
 
-``und`` with score 0: null, empty, or no letter. Repeated rows give a row each; other columns are ignored. With
+``und`` with score 0: null, empty, or no letter (Unicode category L). Repeated rows give a row each; other columns are ignored. With
 no language learned, all is ``und``.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import least_hash, positive_hash, slices, texts
 from .toxicity import LETTERS
 
 WIDTH, SAMPLE = 1 << 12, 4_000
+#: The commonest languages that are learned.
+LANGUAGES = 200
 #: Families of language codes; a code that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -33,7 +35,7 @@ FAMILIES = {
     "uralic": ("fi", "hu", "et"),
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family(lang: str) -> str:
@@ -54,13 +56,12 @@ def features(values: list[bytes | None]) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, c: float = 300.0) -> np.ndarray:
     """w (the last entry is the bias) of the squared hinge; y is 1 or -1, both sides weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = z = np.zeros(x.shape[1], np.float32)
+    w = z = np.zeros(x.shape[1] + 1, np.float32)
     rate = 1 / (1 / c + 4)
     for t in range(rounds):
-        loss = np.maximum(0, 1 - y * (x @ z))
-        nxt = z - rate * (z / c - 2 * x.T @ (weight * y * loss))
+        pull = weight * y * np.maximum(0, 1 - y * (x @ z[:-1] + z[-1]))
+        nxt = z - rate * (z / c - 2 * np.append(pull @ x, pull.sum()))
         z = nxt + t / (t + 3) * (nxt - w)
         w = nxt
     return w
@@ -110,44 +111,54 @@ class Model:
         return [self.langs[i] for i in lang], 1 / (1 + np.exp(-4 * m))
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+def _sparse(row: np.ndarray) -> bytes:
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes()
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """labelled: doc_id, text, lang. Null languages and texts without letters teach nothing."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    each = sample / max(1, len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(1e6 * min(1.0, each / n)))]) if counts else None
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not counts:
+        return Model([], np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64))
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, least_hash(sample / len(counts), n))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                f = [row.tobytes() for row in features(texts(part.column("text")))]
+            for part in slices(batch):
+                f = [_sparse(row) for row in features(texts(part.column("text")))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(f, pa.binary())], ["doc_id", "lang", "f"])
 
-    if not counts:
-        return Model([], np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share[F.col("lang")])
+    chosen = known.filter(positive_hash("doc_id", "lang") <= share[F.col("lang")])
     got = chosen.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, f binary").toPandas().sort_values(["doc_id", "lang"])
     langs = sorted(set(got["lang"]))
-    x = np.frombuffer(b"".join(got["f"]), np.float32).reshape(-1, WIDTH)
+    x = np.zeros((len(got), WIDTH), np.float32)
+    for row, f in zip(x, got["f"], strict=True):
+        n = len(f) // 6
+        row[np.frombuffer(f, "<u2", n)] = np.frombuffer(f, "<f4", n, 2 * n)
     return Model(langs, x, np.array([langs.index(v) for v in got["lang"]], np.int64))
 
 
+def found(model: Model, text: str = "text") -> Column:
+    """lang_pred and score of a text column; the text itself does not come back from the task's Python."""
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(column: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for i in range(0, len(column), 256):
+            raw = texts(column.slice(i, 256))
+            one, sure = model.predict(features(raw)) if model.langs else (["und"] * len(raw), np.zeros(len(raw)))
+            for k, v in enumerate(raw):
+                if not v or not _LETTER.search(v.decode()):
+                    one[k], sure[k] = "und", 0.0
+            langs += one
+            scores += sure.tolist()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    return run(F.col(text))
+
+
 def identify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The given columns, lang_pred, score."""
-    fields = [docs.schema[c] for c in columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                raw = texts(part.column("__text"))
-                langs, scores = model.predict(features(raw)) if model.langs else (["und"] * len(raw), np.zeros(len(raw)))
-                for k, v in enumerate(raw):
-                    if not v or not _LETTER.search(v.decode()):
-                        langs[k], scores[k] = "und", 0.0
-                cols = [part.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
-
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, found(model).alias("__found")).select(*columns, "__found.lang_pred", "__found.score")

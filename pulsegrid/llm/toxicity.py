@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import least_hash, positive_hash, slices, texts
 
 BUCKETS, SAMPLE, LEAST, KEPT, FACTORS, PREFIX = 1 << 22, 12_000, 5, 1 << 14, 8, 5
 #: Least log-likelihood ratio of a kept term; chance terms would add up over long texts.
@@ -117,15 +117,16 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
     """labelled: doc_id, text, label (0 or 1)."""
     known = labelled.filter(F.col("label").isNotNull())
     n = known.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(1, n)))
+    chosen = positive_hash("doc_id", F.lit("toxicity")) <= least_hash(sample, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.fromiter(sorted(terms(t)), np.int32).tobytes() for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "terms"])
+            for part in slices(batch):
+                found = [np.fromiter(sorted(terms(t)), np.int32).tobytes() for t in texts(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "terms"])
 
     # Bounded: about ``sample`` rows.
-    got = known.filter(part).select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, terms binary")
+    got = known.filter(chosen).select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, terms binary")
     got = got.toPandas().sort_values(["doc_id", "label"])
     return fit([np.frombuffer(t, np.int32) for t in got["terms"]], got["label"].to_numpy(np.float64))
 
