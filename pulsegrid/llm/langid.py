@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hash, positive_hash, slices, texts
+from .common import least_hash, positive_hash, slices, small_batches, texts
 from .toxicity import LETTERS
 
 WIDTH, SAMPLE = 1 << 12, 4_000
@@ -118,6 +118,7 @@ def _sparse(row: np.ndarray) -> bytes:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """labelled: doc_id, text, lang. Null languages and texts without letters teach nothing."""
+    small_batches(labelled.sparkSession)
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table, texts
 
 #: Entries of a worker's cache of white-space-separated chunks; when full it is emptied.
-CACHE = 900_000
+CACHE = 300_000
 _tokenizers: dict[str, "_Tokens"] = {}
 #: The tokenizer's splitter parts runs of letters, single digits and runs of marks (but for apostrophes' endings and special tokens).
 _PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, hmm_lm, kdtree, langid, licences, ngram_join, packing, pii, toxicity, warc
-from .common import bucket_of, table
+from .common import bucket_of, small_batches
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
