@@ -5,7 +5,8 @@ machine scores ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over the terms present: th
 terms together (an insult and a mention of a group) say more than their sum.
 
 The machine is fitted in the driver on a bounded sample of at most about ``SAMPLE`` labelled rows, taken by
-hash; terms are kept that occur in ``LEAST`` sampled texts or more, the ``KEPT`` most telling of them. Scoring
+hash; terms are kept that occur in ``LEAST`` sampled texts or more, the ``KEPT`` most telling of them, and terms that tell in
+pairs only. Scoring
 runs over every whole text in tasks.
 
 Null and empty texts have no terms and get the bias alone. Repeated rows give a row each. Without labels of
@@ -27,6 +28,8 @@ from .common import least_hash, positive_hash, slices, texts
 BUCKETS, SAMPLE, LEAST, KEPT, FACTORS, PREFIX = 1 << 22, 12_000, 5, 1 << 14, 8, 5
 #: Least log-likelihood ratio of a kept term; chance terms would add up over long texts.
 TELLING = 8.0
+#: A pair of the ``FREQUENT`` commonest terms keeps both, whatever they tell alone, if it tells so much more than the better of them.
+FREQUENT, PAIR_TELLING = 1_024, 40.0
 MEMO = 400_000
 #: ASCII letters lowered; all other ASCII is blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -49,6 +52,19 @@ def terms(text: bytes | None) -> set[int]:
     return out
 
 
+def _pair_terms(x: np.ndarray, labels: np.ndarray, share: float) -> np.ndarray:
+    """Columns of x (texts by terms, 0 or 1) that stand in a pair that tells more than either term."""
+    both, toxic = x.T @ x, x[labels == 1].T @ x[labels == 1]
+    n, p = np.diag(both), (np.diag(toxic) + share) / (np.diag(both) + 1)
+    tell = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
+    base = np.where(tell[:, None] > tell[None, :], p[:, None], p[None, :])
+    base = np.clip(base, 1e-4, 1 - 1e-4)
+    q = (toxic + base) / (both + 1)
+    more = both * (q * np.log(np.maximum(q, 1e-12) / base) + (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - base)))
+    np.fill_diagonal(more, 0)
+    return np.flatnonzero(more.max(1, initial=0) > PAIR_TELLING)
+
+
 class Machine:
     """bias, w (n), v (n, FACTORS) of the kept buckets."""
 
@@ -79,6 +95,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 25, rate: floa
     kept = np.sort(kept[np.argsort(-tell[kept], kind="stable")[:KEPT]])
     kept = kept[tell[kept] > TELLING]
     place = np.full(len(all_), -1)
+    common = np.sort(np.argsort(-n, kind="stable")[:FREQUENT])
+    common = common[n[common] >= LEAST]
+    place[common] = np.arange(len(common))
+    present = np.zeros((len(rows), len(common)), np.float32)
+    column, row = place[inverse], np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    present[row[column >= 0], column[column >= 0]] = 1
+    kept = np.union1d(kept, common[_pair_terms(present, labels, share)])
+    place[:] = -1
     place[kept] = np.arange(len(kept))
     at = np.r_[0, np.cumsum([len(r) for r in rows])]
     x = [(lambda t: t[t >= 0])(place[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
