@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -41,13 +42,19 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, bytes]]:
 _FUZZY = [(phrase.encode(), label, errors, pieces(phrase, errors)) for phrase, (label, errors) in NOTICES.items()]
 
 
+def blanks_of(padded: bytes) -> np.ndarray:
+    """Where the blanks stand: the word that begins after blank i is word i, counted once for all places."""
+    return np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
+
+
 def base_places(padded: bytes) -> list[tuple[int, str]]:
     """(word index, label) of every place of a base phrase; padded: b' word word '."""
-    out = []
+    out, blanks = [], None
     for phrase, label in PHRASES.items():
         needle, at = b" " + phrase.encode() + b" ", -1
         while (at := padded.find(needle, at + 1)) >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            blanks = blanks_of(padded) if blanks is None else blanks
+            out.append((int(np.searchsorted(blanks, at)), label))
     return out
 
 
@@ -110,7 +117,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 own = {x[2] for x in fuzzy}
                 best = max([1.0] * bool(base) + [1 - x[3] / (x[1] - x[0] + 1) for x in fuzzy], default=0.0)
                 where = [i for i, _ in base]
-                spans = ",".join(f"{padded.count(b' ', 0, a) - 1}:{padded.count(b' ', 0, b)}:{x}:{e}" for a, b, x, e in sorted(fuzzy))
+                blanks = blanks_of(padded) if fuzzy else None
+                spans = ",".join(f"{np.searchsorted(blanks, a) - 1}:{np.searchsorted(blanks, b)}:{x}:{e}" for a, b, x, e in sorted(fuzzy))
                 rows.append((len(words), len(base), min(where, default=None), max(where, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | own)), best, spans))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
