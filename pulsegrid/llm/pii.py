@@ -36,6 +36,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"\W{0,3}(?:no\.?|number|nr\.?|#)?\W{0,3}((?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[0-9](?:[ -]?[0-9]){5,17}))(?![A-Za-z0-9])", re.I)
 _LOGIN = re.compile(r"[A-Za-z0-9._%+:-]++(?=@)")
+#: A-Z lowered, for cues and schemes in any spelling; no place moves.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _automaton: list[ahocorasick.Automaton] = []
 
 
@@ -49,8 +51,7 @@ def automaton() -> ahocorasick.Automaton:
         for s in SCHEMES:
             a.add_word(s, ("scheme", len(s)))
         for c in CUES:
-            for form in {c, c.upper(), c.capitalize()}:
-                a.add_word(form, ("cue", len(c)))
+            a.add_word(c, ("cue", len(c)))
         a.make_automaton()
         _automaton.append(a)
     return _automaton[0]
@@ -67,7 +68,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     mail = dotted = card = phone = 0  # where the next match of a kind may begin
     n = len(text)
-    for last, (anchor, width) in automaton().iter(text):
+    for last, (anchor, width) in automaton().iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         if anchor == "digit":
             if last >= dotted:
                 m = _DOTTED.match(text, last)
