@@ -29,6 +29,7 @@ import warnings
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,19 +116,29 @@ class Benchmark:
                         t, c = np.unique(np.frombuffer(p["terms"], np.int32), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), p["block"], np.int32)), pa.array(t), pa.array(c)], ["block", "term", "n"])
 
-        for b, path in enumerate(self.paths):
-            counts = index.select(F.filter("postings", lambda p: p["block"] == b).alias("postings")).filter(F.size("postings") > 0)
-            counts = counts.mapInArrow(run, "block int, term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+        paths = self.paths
+
+        def order(counts: pd.DataFrame) -> pd.DataFrame:
+            path = paths[int(counts["block"].iloc[0])]
             block = _load(path)
             n = np.zeros(len(block["terms"]), np.int64)
-            n[counts["term"].to_numpy()] = counts["n"].to_numpy()
+            known = counts[counts["term"] >= 0]
+            n[known["term"].to_numpy()] = known["n"].to_numpy()
             block["windows"] = [(w, i, tuple(sorted(range(len(w)), key=lambda k: (n[w[k]], k)))) for w, i, *_ in block["windows"]]
             by: dict[int, list[int]] = {}
             for k, (w, _, order) in enumerate(block["windows"]):
                 by.setdefault(w[order[0]], []).append(k)
             block["by_rarest"] = by
-            self.paths[b] = f"{path}.ranked"  # never rewritten: tasks keep what they have read
-            _write(self.paths[b], block)
+            _write(f"{path}.ranked", block)  # another file: tasks keep what they have read
+            return counts[["block"]].head(1)
+
+        # One job for all blocks; a group holds the terms of one block, which is bounded.
+        spark = index.sparkSession
+        every = spark.createDataFrame([(b, -1, 0) for b in range(len(paths))], "block int, term int, n long")
+        counts = index.select("postings").mapInArrow(run, "block int, term int, n long").groupBy("block", "term").agg(F.sum("n").alias("n"))
+        if paths:
+            counts.unionByName(every).groupBy("block").applyInPandas(order, "block int").collect()  # a number for each block
+        self.paths = [f"{path}.ranked" for path in paths]
 
 
 def build_index(docs: DataFrame, bench: Benchmark, every: bool = False) -> DataFrame:
