@@ -25,27 +25,53 @@ def staged_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(STAGED).option("maxFilesPerTrigger", files).json(path)
 
 
-def parse(batch: DataFrame, entity: str) -> DataFrame:
-    """Rows of one entity; unreadable payloads have a null key and are left to ``quarantine``."""
+def _read_payloads(batch: DataFrame, entity: str) -> DataFrame:
+    """The staged rows of one entity with their columns, and whether all keys are there."""
     keys, schema = ENTITIES[entity]
     rows = batch.filter(F.col("entity_type") == entity).withColumn("r", F.from_json(strip_json_nul(F.col("payload")), schema, {"mode": "PERMISSIVE"}))
-    cols = [f.name for f in rows.schema["r"].dataType.fields]
-    out = rows.select("seq", *(["repo_id"] if "repo_id" in keys else []), *(F.col(f"r.{c}").alias(c) for c in cols))
-    return out.dropna(subset=keys)
+    ok = F.lit(True)
+    for k in keys:
+        ok = ok & F.col("repo_id" if k == "repo_id" else f"r.{k}").isNotNull()
+    return rows.withColumn("ok", ok)
+
+
+def parse(batch: DataFrame, entity: str) -> DataFrame:
+    """Rows of one entity; those without a readable key are left to ``quarantine``."""
+    rows = _read_payloads(batch, entity).filter("ok")
+    return rows.select("seq", *(["repo_id"] if "repo_id" in ENTITIES[entity][0] else []), "r.*")
 
 
 def quarantine(batch: DataFrame) -> DataFrame:
-    return batch.filter(~F.col("entity_type").isin(*ENTITIES) | F.get_json_object("payload", "$").isNull())
+    """Staged rows of unknown entities, with unreadable payloads, or without a key."""
+    out = batch.filter(F.col("entity_type").isNull() | ~F.col("entity_type").isin(*ENTITIES))
+    for entity in ENTITIES:
+        out = out.unionByName(_read_payloads(batch, entity).filter("not ok").select(*batch.columns))
+    return out
+
+
+def _pointers(spark: SparkSession, root: str, entity: str) -> list[int]:
+    """Numbers of the complete pointers of an entity; one that a crash cut short does not count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{entity}/pointers")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{entity}/pointers/{n}/_SUCCESS"))
+    return sorted(int(n) for n in names if n.isdigit() and done(n))
+
+
+def _version(spark: SparkSession, root: str, entity: str) -> str | None:
+    numbers = _pointers(spark, root, entity)
+    return spark.read.text(f"{root}/{entity}/pointers/{numbers[-1]:012d}").first()[0] if numbers else None
+
+
+def _point(spark: SparkSession, root: str, entity: str, version: str) -> None:
+    """A new pointer beside the old ones: whatever happens, the newest complete one names a whole table."""
+    number = (_pointers(spark, root, entity) or [-1])[-1] + 1
+    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/{entity}/pointers/{number:012d}")
 
 
 def _read(spark: SparkSession, root: str, entity: str, like: DataFrame) -> DataFrame:
-    path = f"{root}/{entity}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return spark.createDataFrame([], like.schema)
-    version = spark.read.text(f"{path}/current").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
+    version = _version(spark, root, entity)
+    return spark.read.parquet(f"{root}/{entity}/{version}") if version else spark.createDataFrame([], like.schema)
 
 
 def merge_batch(root: str):
@@ -54,6 +80,7 @@ def merge_batch(root: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
+        quarantine(batch).write.mode("overwrite").json(f"{root}/quarantine/{batch_id:012d}")
         for entity, (keys, _) in ENTITIES.items():
             new = dedupe(parse(batch, entity), keys, [F.desc("seq")]).drop("seq")
             if entity in PARENTS:  # children without a parent are skipped
@@ -62,7 +89,7 @@ def merge_batch(root: str):
             old = _read(spark, root, entity, new)
             version = f"v{batch_id}-{uuid.uuid4().hex[:8]}"  # a replay never writes what it reads
             upsert(old, new, keys).write.mode("overwrite").parquet(f"{root}/{entity}/{version}")
-            spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/{entity}/current")
+            _point(spark, root, entity, version)
         batch.unpersist()
 
     return run
@@ -74,8 +101,7 @@ def drain(stream: DataFrame, root: str, checkpoint: str) -> None:
 
 
 def table(spark: SparkSession, root: str, entity: str) -> DataFrame:
-    version = spark.read.text(f"{root}/{entity}/current").first()[0]
-    return spark.read.parquet(f"{root}/{entity}/{version}")
+    return spark.read.parquet(f"{root}/{entity}/{_version(spark, root, entity)}")
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

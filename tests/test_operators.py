@@ -93,6 +93,35 @@ def test_stream_drains_by_entity_and_replays_to_the_same_tables(spark, tmp_path)
         assert {(r["number"], r["state"]) for r in ingest.table(spark, str(tmp_path / "out"), "issue").collect()} == {(7, "closed"), (8, "open")}
         assert [(r["number"], r["event_id"]) for r in ingest.table(spark, str(tmp_path / "out"), "issue_event").collect()] == [(7, 1)]
     assert ingest.quarantine(spark.read.schema(ingest.STAGED).json(str(staged))).count() == 1
+    assert spark.read.json(f"{tmp_path}/out/quarantine/*").count() == 1
+    # A crash between a new version and its pointer: the half-written pointer does not count.
+    before = ingest.table(spark, str(tmp_path / "out"), "issue").count()
+    (tmp_path / "out" / "issue" / "pointers" / "000000000099").mkdir()
+    assert ingest.table(spark, str(tmp_path / "out"), "issue").count() == before
+    ingest.drain(ingest.staged_stream(spark, str(staged)), str(tmp_path / "out"), str(tmp_path / "three"))
+    assert ingest.table(spark, str(tmp_path / "out"), "issue").count() == before
+
+
+def test_scalars_of_reports(spark):
+    at = lambda c: spark.range(1).select(c).first()[0]
+    assert at(S.is_bot(F.lit("x[bot]@y"))) and not at(S.is_bot(F.lit("1+me@users.noreply.github.com")))
+    assert at(S.pick_cve(F.array(F.lit("G"), F.lit("CVE-2")))) == "CVE-2" and at(S.pick_cve(F.array(F.lit("G")))) == ""
+    assert at(S.ellipsis(F.lit("abcdef"), 3)) == "abc..." and at(S.ellipsis(F.lit("abc"), 3)) == "abc"
+    assert at(S.diff_counts(F.lit("+++ b\n+x\n-y\n+z"), "+")) == 2 and len(at(S.package_id(F.lit("a"), F.lit("1")))) == 16
+    assert at(S.licence_cut(F.lit("First line\nmore"))) == "First line"
+    assert at(S.version_clean(F.lit("~> 1.2"))) == "1.2" and at(S.version_clean(F.lit("^1 || ^2"))) == "1" and at(S.version_clean(F.lit("!=1.0"))) == "1.0"
+
+
+def test_merge_contributors_parents_and_backfill(spark):
+    people = spark.createDataFrame([("a", 1, "a@x", "", "C", "i1"), ("a", 2, "long@x", "Ann", "", "i2")], "login string, seq int, email string, name string, company string, identity string")
+    row = merge.merge_contributors(people).first()
+    assert (row["email"], row["name"], row["company"], row["identities"]) == ("long@x", "Ann", "C", ["i1", "i2"])
+    commits = spark.createDataFrame([(1, "h1"), (1, "h2")], "repo_id int, hash string")
+    edges = spark.createDataFrame([(1, "h2", "h1"), (1, "h2", "gone"), (2, "h2", "h1")], "repo_id int, hash string, parent_hash string")
+    assert [(r["hash"], r["parent_hash"]) for r in merge.resolve_parents(edges, commits).collect()] == [("h2", "h1")]
+    rows = spark.createDataFrame([("k", ""), ("k", "v"), ("z", None)], "key string, who string")
+    lookup = spark.createDataFrame([("k", "b"), ("k", "a")], "key string, who string")
+    assert sorted((r["key"], r["who"] or "") for r in merge.backfill(rows, lookup, "key", "who").collect()) == [("k", "a"), ("k", "v"), ("z", "")]
 
 
 VIEW_COUNTS = "assigned review_requested labeled unlabeled subscribed mentioned referenced closed head_ref_force_pushed head_ref_deleted milestoned merged".split()
