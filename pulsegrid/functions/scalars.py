@@ -159,11 +159,9 @@ def strip_json_nul(text: Column) -> Column:
 
 
 def version_clean(raw: Column) -> Column:
+    """The first version of a range without its operators, each of which is taken off once, in a fixed order."""
     first = F.trim(F.regexp_extract(F.trim(raw), r"^([^,|]+|[,|].*|)", 1))
-    out = first
-    for p in ("^", "~=", "~", ">=", "<=", "==", "!=", ">", "<", "="):
-        out = F.when(out.startswith(p), F.substring(out, len(p) + 1, 1 << 30)).otherwise(out)
-    return F.trim(out)
+    return F.trim(F.regexp_replace(first, r"^\^?(?:~=)?~?(?:>=)?(?:<=)?(?:==)?(?:!=)?>?<?=?", ""))
 
 
 def version_pad(v: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reports import vulnerability_counts
+
 PERIODS = ("day", "week", "month", "year")
 
 
@@ -56,13 +58,18 @@ def weekly_series(commits: DataFrame, pull_requests: DataFrame, issues: DataFram
     return rows.groupBy("repo_id", "metric", bucket("ts", "week").alias("week")).agg(F.count_distinct("key").alias("value"))
 
 
-def contributor_summary(commits: DataFrame, pull_requests: DataFrame, issues: DataFrame) -> DataFrame:
-    """Counts per contributor from three pre-aggregated sources."""
-    c = commits.groupBy(F.col("author_id").alias("cntrb_id")).agg(F.count_distinct("hash").alias("n")).withColumn("kind", F.lit("commits"))
-    p = pull_requests.groupBy(F.col("author_id").alias("cntrb_id")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("prs"))
-    i = issues.groupBy(F.col("author_id").alias("cntrb_id")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("issues"))
-    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
-    return c.unionByName(p).unionByName(i).groupBy("cntrb_id").agg(total("commits"), total("prs"), total("issues"))
+def contributor_summary(commits: DataFrame, pull_requests: DataFrame, issues: DataFrame, repos: DataFrame, begin: str, end: str) -> DataFrame:
+    """Activity per repository and contributor within the range (inclusive), from three pre-aggregated sources; comments are not counted."""
+    sources = (("commits", commits, "authored_at", F.count_distinct("hash")), ("issues", issues, "created_at", F.count("*")), ("prs", pull_requests, "created_at", F.count("*")))
+    parts = []
+    for kind, rows, when, n in sources:
+        rows = rows.filter(F.col("author_id").isNotNull() & F.col(when).between(F.lit(begin).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+        counts = rows.groupBy("repo_id", "author_id").agg(n.alias("n"))
+        parts.append(counts.select("repo_id", "author_id", *(F.when(F.lit(k == kind), F.col("n")).otherwise(0).alias(k) for k, *_ in sources)))
+    total = F.col("commits") + F.col("issues") + F.col("prs")
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("repo_id", "author_id").agg(*(F.sum(k).alias(k) for k, *_ in sources))
+    out = out.select("repo_id", F.coalesce(F.col("author_id").cast("string"), F.lit("unknown")).alias("user_id"), "commits", "issues", "prs", F.lit(0).cast("long").alias("issue_comments"), F.lit(0).cast("long").alias("pr_comments"), total.alias("total"))
+    return named(out, repos)
 
 
 def new_contributors(commits: DataFrame, issues: DataFrame, period: str, dedupe: bool = False) -> DataFrame:
@@ -86,17 +93,19 @@ def period_aggregates(commits: DataFrame, period: str, keys: tuple[str, ...] = (
     parts["month"] = [*parts["year"], F.month("authored_at").cast("long").alias("month")]
     parts["week"] = [*parts["year"], F.weekofyear("authored_at").cast("long").alias("week")]
     who = F.coalesce(F.nullif(F.trim("affiliation"), F.lit("")), F.lit("(Unknown)")).alias("affiliation")
-    return commits.groupBy(*keys, "author_email", who, *parts[period]).agg(
-        F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count_distinct("filename").alias("files"), F.count_distinct("hash").alias("patches")
+    return commits.filter("authored_at is not null").groupBy(*keys, "author_email", who, *parts[period]).agg(
+        F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum("whitespace").alias("whitespace"), F.count_distinct("filename").alias("files"), F.count_distinct("hash").alias("patches")
     )
 
 
-def repo_stats(repos: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame, info: DataFrame) -> DataFrame:
+def repo_stats(repos: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame, info: DataFrame, findings: DataFrame) -> DataFrame:
+    """Gathered counts, those of the newest metadata, and vulnerabilities (findings: repo_id, vector)."""
     count = lambda df, name: df.groupBy("repo_id").agg(F.count("*").alias(name))
     c = commits.groupBy("repo_id").agg(F.count_distinct("hash").alias("commits"))
     newest = info.groupBy("repo_id").agg(F.max_by(F.struct("pr_count", "issues_count", "commit_count"), F.struct("collected_at", "info_id")).alias("m"))
     newest = newest.select("repo_id", *(F.col(f"m.{k}").alias(f"meta_{k}") for k in ("pr_count", "issues_count", "commit_count")))
     out = repos.select("repo_id", "repo_name")
-    for df in (count(pulls, "prs"), count(issues, "issues"), c, newest):
+    found = vulnerability_counts(findings).withColumnsRenamed({"total": "vulnerabilities", "critical": "critical_vulnerabilities"})
+    for df in (count(pulls, "prs"), count(issues, "issues"), c, newest, found):
         out = out.join(df, "repo_id", "left")
     return out.fillna(0)

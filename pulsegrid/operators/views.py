@@ -60,18 +60,30 @@ def canonical_people(contributors: DataFrame) -> DataFrame:
 
 
 def first_actions(t, keep: int = 7) -> DataFrame:
-    """Per canonical contributor and repository the ``keep`` newest distinct actions.
+    """Per contributor and repository the ``keep`` newest distinct actions of seven kinds.
 
-    Without merges, closings, reviews and comments on commits, which the tables do not have; commits count by address and day. Comments on issues are empty by
-    definition (the reference compares with a null), so that branch is left out.
+    Issues and commits carry the canonical id of their author (commits count by address and day), closed issues, comments on
+    commits, pull requests and their comments the id of who acted. Comments on issues are empty by definition (the
+    view compares with a null), so that branch adds nothing and is left out.
     """
     people = t.contributors.select("cntrb_id", "login", "canonical").join(canonical_people(t.contributors), "canonical", "left")
-    by_id = lambda df, who, when, action: df.join(people, df[who] == people["cntrb_id"], "left").select(F.col("canonical_id").alias("id"), F.col(when).alias("created_at"), "repo_id", F.lit(action).alias("action"), "login")
-    c = t.commits.select("repo_id", "author_email", F.date_trunc("day", "authored_at").cast("timestamp_ntz").alias("day")).distinct()
-    c = c.join(people, c["author_email"] == people["canonical"], "left").select(F.col("canonical_id").alias("id"), F.col("day").alias("created_at"), "repo_id", F.lit("commit").alias("action"), "login")
-    rows = by_id(t.issues, "author_id", "created_at", "issue_opened").unionByName(c).unionByName(by_id(t.pull_requests, "author_id", "created_at", "pull_request_open"))
-    talk = t.messages.select("cntrb_id", "msg_timestamp", "item_id").withColumnRenamed("cntrb_id", "who").join(t.pull_requests.select(F.col("id").alias("item_id"), "repo_id"), "item_id")
-    rows = rows.unionByName(by_id(talk, "who", "msg_timestamp", "pull_request_comment")).filter("id is not null").distinct()
+    own = people.select(F.col("cntrb_id").alias("who"), "login", "canonical_id")
+
+    def acts(df: DataFrame, who: str, when: str, action: str, canonical: bool = False) -> DataFrame:
+        rows = df.select(F.col(who).alias("who"), F.col(when).alias("created_at"), "repo_id").distinct().join(own, "who", "left")
+        return rows.select((F.col("canonical_id") if canonical else F.col("who")).alias("id"), "created_at", "repo_id", F.lit(action).alias("action"), "login")
+
+    c = t.commits.select("repo_id", "author_email", F.date_trunc("day", "authored_at").cast("timestamp_ntz").alias("created_at")).distinct()
+    c = c.join(people, c["author_email"] == people["canonical"], "left").select(F.col("canonical_id").alias("id"), "created_at", "repo_id", F.lit("commit").alias("action"), "login")
+    pulls, issues = (x.select(F.col("id").alias("item_id"), "repo_id") for x in (t.pull_requests, t.issues))
+    notes = t.commit_comments.join(t.commits.select("hash", "repo_id").distinct(), "hash")
+    closed = t.item_events.filter("action = 'closed' and cntrb_id is not null").join(issues, "item_id")
+    branches = [
+        acts(t.issues, "author_id", "created_at", "issue_opened", True), c, acts(notes, "cntrb_id", "created_at", "commit_comment"),
+        acts(closed, "cntrb_id", "created_at", "issue_closed"), acts(t.pull_requests, "author_id", "created_at", "open_pull_request"),
+        acts(t.messages.join(pulls, "item_id"), "cntrb_id", "msg_timestamp", "pull_request_comment"),
+    ]
+    rows = reduce(DataFrame.unionByName, branches).filter("id is not null").distinct()
     w = Window.partitionBy("id", "repo_id").orderBy(F.desc_nulls_first("created_at"), "action", "login")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= keep)
 
@@ -135,9 +147,9 @@ def pr_response_times(t, dedup_counts: bool = False, actions: tuple[str, ...] =
 
 
 def language_breakdown(labor: DataFrame, minutes: int = 5) -> DataFrame:
-    """Files and lines by language of each repository's latest scan, rows up to some minutes older included."""
+    """Files and lines by language of each repository's latest scan, rows less than some minutes older included."""
     latest = labor.groupBy("repo_id").agg(F.max("analysed_at").alias("latest"))
-    rows = labor.join(latest, "repo_id").filter(F.col("analysed_at") >= F.col("latest") - F.make_dt_interval(mins=F.lit(minutes)))
+    rows = labor.join(latest, "repo_id").filter(F.col("analysed_at") > F.col("latest") - F.make_dt_interval(mins=F.lit(minutes)))
     return rows.groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.sum("code_lines").alias("code_lines"), F.max("complexity").alias("complexity"))
 
 
@@ -146,6 +158,10 @@ def repo_files(labor: DataFrame) -> DataFrame:
     return labor.join(latest, ["repo_id", "analysed_at"], "left_semi").select("repo_id", "file_path", "language", "code_lines")
 
 
-def contributors_per_file(commits: DataFrame) -> DataFrame:
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",")
-    return commits.groupBy("repo_id", "filename").agg(joined("author_id").alias("author_ids"), joined("author_email").alias("emails"))
+def contributors_per_file(pulls: DataFrame, files: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Authors and reviewers of the pull requests that touch each path. files: id, path; reviews: id, cntrb_id."""
+    joined = lambda c: F.coalesce(F.array_join(F.array_sort(F.collect_set(c)), ","), F.lit(""))
+    touched = files.distinct().join(pulls.select("id", "repo_id", F.col("author_id").cast("string").alias("author")), "id")
+    said = touched.join(reviews.select("id", F.col("cntrb_id").cast("string").alias("reviewer")).distinct(), "id", "left")
+    people = said.select("repo_id", F.coalesce("path", F.lit("")).alias("file_path"), "author", "reviewer").distinct()
+    return people.groupBy("repo_id", "file_path").agg(joined("author").alias("cntrb_ids"), joined("reviewer").alias("reviewer_ids"))

@@ -29,7 +29,8 @@ class Tables:
         git = F.concat(F.lit("https://forge.example.org/"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("-")), F.lit("/"), F.lower("n_name"), F.lit(".git"))
         # 25 rows by contract of the binding: the dimension is broadcast by its statistics, not by a hint.
         return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-            F.col("n_nationkey").cast("long").alias("repo_id"), F.col("n_regionkey").cast("long").alias("repo_group_id"), F.col("n_name").alias("repo_name"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("-")).alias("repo_owner"), git.alias("repo_git")
+            F.col("n_nationkey").cast("long").alias("repo_id"), F.col("n_regionkey").cast("long").alias("repo_group_id"), F.col("n_name").alias("repo_name"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("-")).alias("repo_owner"), git.alias("repo_git"),
+            (F.lit("2023-06-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("n_nationkey") * 15)).alias("collected_at"),
         )
 
     @cached_property
@@ -50,6 +51,7 @@ class Tables:
             F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "closed").otherwise("merged").alias("state"),
             F.when(F.col("o_orderstatus") != "O", end).alias("closed_at"), F.when(F.col("o_orderstatus") == "P", end).alias("merged_at"),
             F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("is_issue"),
+            (F.col("o_orderdate") + F.make_dt_interval(days=(F.col("o_orderkey") % 400).cast("int"))).alias("updated_at"),
         )
 
     @cached_property
@@ -71,9 +73,29 @@ class Tables:
             "repo_id", F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("filename"), dev.alias("author_id"),
             F.concat(F.lit("dev"), dev.cast("string"), F.lit("@org"), (dev % 7).cast("string"), F.lit(".example.com")).alias("author_email"),
             F.nullif(F.col("r.l_returnflag"), F.lit("N")).alias("affiliation"), F.col("r.l_shipdate").alias("authored_at"),
-            F.col("r.l_quantity").cast("long").alias("added"), F.col("r.l_linenumber").cast("long").alias("removed"),
+            F.col("r.l_quantity").cast("long").alias("added"), F.col("r.l_linenumber").cast("long").alias("removed"), (F.col("r.l_linenumber") % 3).cast("long").alias("whitespace"),
         )
 
+    @cached_property
+    def pr_files(self) -> DataFrame:
+        """id, path: the files of the commits that bear a pull request's id."""
+        return self.pull_requests.select("id").join(self.commits.select(F.col("hash").alias("id"), F.col("filename").cast("string").alias("path")), "id")
+
+    @cached_property
+    def pr_reviews(self) -> DataFrame:
+        """id, cntrb_id: who labelled the pull request."""
+        return self.item_events.filter("action = 'labeled'").select(F.col("item_id").alias("id"), "cntrb_id")
+
+    @cached_property
+    def commit_comments(self) -> DataFrame:
+        """hash, cntrb_id, created_at: system messages of an item are notes on the commit of that id."""
+        return self.messages.filter("kind = 'system'").select(F.col("item_id").alias("hash"), "cntrb_id", F.col("msg_timestamp").alias("created_at"))
+
+    @cached_property
+    def vulnerabilities(self) -> DataFrame:
+        vector = F.element_at(F.array(*map(F.lit, VECTORS)), (F.col("p_partkey") % len(VECTORS) + 1).cast("int"))
+        return self.raw("part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_partkey").alias("finding_id"), vector.alias("vector"))
+
     @cached_property
     def item_events(self) -> DataFrame:
         """Events of items: the event's id names the item."""
@@ -95,7 +117,7 @@ class Tables:
         licence = F.element_at(F.array(*map(F.lit, LICENCES)), (F.col("p_partkey") % len(LICENCES) + 1).cast("int"))
         return self.raw("part").select(
             (F.col("p_partkey") % 25).alias("repo_id"), F.col("p_partkey").alias("dep_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("manager"), F.col("p_type").alias("kind"),
-            licence.alias("license"), F.col("p_size").cast("double").alias("libyear"), day.alias("collected_at"), F.col("p_retailprice").alias("price"),
+            licence.alias("license"), F.concat(F.lit("^"), (F.col("p_partkey") % 9).cast("string")).alias("requirement"), F.concat((F.col("p_partkey") % 9).cast("string"), F.lit(".0")).alias("current_version"), F.lit("9.0").alias("latest_version"), F.col("p_size").cast("double").alias("libyear"), day.alias("collected_at"), F.col("p_retailprice").alias("price"),
         )
 
     @cached_property
@@ -110,38 +132,44 @@ class Tables:
     @cached_property
     def labor(self) -> DataFrame:
         minute = F.lit("2024-02-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("p_partkey") % 8).cast("int"))
-        return self.raw("part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_brand").alias("language"), F.col("p_name").alias("file_path"), (F.col("p_size") * 10).cast("long").alias("code_lines"), (F.col("p_size") % 7).cast("long").alias("complexity"), minute.alias("analysed_at"))
+        return self.raw("part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_brand").alias("language"), F.col("p_name").alias("file_path"), (F.col("p_size") * 10).cast("long").alias("code_lines"), (F.col("p_size") % 7).cast("long").alias("complexity"), (F.col("p_size") % 5).cast("long").alias("blank_lines"), (F.col("p_size") % 11).cast("long").alias("comment_lines"), minute.alias("analysed_at"))
 
 
 #: Raw licence strings given to dependencies by the binding (test data of our own).
 LICENCES = ("MIT License", "Apache 2.0", "BSD", "GPLv3", "", "NOASSERTION", "ISC license", "Custom terms", " mit ", "MPL 2.0")
 
+#: Vectors given to findings by the binding.
+VECTORS = ("CVSS:3.1/AV:N/AC:L/C:H/I:H/A:H", "CVSS:3.1/AV:N/AC:L/C:L/I:H/A:N", "CVSS:3.1/AV:L/AC:H", "CVSS:3.1/AV:N/AC:H")
+
 _END = "o_orderdate + to_days(cast(o_orderkey % 120 + 1 as int))"
 CTES = f"""
 with repo_groups as (select cast(r_regionkey as bigint) as repo_group_id, r_name as rg_name from region),
 repos as (select cast(n_nationkey as bigint) as repo_id, cast(n_regionkey as bigint) as repo_group_id, n_name as repo_name, replace(lower(r_name), ' ', '-') as repo_owner,
-    'https://forge.example.org/' || replace(lower(r_name), ' ', '-') || '/' || lower(n_name) || '.git' as repo_git from nation join region on n_regionkey = r_regionkey),
+    'https://forge.example.org/' || replace(lower(r_name), ' ', '-') || '/' || lower(n_name) || '.git' as repo_git, timestamp '2023-06-01' + to_days(cast(n_nationkey * 15 as int)) as collected_at from nation join region on n_regionkey = r_regionkey),
 contributors as (select c_custkey as cntrb_id, c_name as login, c_mktsegment as company, cast(c_nationkey as bigint) as repo_id,
     'dev' || c_custkey || '@org' || (c_custkey % 7) || '.example.com' as email,
     case when c_custkey % 5 = 0 then 'dev' || (c_custkey - 1) || '@org' || ((c_custkey - 1) % 7) || '.example.com' else 'dev' || c_custkey || '@org' || (c_custkey % 7) || '.example.com' end as canonical from customer),
 items as (select o_orderkey as id, cast(c_nationkey as bigint) as repo_id, o_custkey as author_id, o_orderdate as created_at,
     case o_orderstatus when 'O' then 'open' when 'F' then 'closed' else 'merged' end as state,
     case when o_orderstatus <> 'O' then {_END} end as closed_at, case when o_orderstatus = 'P' then {_END} end as merged_at,
-    o_orderpriority in ('1-URGENT', '2-HIGH') as is_issue from orders join customer on o_custkey = c_custkey),
+    o_orderpriority in ('1-URGENT', '2-HIGH') as is_issue, o_orderdate + to_days(cast(o_orderkey % 400 as int)) as updated_at from orders join customer on o_custkey = c_custkey),
 issues as (select * from items where is_issue), pull_requests as (select * from items where not is_issue),
 commits as (select cast(s_nationkey as bigint) as repo_id, l_orderkey as hash, l_partkey as filename, l_suppkey as author_id,
     'dev' || l_suppkey || '@org' || (l_suppkey % 7) || '.example.com' as author_email, nullif(l_returnflag, 'N') as affiliation, l_shipdate as authored_at,
-    cast(trunc(l_quantity) as bigint) as added, cast(l_linenumber as bigint) as removed from
+    cast(trunc(l_quantity) as bigint) as added, cast(l_linenumber as bigint) as removed, cast(l_linenumber % 3 as bigint) as whitespace from
     (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_suppkey, l_shipdate, l_quantity, l_returnflag) as k from lineitem)
     join supplier on l_suppkey = s_suppkey where k = 1),
 item_events as (select event_id, cast(floor(event_id / 2) as bigint) + 1 as item_id, user_id as cntrb_id,
     case event_type when 'click' then 'assigned' when 'view' then 'closed' when 'signup' then 'merged' when 'error' then 'unassigned' else 'labeled' end as action, ts as created_at, props from events),
+pr_files as (select p.id, cast(filename as varchar) as path from pull_requests p join commits c on c.hash = p.id),
+pr_reviews as (select item_id as id, cntrb_id from item_events where action = 'labeled'),
 messages as (select conv_id * 100 + turn as msg_id, conv_id + 1 as item_id, conv_id % 150 + 1 as cntrb_id,
     timestamp '1998-01-01' + to_hours(cast(conv_id * 7 + turn as int)) as msg_timestamp, text as msg_text, role as kind from conversations),
+commit_comments as (select item_id as hash, cntrb_id, msg_timestamp as created_at from messages where kind = 'system'),
 deps as (select p_partkey % 25 as repo_id, p_partkey as dep_id, p_name as name, p_brand as manager, p_type as kind,
-    ['{"', '".join(LICENCES)}'][p_partkey % {len(LICENCES)} + 1] as license, cast(p_size as double) as libyear, timestamp '2024-01-01' + to_days(cast(p_partkey % 365 as int)) as collected_at, p_retailprice as price from part),
+    ['{"', '".join(LICENCES)}'][p_partkey % {len(LICENCES)} + 1] as license, '^' || (p_partkey % 9) as requirement, (p_partkey % 9) || '.0' as current_version, '9.0' as latest_version, cast(p_size as double) as libyear, timestamp '2024-01-01' + to_days(cast(p_partkey % 365 as int)) as collected_at, p_retailprice as price from part),
 repo_info as (select cast(s_nationkey as bigint) as repo_id, s_suppkey as info_id, timestamp '2024-01-01' + to_days(cast(s_suppkey % 100 as int)) as collected_at,
     s_suppkey * 7 % 1000 as stars, s_suppkey * 3 % 500 as forks, s_suppkey % 90 as watchers, s_suppkey % 4 * 100 as commit_count, s_suppkey % 40 as issues_count, s_suppkey % 30 as pr_count from supplier),
-labor as (select p_partkey % 25 as repo_id, p_brand as language, p_name as file_path, cast(p_size * 10 as bigint) as code_lines, cast(p_size % 7 as bigint) as complexity,
+labor as (select p_partkey % 25 as repo_id, p_brand as language, p_name as file_path, cast(p_size * 10 as bigint) as code_lines, cast(p_size % 7 as bigint) as complexity, cast(p_size % 5 as bigint) as blank_lines, cast(p_size % 11 as bigint) as comment_lines,
     timestamp '2024-02-01' + to_minutes(cast(p_partkey % 8 as int)) as analysed_at from part)
 """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import merge, metrics, reports, views
 from .plans.binding import CTES, Tables
+from .sources import manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,8 +31,8 @@ def _trunc(period: str, column: str) -> str:
 def _period(name: str, rows: Callable[[Tables], DataFrame], column: str, source: str, period: str = "month", value=None, sql_value: str = "count(*)") -> None:
     query(
         name,
-        lambda t: metrics.per_period(rows(t), column, period, value() if value else None),
-        f"select repo_id, {_trunc(period, column)} as period, cast({sql_value} as bigint) as value from {source} where {column} is not null group by all",
+        lambda t: metrics.named(metrics.per_period(rows(t), column, period, value() if value else None), t.repos),
+        f"select repo_id, repo_name, period, value from (select repo_id, {_trunc(period, column)} as period, cast({sql_value} as bigint) as value from {source} where {column} is not null group by all) join repos using (repo_id)",
     )
 
 
@@ -39,21 +40,21 @@ def _period(name: str, rows: Callable[[Tables], DataFrame], column: str, source:
 query("repo_groups_list", lambda t: t.repo_groups, "select * from repo_groups")
 query("repos_list", lambda t: t.repos.join(t.repo_groups, "repo_group_id").select("repo_id", "repo_name", "rg_name", "repo_git"), "select repo_id, repo_name, rg_name, repo_git from repos join repo_groups using (repo_group_id)")
 query("repos_by_group", lambda t: t.repos.filter("repo_group_id = 2").select("repo_id", "repo_name"), "select repo_id, repo_name from repos where repo_group_id = 2")
-query("repo_lookup", lambda t: t.repos.filter((F.lower("repo_owner") == "asia") & (F.lower("repo_name") == F.lower(F.lit("INDIA")))).limit(1), "select * from repos where lower(repo_owner) = 'asia' and lower(repo_name) = 'india' limit 1")
+query("repo_lookup", lambda t: t.repos.filter((F.lower("repo_owner") == "asia") & (F.lower("repo_name") == F.lower(F.lit("Nation_7")))).limit(1), "select * from repos where lower(repo_owner) = 'asia' and lower(repo_name) = 'nation_7' limit 1")
 query(
     "repo_search",
-    lambda t: t.repos.filter(F.lower("repo_name").contains("an") | F.lower("repo_owner").contains("an") | F.lower("repo_git").contains("an")).orderBy("repo_name", "repo_id").limit(20).select("repo_id", "repo_name"),
-    "select repo_id, repo_name from repos where lower(repo_name) like '%an%' or lower(repo_owner) like '%an%' or lower(repo_git) like '%an%' order by repo_name, repo_id limit 20",
+    lambda t: t.repos.filter(F.lower("repo_name").contains("nation_1") | F.lower("repo_owner").contains("nation_1") | F.lower("repo_git").contains("nation_1")).orderBy("repo_owner", "repo_name").limit(20).select("repo_id", "repo_owner", "repo_name"),
+    "select repo_id, repo_owner, repo_name from repos where lower(repo_name) like '%nation_1%' or lower(repo_owner) like '%nation_1%' or lower(repo_git) like '%nation_1%' order by repo_owner, repo_name limit 20",
 )
 query("group_page", lambda t: t.repos.filter("repo_group_id < 4").orderBy("repo_name", "repo_id").offset(5).limit(5).select("repo_id", "repo_name"), "select repo_id, repo_name from repos where repo_group_id < 4 order by repo_name, repo_id limit 5 offset 5")
 query("repos_in_list", lambda t: t.repos.filter(F.col("repo_id").isin(1, 3, 5, 99)), "select * from repos where repo_id in (1, 3, 5, 99)")
 query("items_not_closed", lambda t: t.items.filter(~F.col("state").eqNullSafe(F.lit("closed"))).select("id", "state"), "select id, state from items where state is distinct from 'closed'")
-query("commit_resolution_candidates", lambda t: t.commits.join(t.contributors.select(F.col("email").alias("author_email")).distinct(), "author_email", "left_anti").select("hash", "author_email").distinct(), "select distinct hash, author_email from commits where author_email not in (select email from contributors)")
+query("commit_resolution_candidates", lambda t: t.commits.join(t.contributors.filter("cntrb_id % 4 <> 0").select(F.col("email").alias("author_email")).distinct(), "author_email", "left_anti").filter("author_email <> ''").select("hash", "author_email").distinct(), "select distinct hash, author_email from commits where author_email not in (select email from contributors where cntrb_id % 4 <> 0)")
 query("open_item_numbers", lambda t: t.issues.filter("closed_at is null").select("repo_id", "id"), "select repo_id, id from issues where closed_at is null")
 query(
     "abandoned_issues",
-    lambda t: t.issues.filter(F.col("closed_at").isNull() & (F.year(F.lit(AS_OF).cast("date")) - F.year("created_at") >= 1)).select("id", "repo_id", "created_at"),
-    f"select id, repo_id, created_at from issues where closed_at is null and year(date '{AS_OF}') - year(created_at) >= 1",
+    lambda t: t.issues.filter((F.col("state") == "open") & (F.year(F.lit(AS_OF).cast("date")) - F.year("updated_at") >= 1)).select("id", "repo_id", "updated_at"),
+    f"select id, repo_id, updated_at from issues where state = 'open' and year(date '{AS_OF}') - year(updated_at) >= 1",
 )
 query("issue_reporters", lambda t: t.issues.select("id", "repo_id", F.col("author_id").alias("reporter_id"), "created_at", "closed_at"), "select id, repo_id, author_id as reporter_id, created_at, closed_at from issues")
 query("pr_files", lambda t: t.pull_requests.join(t.commits.select(F.col("hash").alias("id"), "filename"), "id").select("id", "repo_id", F.coalesce(F.col("filename").cast("string"), F.lit("")).alias("path")), "select p.id, p.repo_id, coalesce(cast(filename as varchar), '') as path from pull_requests p join commits c on c.hash = p.id")
@@ -79,16 +80,17 @@ query(
     "select repo_id, cast(date_trunc('day', authored_at) as timestamp) as day, count(*) as n, count(distinct author_id) as committers from commits group by all",
 )
 query(
-    "libyear_by_month",  # every repository gets the average over all dependencies, as the view defines it
-    lambda t: t.repos.select("repo_id", "repo_name").crossJoin(t.deps.groupBy(F.month("collected_at").cast("long").alias("month")).agg(F.round(F.avg("libyear"), 6).alias("libyear"))),
-    "select repo_id, repo_name, month, libyear from repos, (select month(collected_at) as month, round(avg(libyear), 6) as libyear from deps group by 1)",
+    "libyear_by_month",  # every repository, in its own month and year, gets the average over all dependencies: one row, as the view defines it
+    lambda t: t.repos.select("repo_id", "repo_name", F.year("collected_at").cast("long").alias("year"), F.month("collected_at").cast("long").alias("month")).crossJoin(F.broadcast(t.deps.agg(F.round(F.avg("libyear"), 6).alias("avg_libyear")))),
+    "select r.repo_id, repo_name, year(r.collected_at) as year, month(r.collected_at) as month, round(avg(libyear), 6) as avg_libyear from repos r, deps d group by all",
 )
 query(
     "libyear_by_month_per_repo",
     lambda t: t.deps.groupBy("repo_id", F.month("collected_at").cast("long").alias("month")).agg(F.round(F.avg("libyear"), 6).alias("libyear")),
     "select repo_id, month(collected_at) as month, round(avg(libyear), 6) as libyear from deps group by all",
 )
-query("libyear_detail", lambda t: t.deps.groupBy("repo_id", "name", "kind", "manager").agg(F.max("collected_at").alias("collected_at")), "select repo_id, name, kind, manager, max(collected_at) as collected_at from deps group by all")
+_DETAIL = ("repo_id", "name", "requirement", "current_version", "latest_version", "libyear")
+query("libyear_detail", lambda t: metrics.named(t.deps.groupBy(*_DETAIL).agg(F.max("collected_at").alias("collected_at")), t.repos), f"select {', '.join(_DETAIL)}, repo_name, max(d.collected_at) as collected_at from deps d join repos using (repo_id) group by all")
 _period("issues_new", lambda t: t.issues, "created_at", "issues")
 _period("issues_new_weekly", lambda t: t.issues, "created_at", "issues", "week")
 _period("issues_closed", lambda t: t.issues, "closed_at", "issues")
@@ -119,10 +121,12 @@ query(
 )
 query(
     "contributors",
-    lambda t: metrics.contributor_summary(t.commits, t.pull_requests, t.issues),
-    """with s as (select author_id as cntrb_id, count(distinct hash) as c, 0 as p, 0 as i from commits group by 1
-       union all select author_id, 0, count(*), 0 from pull_requests group by 1 union all select author_id, 0, 0, count(*) from issues group by 1)
-       select cntrb_id, cast(sum(c) as bigint) as commits, cast(sum(p) as bigint) as prs, cast(sum(i) as bigint) as issues from s group by 1""",
+    lambda t: metrics.contributor_summary(t.commits, t.pull_requests, t.issues, t.repos, "1994-01-01", "1997-12-31"),
+    """with s as (select author_id as a, repo_id, count(distinct hash) as c, 0 as i, 0 as p from commits where author_id is not null and authored_at between timestamp '1994-01-01' and timestamp '1997-12-31' group by all
+       union all select author_id, repo_id, 0, count(*), 0 from issues where author_id is not null and created_at between timestamp '1994-01-01' and timestamp '1997-12-31' group by all
+       union all select author_id, repo_id, 0, 0, count(*) from pull_requests where author_id is not null and created_at between timestamp '1994-01-01' and timestamp '1997-12-31' group by all)
+       select repo_id, coalesce(cast(a as varchar), 'unknown') as user_id, cast(sum(c) as bigint) as commits, cast(sum(i) as bigint) as issues, cast(sum(p) as bigint) as prs, cast(0 as bigint) as issue_comments, cast(0 as bigint) as pr_comments,
+       cast(sum(c + i + p) as bigint) as total, repo_name from s join repos using (repo_id) group by all""",
 )
 _FIRST = "select repo_id, author_id, min(authored_at) as f from commits group by all union all select repo_id, author_id, min(created_at) from issues group by all"
 query("contributors_new", lambda t: metrics.new_contributors(t.commits, t.issues, "month"), f"select repo_id, {_trunc('month', 'f')} as period, count(*) as value from ({_FIRST}) group by all")
@@ -132,8 +136,8 @@ query("stars_latest", lambda t: metrics.latest_counter(t.repo_info, "stars"), "s
 query("messages_per_period", lambda t: metrics.per_period(t.messages.join(t.items.select(F.col("id").alias("item_id"), "repo_id"), "item_id"), "msg_timestamp", "month"), f"select repo_id, {_trunc('month', 'msg_timestamp')} as period, count(*) as value from messages join items on id = item_id group by all")
 query(
     "languages",
-    lambda t: t.labor.groupBy("language").agg(F.count("*").alias("files"), F.count_distinct("repo_id").alias("repos"), F.sum("code_lines").alias("code_lines"), F.sum("complexity").alias("complexity"), F.round(F.avg("code_lines"), 6).alias("mean_lines")),
-    "select language, count(*) as files, count(distinct repo_id) as repos, cast(sum(code_lines) as bigint) as code_lines, cast(sum(complexity) as bigint) as complexity, round(avg(code_lines), 6) as mean_lines from labor group by 1",
+    lambda t: t.labor.groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.sum(F.col("code_lines") + F.col("blank_lines") + F.col("comment_lines")).alias("lines"), F.sum("blank_lines").alias("blanks"), F.sum("comment_lines").alias("comments"), F.sum("code_lines").alias("code"), F.sum("complexity").alias("complexity")),
+    "select repo_id, language, count(*) as files, cast(sum(code_lines + blank_lines + comment_lines) as bigint) as lines, cast(sum(blank_lines) as bigint) as blanks, cast(sum(comment_lines) as bigint) as comments, cast(sum(code_lines) as bigint) as code, cast(sum(complexity) as bigint) as complexity from labor group by all",
 )
 _SERIES = """(select repo_id, 'commits' as metric, authored_at as ts, hash as key from commits union all select repo_id, 'prs_opened', created_at, id from pull_requests
     union all select repo_id, 'prs_merged', merged_at, id from pull_requests union all select repo_id, 'issues', created_at, id from issues)"""
@@ -142,22 +146,23 @@ query(
     lambda t: metrics.weekly_series(t.commits, t.pull_requests, t.issues, "1996-01-01", "1999-01-01"),
     f"select repo_id, metric, {_trunc('week', 'ts')} as week, count(distinct key) as value from {_SERIES} where ts >= timestamp '1996-01-01' and ts < timestamp '1999-01-01' group by all",
 )
-_SUMS = "cast(sum(added) as bigint) as added, cast(sum(removed) as bigint) as removed, count(distinct filename) as files, count(distinct hash) as patches"
+_SUMS = "cast(sum(added) as bigint) as added, cast(sum(removed) as bigint) as removed, cast(sum(whitespace) as bigint) as whitespace, count(distinct filename) as files, count(distinct hash) as patches"
 _WHO = "coalesce(nullif(trim(affiliation), ''), '(Unknown)') as affiliation"
 for _name, _cols in {"year": "year(authored_at) as year", "month": "year(authored_at) as year, month(authored_at) as month", "week": "year(authored_at) as year, week(authored_at) as week"}.items():
-    query(f"repo_aggregates_{_name}", lambda t, p=_name: metrics.period_aggregates(t.commits, p), f"select repo_id, author_email, {_WHO}, {_cols}, {_SUMS} from commits group by all")
+    query(f"repo_aggregates_{_name}", lambda t, p=_name: metrics.period_aggregates(t.commits, p), f"select repo_id, author_email, {_WHO}, {_cols}, {_SUMS} from commits where authored_at is not null group by all")
     query(
         f"group_aggregates_{_name}",
         lambda t, p=_name: metrics.period_aggregates(t.commits.join(t.repos.select("repo_id", "repo_group_id"), "repo_id"), p, ("repo_group_id",)),
-        f"select repo_group_id, author_email, {_WHO}, {_cols}, {_SUMS} from commits join repos using (repo_id) group by all",
+        f"select repo_group_id, author_email, {_WHO}, {_cols}, {_SUMS} from commits join repos using (repo_id) where authored_at is not null group by all",
     )
 query(
     "repo_stats",
-    lambda t: metrics.repo_stats(t.repos, t.pull_requests, t.issues, t.commits, t.repo_info),
-    """select r.repo_id, repo_name, coalesce(prs, 0) as prs, coalesce(issues, 0) as issues, coalesce(commits, 0) as commits, coalesce(m.pr_count, 0) as meta_pr_count, coalesce(m.issues_count, 0) as meta_issues_count, coalesce(m.commit_count, 0) as meta_commit_count
+    lambda t: metrics.repo_stats(t.repos, t.pull_requests, t.issues, t.commits, t.repo_info, t.vulnerabilities),
+    """select r.repo_id, repo_name, coalesce(prs, 0) as prs, coalesce(issues, 0) as issues, coalesce(commits, 0) as commits, coalesce(m.pr_count, 0) as meta_pr_count, coalesce(m.issues_count, 0) as meta_issues_count, coalesce(m.commit_count, 0) as meta_commit_count, coalesce(v, 0) as vulnerabilities, coalesce(x, 0) as critical_vulnerabilities
        from repos r left join (select repo_id, count(*) as prs from pull_requests group by 1) using (repo_id) left join (select repo_id, count(*) as issues from issues group by 1) using (repo_id)
        left join (select repo_id, count(distinct hash) as commits from commits group by 1) using (repo_id)
-       left join (select distinct on (repo_id) repo_id, pr_count, issues_count, commit_count from repo_info order by repo_id, collected_at desc, info_id desc) m using (repo_id)""",
+       left join (select distinct on (repo_id) repo_id, pr_count, issues_count, commit_count from repo_info order by repo_id, collected_at desc, info_id desc) m using (repo_id)
+       left join (select p_partkey % 25 as repo_id, count(*) as v, count(*) filter (p_partkey % 4 = 0) as x from part group by 1) using (repo_id)""",
 )
 query("newest_event", lambda t: t.item_events.groupBy("cntrb_id").agg(F.max("created_at").alias("newest")), "select cntrb_id, max(created_at) as newest from item_events group by 1")
 query("event_payloads", lambda t: t.item_events.groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n")), "select cast(props->>'k' as bigint) as k, count(*) as n from item_events group by 1")
@@ -214,6 +219,21 @@ query(
     lambda t: t.contributors.select("cntrb_id", S.person_uuid(F.lit(1), F.col("cntrb_id")).alias("uuid")),
     "select cntrb_id, '01' || lpad(lower(to_hex(cntrb_id)), 8, '0')[1:6] || '-' || lpad(lower(to_hex(cntrb_id)), 8, '0')[7:8] || '00-0000-0000-000000000000' as uuid from contributors",
 )
+
+
+def _requirements(t: Tables) -> DataFrame:
+    line = F.concat(F.lit("pkg"), F.col("dep_id").cast("string"), F.lit("=="), F.col("libyear").cast("long").cast("string"), F.lit(".0"))
+    path = F.concat(F.lit("/"), F.col("repo_id").cast("string"), F.lit("/requirements.txt")).alias("path")
+    return t.deps.groupBy("repo_id").agg(F.array_join(F.collect_list(line), "\n").alias("text")).select(path, "text")
+
+
+query("manifest_dependencies", lambda t: manifests.dependencies(_requirements(t)), "select '/' || repo_id || '/requirements.txt' as path, 'pypi' as manager, 'pkg' || dep_id as name, cast(libyear as bigint) || '.0' as version, 'runtime' as type from deps")
+_registry = lambda t: t.deps.select(F.lit("pypi").alias("manager"), F.concat(F.lit("pkg"), F.col("dep_id").cast("string")).alias("name"), F.concat(F.col("libyear").cast("long").cast("string"), F.lit(".0")).alias("version"), F.lit("2020-01-01T00:00:00Z").alias("released_at"), "license", F.lit(True).alias("is_latest")).withColumnRenamed("license", "licence")
+query(
+    "registry_join",
+    lambda t: manifests.registry_join(manifests.dependencies(_requirements(t)), _registry(t)).select("path", "name", "purl", "latest_version", "licence", "libyear"),
+    f"select '/' || repo_id || '/requirements.txt' as path, 'pkg' || dep_id as name, 'pkg:pypi/pkg' || dep_id || '@' || cast(libyear as bigint) || '.0' as purl, cast(libyear as bigint) || '.0' as latest_version, {_SPDX} as licence, cast(0 as double) as libyear from deps",
+)
 query("sbom_documents", lambda t: reports.sbom(t.repos, t.deps))
 
 # Views.
@@ -234,10 +254,13 @@ query(
     "new_contributors",
     lambda t: views.first_actions(t),
     """with c as (select canonical, min(cntrb_id) as canonical_id from contributors where canonical = email group by 1), p as (select cntrb_id, login, canonical, canonical_id from contributors left join c using (canonical)),
+       c2 as (select distinct hash, repo_id from commits),
        r as (select canonical_id as id, created_at, i.repo_id, 'issue_opened' as action, login from issues i left join p on author_id = cntrb_id
        union select canonical_id, date_trunc('day', authored_at), m.repo_id, 'commit', login from commits m left join p on author_email = canonical
-       union select canonical_id, created_at, q.repo_id, 'pull_request_open', login from pull_requests q left join p on author_id = cntrb_id
-       union select canonical_id, msg_timestamp, q.repo_id, 'pull_request_comment', login from messages m join pull_requests q on q.id = item_id left join p on p.cntrb_id = m.cntrb_id)
+       union select n.cntrb_id, n.created_at, c2.repo_id, 'commit_comment', login from commit_comments n join c2 using (hash) left join p on p.cntrb_id = n.cntrb_id
+       union select e.cntrb_id, e.created_at, i.repo_id, 'issue_closed', login from item_events e join issues i on i.id = item_id left join p on p.cntrb_id = e.cntrb_id where action = 'closed' and e.cntrb_id is not null
+       union select author_id, created_at, q.repo_id, 'open_pull_request', login from pull_requests q left join p on author_id = cntrb_id
+       union select m.cntrb_id, msg_timestamp, q.repo_id, 'pull_request_comment', login from messages m join pull_requests q on q.id = item_id left join p on p.cntrb_id = m.cntrb_id)
        select *, row_number() over (partition by id, repo_id order by created_at desc nulls first, action, login) as rank from r where id is not null qualify rank <= 7""",
 )
 for _name in ("pull_requests", "issues"):
@@ -263,13 +286,14 @@ query(
 query(
     "language_breakdown",
     lambda t: views.language_breakdown(t.labor),
-    "with x as (select repo_id, max(analysed_at) as latest from labor group by 1) select repo_id, language, count(*) as files, cast(sum(code_lines) as bigint) as code_lines, max(complexity) as complexity from labor join x using (repo_id) where analysed_at >= latest - interval 5 minutes group by all",
+    "with x as (select repo_id, max(analysed_at) as latest from labor group by 1) select repo_id, language, count(*) as files, cast(sum(code_lines) as bigint) as code_lines, max(complexity) as complexity from labor join x using (repo_id) where analysed_at > latest - interval 5 minutes group by all",
 )
 query("repo_files", lambda t: views.repo_files(t.labor), "select repo_id, file_path, language, code_lines from labor where (repo_id, analysed_at) in (select (repo_id, max(analysed_at)) from labor group by repo_id)")
 query(
     "contributors_per_file",
-    lambda t: views.contributors_per_file(t.commits),
-    "select repo_id, filename, string_agg(distinct cast(author_id as varchar), ',' order by cast(author_id as varchar)) as author_ids, string_agg(distinct author_email, ',' order by author_email) as emails from commits group by all",
+    lambda t: views.contributors_per_file(t.pull_requests, t.pr_files, t.pr_reviews),
+    """select repo_id, coalesce(path, '') as file_path, coalesce(string_agg(distinct cast(author_id as varchar), ',' order by cast(author_id as varchar)), '') as cntrb_ids,
+       coalesce(string_agg(distinct cast(v.cntrb_id as varchar), ',' order by cast(v.cntrb_id as varchar)), '') as reviewer_ids from pull_requests p join pr_files f using (id) left join pr_reviews v using (id) group by all""",
 )
 query(
     "user_repos",
@@ -314,6 +338,8 @@ query(
     lambda t: reports.queue_order(t.items.select(F.col("id").alias("repo_id"), F.when(F.col("state") == "open", "queued").when(F.col("state") == "merged", "collecting").otherwise("done").alias("status"), (F.col("id") % 5).alias("priority"), F.col("created_at").alias("due_at"))).offset(20).limit(40),
     "select id as repo_id, case state when 'open' then 'queued' when 'merged' then 'collecting' else 'done' end as status, id % 5 as priority, created_at as due_at from items order by case state when 'merged' then 0 when 'open' then 1 else 2 end, id % 5, created_at, id limit 40 offset 20",
 )
+query("most_recent", lambda t: t.contributors.join(t.item_events.groupBy("cntrb_id").agg(F.max("created_at").alias("seen")), "cntrb_id", "left").select("cntrb_id", "seen").orderBy(F.desc_nulls_last("seen"), "cntrb_id").limit(100), "select c.cntrb_id, seen from contributors c left join (select cntrb_id, max(created_at) as seen from item_events group by 1) e using (cntrb_id) order by seen desc nulls last, cntrb_id limit 100")
+query("top_languages", lambda t: t.labor.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(5), "select language, count(*) as n from labor group by 1 order by n desc, language limit 5")
 query("least_recent", lambda t: t.contributors.join(t.item_events.groupBy("cntrb_id").agg(F.max("created_at").alias("seen")), "cntrb_id", "left").select("cntrb_id", "seen").orderBy(F.asc_nulls_first("seen"), "cntrb_id").limit(100), "select c.cntrb_id, seen from contributors c left join (select cntrb_id, max(created_at) as seen from item_events group by 1) e using (cntrb_id) order by seen asc nulls first, cntrb_id limit 100")
 
 
