@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm_lm, kdtree, langid, licences, ngram_join, packing, pii, toxicity, warc
+from . import conversations, decontam, hmm_lm, kdtree, langid, licences, ngram_join, packing, pii, toxicity, warc
 from .common import bucket_of, small_batches
 
 
@@ -70,6 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")), F.col("dropped"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,9 +91,13 @@ QUERIES = {
     "op8_hmm": op8_hmm,
     "op9_licences": op9_licences,
     "op10_language": op10_language,
+    "op12_conversations": op12_conversations,
     "pipeline": pipeline,
 }
 
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ord(c)::bigint)),
+            lambda c, b: xor(table256[1 + (xor(c, b) & 255)], c >> 8))"""
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
@@ -122,4 +130,46 @@ ORACLE_SQL = {
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
+    "op12_conversations": rf"""
+        with recursive crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+            lambda c, i: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end)) as table256),
+        given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                  coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+        hit as (select * exclude (k, table256), xor({_CRC}, 4294967295) % 20 as kind from given, crc),
+        hurt as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+                 case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+                 from (select *, unnest(case when kind = 3 then [1, 2] else [1] end) as copy from hit where kind <> 0)),
+        numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from hurt),
+        seen as (select *, row_number() over (partition by conv_id, role, text order by i) as nth,
+                 right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last,
+                 lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from numbered),
+        turns as (select *, case when last = '' then 'blank' when nth > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault from seen),
+        ins(p, n, st, added) as (values (0, 0, 0, []::varchar[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']),
+            (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']), (2, 0, 2, []), (2, 1, 3, ['assistant:']),
+            (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])),
+        edits(e, st, initial, q, price, name) as (values ('D', 0, '', 0, 4, ''), ('D', 1, '', 1, 4, ''), ('D', 2, '', 2, 4, ''), ('D', 3, '', 3, 4, ''),
+            ('K', 0, 's', 1, 0, ''), ('K', 0, 'u', 2, 0, ''), ('K', 1, 'u', 2, 0, ''), ('K', 3, 'u', 2, 0, ''), ('K', 2, 'a', 3, 0, ''),
+            ('R', 0, '', 2, 3, 'user'), ('R', 1, '', 2, 3, 'user'), ('R', 3, '', 2, 3, 'user'), ('R', 2, '', 3, 3, 'assistant')),
+        dp as (select distinct conv_id, 0::bigint as i, 0 as q, 0::bigint as cost, '' as audit, []::varchar[] as out from conversations
+            union all
+            select conv_id, i, q, cost, audit, out from (
+                select t.conv_id, t.i, edits.q, d.cost + 3 * ins.n + edits.price + case when edits.e <> 'D' and fault = 'truncated' then 3 else 0 end as cost,
+                       d.audit || repeat('I', ins.n) || edits.e as audit,
+                       list_concat(d.out, list_concat(ins.added, case edits.e when 'D' then [] when 'K' then [t.role || ':' || t.text] else [edits.name || ':' || t.text] end)) as out,
+                       row_number() over (partition by t.conv_id, edits.q order by d.cost + 3 * ins.n + edits.price + case when edits.e <> 'D' and fault = 'truncated' then 3 else 0 end,
+                                          d.audit || repeat('I', ins.n) || edits.e) as rn
+                from dp d join turns t on t.conv_id is not distinct from d.conv_id and t.i = d.i + 1
+                join ins on ins.p = d.q join edits on edits.st = ins.st
+                where edits.e = 'D' or (fault not in ('blank', 'duplicate') and (edits.e = 'R' or edits.initial = left(t.role, 1)))) x where rn = 1),
+        counts as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+                   count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+                   count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from turns group by conv_id),
+        all_counts as (select o.conv_id, coalesce(n, 0) as n, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+                       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal
+                       from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id),
+        ends as (select c.*, d.cost + 3 * ins.n as cost, d.audit || repeat('I', ins.n) as audit, list_concat(d.out, ins.added) as out
+                 from all_counts c join dp d on d.conv_id is not distinct from c.conv_id and d.i = c.n join ins on ins.p = d.q where ins.st in (0, 3))
+        select conv_id, cast(gaps as bigint) as gaps, cast(blank as bigint) as blank, cast(duplicate as bigint) as duplicate, cast(truncated as bigint) as truncated,
+               cast(illegal as bigint) as illegal, cast(cost as bigint) as cost, audit, sha256(array_to_string(out, chr(10))) as repaired_sha256
+        from (select *, row_number() over (partition by conv_id order by cost, audit) as rn from ends) where rn = 1""",
 }
