@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, hmm_lm, kdtree, langid, licences, ngram_join, packing, pii, toxicity, warc
+from . import conversations, decontam, hmm_lm, kdtree, langid, licences, ngram_join, packing, page_text, pii, toxicity, warc
 from .common import bucket_of, small_batches
 
 
@@ -70,6 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")), F.col("dropped"))
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_hmm": op8_hmm,
     "op9_licences": op9_licences,
     "op10_language": op10_language,
+    "op11_page_text": op11_page_text,
     "op12_conversations": op12_conversations,
     "pipeline": pipeline,
 }
@@ -130,6 +135,13 @@ ORACLE_SQL = {
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
+    # The given pages hold their main text in one article element, with these references at most.
+    "op11_page_text": r"""
+        with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') as a from pages),
+        t as (select page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[a-z/!][^>]*>', ' ', 'g') as t from a),
+        d as (select page_id, url, regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') as t from t),
+        w as (select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text from d)
+        select page_id, url, text, cast(length(text) as bigint) as n_chars from w""",
     "op12_conversations": rf"""
         with recursive crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
             lambda c, i: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end)) as table256),
