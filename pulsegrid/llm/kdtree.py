@@ -29,11 +29,11 @@ SCHEMA = "query_id long, vec_id long, score long"
 NONE = np.iinfo(np.int64).min
 
 
-def whole(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 x) of the vectors that take part."""
+def whole(vectors: DataFrame, *more: str) -> DataFrame:
+    """vec_id, v: floor(256 x) of the vectors that take part, and ``more`` columns."""
     fine = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
     kept = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"), *more)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, hmm_lm, kdtree, langid, licences, ngram_join, packing, page_text, pii, toxicity, warc
+from . import conversations, decontam, hard_negatives, hmm_lm, kdtree, langid, licences, ngram_join, packing, page_text, pii, toxicity, warc
 from .common import bucket_of, small_batches
 
 
@@ -78,6 +78,12 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")), F.col("dropped"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_page_text": op11_page_text,
     "op12_conversations": op12_conversations,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -184,4 +191,16 @@ ORACLE_SQL = {
         select conv_id, cast(gaps as bigint) as gaps, cast(blank as bigint) as blank, cast(duplicate as bigint) as duplicate, cast(truncated as bigint) as truncated,
                cast(illegal as bigint) as illegal, cast(cost as bigint) as cost, audit, sha256(array_to_string(out, chr(10))) as repaired_sha256
         from (select *, row_number() over (partition by conv_id order by cost, audit) as rn from ends) where rn = 1""",
+    "op13_hard_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, c.vec_id, c.label = a.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score
+              from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+              qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        n as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+              row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+              from p join s using (anchor_id) where not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
 }
