@@ -117,3 +117,21 @@ def test_top_k_of_nothing(spark):
 
 def test_top_k_oracle(spark):
     assert_same(queries.op5_topk(spark, f"{DATA}/sf0.01"), duck("sf0.01"), queries.ORACLE_SQL["op5_topk"])
+
+
+def test_template_pages_that_cannot_link_meet_in_no_block(spark, monkeypatch):
+    """Pages of one template with words of their own: pairs measured grow with the number of pages, links stay exact."""
+    r, template, own, rows = random.Random(5), [f"t{i}" for i in range(400)], [], []
+    for i in range(400):
+        if i % 20 == 19:  # a near copy of the page before
+            own = [*own[:50], f"copy{i}", *own[51:]]
+        else:
+            own = [f"w{r.randrange(10**9)}" for _ in range(100)]
+        rows.append((i, " ".join(template + own)))
+    met, measured = [], []
+    blocks, measure = ngram_join._join_blocks, ngram_join.measure
+    monkeypatch.setattr(ngram_join, "_join_blocks", lambda graph, x: (met.append(x.count()), blocks(graph, x))[1])
+    monkeypatch.setattr(ngram_join, "measure", lambda sets, members, pivots: (measured.append(members.count()), measure(sets, members, pivots))[1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    assert sum(met) == 0 and sum(measured) < len(rows)
