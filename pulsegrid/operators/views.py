@@ -112,7 +112,7 @@ def pr_rollups(pulls: DataFrame, pr_commits: DataFrame, pr_meta: DataFrame, comm
     pulls: id, repo_id, merge_sha; pr_commits: id, sha; pr_meta: id, meta_sha; commits: a row per file. A commit counts
     once for each meta row with another hash, unless it is the merge commit, so lines multiply as in the view's
     definition; the product is a weight and not rows. Nulls compare as in SQL: without a merge commit there is no row.
-    The view gives lines and files only where there is a base label; here they do not depend on labels.
+    Labels are the business of ``pr_response_view``, which gives lines and files only where there is a base label.
     """
     metas = pr_meta.filter("meta_sha is not null")
     every = metas.groupBy("id").agg(F.count("*").alias("every"))
@@ -146,6 +146,35 @@ def pr_response_times(t, dedup_counts: bool = False, actions: tuple[str, ...] =
     )
 
 
+def pr_response_view(pulls: DataFrame, repos: DataFrame, groups: DataFrame, events: DataFrame, messages: DataFrame, merges: DataFrame, pr_commits: DataFrame, pr_meta: DataFrame, commits: DataFrame) -> DataFrame:
+    """The whole response view: twelve counts, response times, base labels, commit and line roll-ups.
+
+    The view chains left joins over nullable aliases: labels hang on the commit counts and lines on the labels. So a
+    request without a counted commit has no label, one without a label has no lines, and one with two base labels has two
+    rows. Events and messages meet as weights, not as joined rows (see ``pr_response_times``), as do commits and meta rows.
+    """
+    e = events.groupBy("item_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in VIEW_ACTIONS))
+    m = messages.groupBy("item_id").agg(F.count("*").alias("n"), F.min("msg_timestamp").alias("first_response_time"), F.max("msg_timestamp").alias("last_response_time"), F.count_distinct("msg_timestamp").alias("comment_count"))
+    r = e.join(m, "item_id").select(F.col("item_id").alias("id"), "first_response_time", "last_response_time", "comment_count", *((F.col(a) * F.col("n")).alias(f"{a}_count") for a in VIEW_ACTIONS))
+    counted = pr_rollups(merges, pr_commits, pr_meta, commits).withColumnRenamed("id", "counted_id")
+    labels = pr_meta.filter("head_or_base = 'base'").select(F.col("id").alias("labelled_id"), "head_or_base", "meta_label").distinct()
+    out = pulls.join(repos.select("repo_id", "repo_name", "repo_group_id"), "repo_id").join(groups, "repo_group_id").join(r, "id", "left")
+    out = out.join(counted, F.col("id") == F.col("counted_id"), "left").join(labels, F.col("counted_id") == F.col("labelled_id"), "left")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    since = lambda c, unit: F.round((micros(c) - micros("created_at")) / unit, 4)
+    units = {"hours": 3_600e6, "days": 86_400e6}
+    spans = {"close": "closed_at", "first_response": "first_response_time", "last_response": "last_response_time"}
+    part = lambda f, c: f(c).cast("long")
+    lines = ("lines_added", "lines_removed", "file_count")
+    return out.select(
+        "repo_id", "id", "repo_name", F.col("rg_name").alias("repo_group"), "state", "merged_at", "created_at", "closed_at",
+        part(F.year, "created_at").alias("created_year"), part(F.month, "created_at").alias("created_month"), part(F.year, "closed_at").alias("closed_year"), part(F.month, "closed_at").alias("closed_month"),
+        "meta_label", "head_or_base", *(since(c, u).alias(f"{unit}_to_{name}") for name, c in spans.items() for unit, u in units.items()), "first_response_time", "last_response_time",
+        F.round((micros("last_response_time") - micros("first_response_time")) / 1e6 / F.col("comment_count"), 4).alias("seconds_between_responses"), "comment_count", *(f"{a}_count" for a in VIEW_ACTIONS),
+        "commit_count", *(F.when(F.col("labelled_id").isNotNull(), F.col(c)).alias(c) for c in lines),
+    )
+
+
 def language_breakdown(labor: DataFrame, minutes: int = 5) -> DataFrame:
     """Files and lines by language of each repository's latest scan, rows less than some minutes older included."""
     latest = labor.groupBy("repo_id").agg(F.max("analysed_at").alias("latest"))

@@ -103,6 +103,31 @@ class Tables:
         action = action.when(F.col("event_type") == "error", "unassigned").otherwise("labeled")
         return self.raw("events").select("event_id", (F.floor(F.col("event_id") / 2) + 1).alias("item_id"), F.col("user_id").alias("cntrb_id"), action.alias("action"), F.col("ts").alias("created_at"), "props")
 
+    @cached_property
+    def pr_events(self) -> DataFrame:
+        """Events of pull requests with all actions that the response view counts."""
+        action = F.element_at(F.array(*map(F.lit, PR_ACTIONS)), (F.col("event_id") % len(PR_ACTIONS) + 1).cast("int"))
+        return self.item_events.select("event_id", "item_id", action.alias("action"), "created_at")
+
+    @cached_property
+    def pr_merges(self) -> DataFrame:
+        """id, repo_id, merge_sha: the merge commit is one of the request's own commits, another one or unknown."""
+        sha = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 4 == 0, F.col("id") + 1).otherwise(F.col("id") + 100)
+        return self.pull_requests.select("id", "repo_id", sha.alias("merge_sha"))
+
+    @cached_property
+    def pr_commits(self) -> DataFrame:
+        """id, sha: up to three commits of a request."""
+        return self.pull_requests.select("id", F.explode(F.sequence(F.col("id"), F.col("id") + F.col("id") % 3)).alias("sha"))
+
+    @cached_property
+    def pr_meta(self) -> DataFrame:
+        """id, head_or_base, meta_label, meta_sha: a head, and no, one or two bases."""
+        head = F.struct(F.lit("head").alias("head_or_base"), F.lit("topic").alias("meta_label"), (F.col("id") + F.col("id") % 2).alias("meta_sha"))
+        base = lambda label, off: F.struct(F.lit("base").alias("head_or_base"), F.lit(label).alias("meta_label"), (F.col("id") + off).alias("meta_sha"))
+        rows = F.when(F.col("id") % 7 == 0, F.array(head)).when(F.col("id") % 11 == 0, F.array(head, base("main", 50), base("next", 2))).otherwise(F.array(head, base("main", 50)))
+        return self.pull_requests.select("id", F.explode(rows).alias("m")).select("id", "m.*")
+
     @cached_property
     def messages(self) -> DataFrame:
         hours = F.make_dt_interval(hours=(F.col("conv_id") * 7 + F.col("turn")).cast("int"))
@@ -141,6 +166,9 @@ LICENCES = ("MIT License", "Apache 2.0", "BSD", "GPLv3", "", "NOASSERTION", "ISC
 #: Vectors given to findings by the binding.
 VECTORS = ("CVSS:3.1/AV:N/AC:L/C:H/I:H/A:H", "CVSS:3.1/AV:N/AC:L/C:L/I:H/A:N", "CVSS:3.1/AV:L/AC:H", "CVSS:3.1/AV:N/AC:H")
 
+#: Actions given to events of pull requests by the binding.
+PR_ACTIONS = ("assigned", "review_requested", "labeled", "unlabeled", "subscribed", "mentioned", "referenced", "closed", "head_ref_force_pushed", "head_ref_deleted", "milestoned", "merged", "renamed")
+
 _END = "o_orderdate + to_days(cast(o_orderkey % 120 + 1 as int))"
 CTES = f"""
 with repo_groups as (select cast(r_regionkey as bigint) as repo_group_id, r_name as rg_name from region),
@@ -163,6 +191,11 @@ item_events as (select event_id, cast(floor(event_id / 2) as bigint) + 1 as item
     case event_type when 'click' then 'assigned' when 'view' then 'closed' when 'signup' then 'merged' when 'error' then 'unassigned' else 'labeled' end as action, ts as created_at, props from events),
 pr_files as (select p.id, cast(filename as varchar) as path from pull_requests p join commits c on c.hash = p.id),
 pr_reviews as (select item_id as id, cntrb_id from item_events where action = 'labeled'),
+pr_events as (select event_id, item_id, ['{"', '".join(PR_ACTIONS)}'][event_id % {len(PR_ACTIONS)} + 1] as action, created_at from item_events),
+pr_merges as (select id, repo_id, case when id % 5 = 0 then null when id % 4 = 0 then id + 1 else id + 100 end as merge_sha from pull_requests),
+pr_commits as (select id, unnest(range(id, id + id % 3 + 1)) as sha from pull_requests),
+pr_meta as (select id, 'head' as head_or_base, 'topic' as meta_label, id + id % 2 as meta_sha from pull_requests
+    union all select id, 'base', 'main', id + 50 from pull_requests where id % 7 <> 0 union all select id, 'base', 'next', id + 2 from pull_requests where id % 7 <> 0 and id % 11 = 0),
 messages as (select conv_id * 100 + turn as msg_id, conv_id + 1 as item_id, conv_id % 150 + 1 as cntrb_id,
     timestamp '1998-01-01' + to_hours(cast(conv_id * 7 + turn as int)) as msg_timestamp, text as msg_text, role as kind from conversations),
 commit_comments as (select item_id as hash, cntrb_id, msg_timestamp as created_at from messages where kind = 'system'),

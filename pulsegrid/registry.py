@@ -283,6 +283,23 @@ query(
        round(epoch(first - created_at) / 3600, 4) as hours_to_first_response, round(epoch(last - created_at) / 3600, 4) as hours_to_last_response, round(epoch(last - first) / comment_count, 4) as seconds_between_responses,
        comment_count, {", ".join(f"{a}_count" for a in views.ACTIONS)} from pull_requests p join repos using (repo_id) join repo_groups using (repo_group_id) left join r on item_id = p.id""",
 )
+_SPANS = {"close": "closed_at", "first_response": "first_response_time", "last_response": "last_response_time"}
+query(
+    "pr_response_view",
+    lambda t: views.pr_response_view(t.pull_requests, t.repos, t.repo_groups, t.pr_events, t.messages, t.pr_merges, t.pr_commits, t.pr_meta, t.commits),
+    f"""with r as (select p.id, {", ".join(f"count(*) filter (action = '{a}') as {a}_count" for a in views.VIEW_ACTIONS)}, min(msg_timestamp) as first_response_time, max(msg_timestamp) as last_response_time,
+         count(distinct msg_timestamp) as comment_count from pr_events e, pull_requests p, repos, messages m where repos.repo_id = p.repo_id and p.id = e.item_id and p.id = m.item_id group by p.id),
+       counts as (select c.id, count(distinct c.sha) as commit_count from pr_commits c, pr_merges p, pr_meta m where p.id = c.id and p.id = m.id and c.sha <> p.merge_sha and c.sha <> m.meta_sha group by c.id),
+       labels as (select id, head_or_base, meta_label from pr_meta where head_or_base = 'base' group by id, head_or_base, meta_label),
+       lines as (select c.id, sum(k.added) as lines_added, sum(k.removed) as lines_removed, count(distinct k.filename) as file_count from pr_commits c, commits k, pr_merges p, pr_meta m
+         where k.hash = c.sha and p.id = c.id and p.id = m.id and k.repo_id = p.repo_id and k.hash <> p.merge_sha and k.hash <> m.meta_sha group by c.id)
+       select repos.repo_id, p.id, repo_name, rg_name as repo_group, state, merged_at, created_at, closed_at, year(created_at) as created_year, month(created_at) as created_month, year(closed_at) as closed_year,
+         month(closed_at) as closed_month, meta_label, head_or_base, {", ".join(f"round(epoch({c} - created_at) / {u}, 4) as {unit}_to_{n}" for n, c in _SPANS.items() for unit, u in (("hours", 3600), ("days", 86400)))},
+         first_response_time, last_response_time, round(epoch(last_response_time - first_response_time) / comment_count, 4) as seconds_between_responses, comment_count, {", ".join(f"{a}_count" for a in views.VIEW_ACTIONS)},
+         commit_count, cast(lines_added as bigint) as lines_added, cast(lines_removed as bigint) as lines_removed, file_count
+       from repos, repo_groups, pull_requests p left join r on p.id = r.id left join counts on p.id = counts.id left join labels on labels.id = counts.id left join lines on labels.id = lines.id
+       where repos.repo_group_id = repo_groups.repo_group_id and repos.repo_id = p.repo_id""",
+)
 query(
     "language_breakdown",
     lambda t: views.language_breakdown(t.labor),
