@@ -128,6 +128,22 @@ class Tables:
         rows = F.when(F.col("id") % 7 == 0, F.array(head)).when(F.col("id") % 11 == 0, F.array(head, base("main", 50), base("next", 2))).otherwise(F.array(head, base("main", 50)))
         return self.pull_requests.select("id", F.explode(rows).alias("m")).select("id", "m.*")
 
+    @cached_property
+    def pr_bundles(self) -> DataFrame:
+        """seq, repo_id, entity_type, payload: each pull request with its children as one nested record."""
+        listed = lambda df, name, *fields: df.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias(name))
+        files = listed(self.pr_files.distinct(), "files", "path", F.length("path").cast("long").alias("additions"))
+        commits = listed(self.pr_commits, "commits", F.struct(F.col("sha").cast("string").alias("oid")).alias("commit"))
+        reviews = listed(self.item_events.filter("action = 'labeled'").withColumnRenamed("item_id", "id"), "reviews", F.col("event_id").alias("databaseId"), F.struct(F.col("cntrb_id").alias("databaseId")).alias("author"))
+        comments = listed(self.messages.withColumnRenamed("item_id", "id"), "comments", F.col("msg_id").alias("databaseId"), F.col("msg_text").alias("body"))
+        p = self.pull_requests
+        for df in (files, commits, reviews, comments):
+            p = p.join(df, "id", "left")
+        nodes = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("nodes"))).alias(c)
+        one = F.struct(F.col("id").alias("number"), F.upper(F.col("state")).alias("state"), F.col("merged_at").alias("mergedAt"), F.struct(F.col("author_id").alias("databaseId")).alias("author"), F.lit("topic").alias("headRefName"), *map(nodes, ("files", "commits", "reviews", "comments")))
+        payload = F.to_json(F.struct(F.create_map(F.lit("pr0"), one).alias("repository")))
+        return p.select(F.col("id").alias("seq"), "repo_id", F.lit("pull_request_bundle").alias("entity_type"), payload.alias("payload"))
+
     @cached_property
     def messages(self) -> DataFrame:
         hours = F.make_dt_interval(hours=(F.col("conv_id") * 7 + F.col("turn")).cast("int"))

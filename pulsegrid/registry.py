@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import merge, metrics, reports, views
+from .operators import jobs, merge, metrics, reports, views
+from .operators.store import Replace, Store, scratch
 from .plans.binding import CTES, Tables
-from .sources import manifests
+from .sources import bundles, manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -367,3 +369,57 @@ def _windows(t: Tables) -> DataFrame:
 
 
 query("event_windows", _windows, "select date_trunc('hour', created_at) as start, action, count(*) as n from item_events group by all")
+
+# Sinks: written through the store in several commits and read back.
+
+
+def _rotated(t: Tables) -> DataFrame:
+    """Three rounds of snapshots; each moves the snapshots before it to the history."""
+    store, rows = Store(t.spark, scratch(t.spark, "repo-info")), t.repo_info.select("repo_id", "info_id", "stars")
+    for k in range(3):
+        jobs.rotate(store, "repo_info", rows.filter(F.col("info_id") % 3 == k), "info", k)
+    return store.table("repo_info").withColumn("live", F.lit(True)).unionByName(store.table("repo_info_history").withColumn("live", F.lit(False)))
+
+
+def _replaced(t: Tables) -> DataFrame:
+    store, rows = Store(t.spark, scratch(t.spark, "deps")), t.deps.select("repo_id", "dep_id", "name")
+    store.commit([Replace("deps", rows, t.repos)])
+    store.commit([Replace("deps", rows.filter("dep_id % 2 = 0"), t.repos.filter("repo_id < 10"))])
+    return store.table("deps")
+
+
+def _refreshed(t: Tables) -> DataFrame:
+    """All repositories up to 1995, then every second one anew from all commits."""
+    store = Store(t.spark, scratch(t.spark, "aggregates"))
+    jobs.refresh_aggregates(store, t.commits.filter("year(authored_at) < 1996"), t.repos, "aggregates", 0)
+    jobs.refresh_aggregates(store, t.commits, t.repos.filter("repo_id % 2 = 0"), "aggregates", 1)
+    return store.table("repo_aggregates_month")
+
+
+def _bundled(t: Tables) -> DataFrame:
+    """Half of the pull requests as they were when open, then all as they are; each round is one commit of all child tables."""
+    store, staged = Store(t.spark, scratch(t.spark, "bundles"), buckets=8), t.pr_bundles
+    early = staged.filter("seq % 2 = 0").withColumn("payload", F.regexp_replace("payload", '"(CLOSED|MERGED)"', '"OPEN"'))
+    for k, rows in enumerate((early, staged)):
+        path = scratch(t.spark, "bundle-rows")
+        bundles.fan_out(rows).write.partitionBy("entity").parquet(path)
+        store.commit(bundles.changes(t.spark.read.parquet(path)), "bundles", k)
+    text = {"pull_requests": ("", "state"), "pr_files": ("path", "cast(added as string)"), "pr_commits": ("sha", "''"), "pr_reviews": ("cast(review_id as string)", "cast(author_id as string)"), "pr_meta": ("head_or_base", "ref"), "messages": ("cast(msg_id as string)", "msg_text"), "pr_message_refs": ("cast(msg_id as string)", "''")}
+    rows = [store.table(e).selectExpr("repo_id", "cast(null as bigint) as number" if e == "messages" else "number", f"'{e}' as entity", f"{k or chr(39) * 2} as key", f"{v} as value") for e, (k, v) in text.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+query("repo_info_rotated", _rotated, "select repo_id, info_id, stars, info_id % 3 = max(info_id % 3) over (partition by repo_id) as live from repo_info")
+query("deps_replaced", _replaced, "select repo_id, dep_id, name from deps where repo_id >= 10 or dep_id % 2 = 0")
+query("aggregates_refreshed", _refreshed, f"select repo_id, author_email, {_WHO}, year(authored_at) as year, month(authored_at) as month, {_SUMS} from commits where authored_at is not null and (repo_id % 2 = 0 or year(authored_at) < 1996) group by all")
+query(
+    "pr_bundle_children",
+    _bundled,
+    """select repo_id, id as number, 'pull_requests' as entity, '' as key, state as value from pull_requests
+       union all select distinct repo_id, p.id, 'pr_files', path, cast(length(path) as varchar) from pull_requests p join pr_files f on p.id = f.id
+       union all select repo_id, p.id, 'pr_commits', cast(sha as varchar), '' from pull_requests p join pr_commits c on p.id = c.id
+       union all select repo_id, p.id, 'pr_reviews', cast(event_id as varchar), cast(cntrb_id as varchar) from pull_requests p join item_events e on p.id = e.item_id where action = 'labeled'
+       union all select repo_id, id, 'pr_meta', 'head', 'topic' from pull_requests
+       union all select repo_id, null, 'messages', cast(msg_id as varchar), msg_text from pull_requests p join messages m on p.id = m.item_id
+       union all select repo_id, p.id, 'pr_message_refs', cast(msg_id as varchar), '' from pull_requests p join messages m on p.id = m.item_id""",
+)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import strip_json_nul
-from ..operators.merge import dedupe, upsert
+from ..operators.merge import dedupe
+from ..operators.store import Merge, Store
+from ..sources import bundles
 
 STAGED = "seq long, repo_id long, entity_type string, payload string"
 #: Parents before children.
@@ -18,6 +17,8 @@ ENTITIES = {
     "issue": (["repo_id", "number"], "number long, title string, state string"),
     "issue_event": (["repo_id", "number", "event_id"], "number long, event_id long, action string"),
 }
+#: Staged records of nested pull requests.
+BUNDLES = "pull_request_bundle"
 PARENTS = {"issue_event": ("issue", ["repo_id", "number"])}
 
 
@@ -43,70 +44,58 @@ def parse(batch: DataFrame, entity: str) -> DataFrame:
 
 def quarantine(batch: DataFrame) -> DataFrame:
     """Staged rows of unknown entities, with unreadable payloads, or without a key."""
-    out = batch.filter(F.col("entity_type").isNull() | ~F.col("entity_type").isin(*ENTITIES))
+    out = batch.filter(F.col("entity_type").isNull() | ~F.col("entity_type").isin(*ENTITIES, BUNDLES))
+    broken = F.from_json("payload", "struct<repository: map<string, string>>")["repository"].isNull()
+    out = out.unionByName(batch.filter((F.col("entity_type") == BUNDLES) & (broken | F.col("repo_id").isNull())))
     for entity in ENTITIES:
         out = out.unionByName(_read_payloads(batch, entity).filter("not ok").select(*batch.columns))
     return out
 
 
-def _pointers(spark: SparkSession, root: str, entity: str) -> list[int]:
-    """Numbers of the complete pointers of an entity; one that a crash cut short does not count."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{entity}/pointers")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{entity}/pointers/{n}/_SUCCESS"))
-    return sorted(int(n) for n in names if n.isdigit() and done(n))
-
-
-def _version(spark: SparkSession, root: str, entity: str) -> str | None:
-    numbers = _pointers(spark, root, entity)
-    return spark.read.text(f"{root}/{entity}/pointers/{numbers[-1]:012d}").first()[0] if numbers else None
-
-
-def _point(spark: SparkSession, root: str, entity: str, version: str) -> None:
-    """A new pointer beside the old ones: whatever happens, the newest complete one names a whole table."""
-    number = (_pointers(spark, root, entity) or [-1])[-1] + 1
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/{entity}/pointers/{number:012d}")
+def merge_batch(root: str, writer: str = "drain"):
+    """foreachBatch function: merge each entity's newest rows and the children of nested bundles, all in one commit.
 
-
-def _read(spark: SparkSession, root: str, entity: str, like: DataFrame) -> DataFrame:
-    version = _version(spark, root, entity)
-    return spark.read.parquet(f"{root}/{entity}/{version}") if version else spark.createDataFrame([], like.schema)
-
-
-def merge_batch(root: str):
-    """foreachBatch function: merge each entity's newest rows, write a new version, then point to it. Replays give the same tables."""
+    Children without a parent, in the store or in the batch, are skipped. What is written follows the batch: only the
+    touched buckets of each table. A batch that the store already holds for the writer is not merged again.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        store = Store(batch.sparkSession, root)
+        if store.applied(writer, batch_id):
+            return
         batch = batch.persist()
-        quarantine(batch).write.mode("overwrite").json(f"{root}/quarantine/{batch_id:012d}")
-        for entity, (keys, _) in ENTITIES.items():
-            new = dedupe(parse(batch, entity), keys, [F.desc("seq")]).drop("seq")
-            if entity in PARENTS:  # children without a parent are skipped
-                parent, on = PARENTS[entity]
-                new = new.join(_read(spark, root, parent, new).select(*on), on, "left_semi")
-            old = _read(spark, root, entity, new)
-            version = f"v{batch_id}-{uuid.uuid4().hex[:8]}"  # a replay never writes what it reads
-            upsert(old, new, keys).write.mode("overwrite").parquet(f"{root}/{entity}/{version}")
-            _point(spark, root, entity, version)
-        batch.unpersist()
+        nested = bundles.fan_out(batch.filter(F.col("entity_type") == BUNDLES)).persist()
+        try:
+            quarantine(batch).write.mode("overwrite").json(f"{root}/quarantine/{batch_id:012d}")
+            seen = {r.entity_type for r in batch.select("entity_type").distinct().collect()}
+            found: list[Merge] = bundles.changes(nested) if BUNDLES in seen else []
+            for entity, (keys, _) in ENTITIES.items():
+                new = dedupe(parse(batch, entity), keys, [F.desc("seq")]).drop("seq")
+                if entity in PARENTS:
+                    parent, on = PARENTS[entity]
+                    known = parse(batch, parent).select(*on)
+                    if any(r.name == parent for r in store.manifest()):
+                        known = known.unionByName(store.table(parent).select(*on))
+                    new = new.join(known.distinct(), on, "left_semi")
+                found.append(Merge(entity, new, keys, by=keys[0]))
+            store.commit(found, writer, batch_id)
+        finally:
+            nested.unpersist()
+            batch.unpersist()
 
     return run
 
 
 def drain(stream: DataFrame, root: str, checkpoint: str) -> None:
-    """Process all that is staged, batch by batch."""
-    stream.writeStream.foreachBatch(merge_batch(root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Process all that is staged, batch by batch. The checkpoint names the writer: a new one replays everything."""
+    stream.writeStream.foreachBatch(merge_batch(root, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def table(spark: SparkSession, root: str, entity: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{entity}/{_version(spark, root, entity)}")
+    return Store(spark, root).table(entity)
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Native extension: tumbling counts by action with a watermark; works on streams and tables."""
     ts = events.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", late)
     return ts.groupBy(F.window("at", width).alias("w"), "action").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "action", "n")
-
-

@@ -94,9 +94,9 @@ def test_stream_drains_by_entity_and_replays_to_the_same_tables(spark, tmp_path)
         assert [(r["number"], r["event_id"]) for r in ingest.table(spark, str(tmp_path / "out"), "issue_event").collect()] == [(7, 1)]
     assert ingest.quarantine(spark.read.schema(ingest.STAGED).json(str(staged))).count() == 1
     assert spark.read.json(f"{tmp_path}/out/quarantine/*").count() == 1
-    # A crash between a new version and its pointer: the half-written pointer does not count.
+    # A crash between new versions and their commit: the half-written commit does not count.
     before = ingest.table(spark, str(tmp_path / "out"), "issue").count()
-    (tmp_path / "out" / "issue" / "pointers" / "000000000099").mkdir()
+    (tmp_path / "out" / "_commits" / "000000000099").mkdir()
     assert ingest.table(spark, str(tmp_path / "out"), "issue").count() == before
     ingest.drain(ingest.staged_stream(spark, str(staged)), str(tmp_path / "out"), str(tmp_path / "three"))
     assert ingest.table(spark, str(tmp_path / "out"), "issue").count() == before
