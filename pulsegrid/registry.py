@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import jobs, merge, metrics, reports, views
+from .operators import jobs, merge, metrics, queue, reports, views
 from .operators.store import Replace, Store, scratch
 from .plans.binding import CTES, Tables
 from .sources import bundles, manifests
@@ -423,3 +423,39 @@ query(
        union all select repo_id, null, 'messages', cast(msg_id as varchar), msg_text from pull_requests p join messages m on p.id = m.item_id
        union all select repo_id, p.id, 'pr_message_refs', cast(msg_id as varchar), '' from pull_requests p join messages m on p.id = m.item_id""",
 )
+
+# The collection queue, with items as its jobs.
+
+
+def _queue(t: Tables) -> DataFrame:
+    held, worker = F.col("state") == "merged", F.concat(F.lit("w"), (F.col("id") % 3).cast("string"))
+    values = {
+        "repo_id": F.col("id"), "priority": F.col("id") % 5, "status": F.when(held, "collecting").otherwise("queued"), "due_at": F.col("created_at"), "locked_by": F.when(held, worker), "locked_at": F.when(held, F.col("closed_at")),
+        "last_collected": F.col("closed_at"), "force_full": F.col("id") % 7 == 0, "last_error": F.lit(None),
+    }
+    return t.items.select(*(values[c].cast(k).alias(c) for c, k in queue.COLUMNS.items()))
+
+
+_QUEUE = """with q as (select id as repo_id, cast(id % 5 as int) as priority, case state when 'merged' then 'collecting' else 'queued' end as status, created_at as due_at, case state when 'merged' then 'w' || id % 3 end as locked_by,
+    case state when 'merged' then closed_at end as locked_at, closed_at as last_collected, id % 7 = 0 as force_full, cast(null as varchar) as last_error from items)"""
+query(
+    "queue_claimed",
+    lambda t: queue.claim(_queue(t), ["a", "b", "c", "d", "e"], "1996-01-01 00:00:00"),
+    f"""{_QUEUE}, c as (select repo_id, chr(96 + cast(row_number() over (order by priority, due_at, repo_id) as int)) as worker from q where status = 'queued' and due_at <= timestamp '1996-01-01' order by priority, due_at, repo_id limit 5)
+        select q.* replace (case when worker is null then status else 'collecting' end as status, coalesce(worker, locked_by) as locked_by, case when worker is null then locked_at else timestamp '1996-01-01' end as locked_at) from q left join c using (repo_id)""",
+)
+query("queue_realigned", lambda t: queue.realign(_queue(t), 14 * 86_400), f"{_QUEUE} select * replace (case when status = 'queued' and last_collected is not null then last_collected + interval 14 days else due_at end as due_at) from q")
+query(
+    "queue_recovered",
+    lambda t: queue.recover_others(queue.recover_stale(_queue(t), 86_400, "1996-06-01 00:00:00"), "w1", "1996-06-01 00:00:00"),
+    f"""{_QUEUE}, x as (select *, status = 'collecting' and locked_at < timestamp '1996-05-31' as stale, status = 'collecting' and locked_by <> 'w1' as other from q)
+        select * exclude (stale, other) replace (case when stale or other then 'queued' else status end as status, case when stale or other then null else locked_by end as locked_by,
+        case when stale or other then null else locked_at end as locked_at, case when other and not stale then timestamp '1996-06-01' else due_at end as due_at) from x""",
+)
+query(
+    "queue_completed",
+    lambda t: queue.complete(_queue(t), t.items.filter("id % 4 = 0").select(F.col("id").alias("repo_id"), (F.col("id") % 8 == 0).alias("ok"), F.concat(F.lit("error "), F.col("id").cast("string")).alias("error")), 3_600, "1999-01-01 00:00:00"),
+    f"""{_QUEUE} select * replace (case when repo_id % 4 = 0 then 'queued' else status end as status, case when repo_id % 4 = 0 then 100 else priority end as priority, case when repo_id % 4 = 0 then timestamp '1999-01-01 01:00:00' else due_at end as due_at,
+        case when repo_id % 4 = 0 then null else locked_by end as locked_by, case when repo_id % 4 = 0 then null else locked_at end as locked_at, case when repo_id % 4 = 0 then timestamp '1999-01-01' else last_collected end as last_collected,
+        case when repo_id % 8 = 4 then 'error ' || repo_id end as last_error, force_full and repo_id % 8 <> 0 as force_full) from q""",
+)
