@@ -28,6 +28,8 @@ from .common import least_hash, positive_hash, slices, texts
 BUCKETS, SAMPLE, LEAST, KEPT, FACTORS, PREFIX = 1 << 22, 12_000, 5, 1 << 14, 8, 5
 #: Least log-likelihood ratio of a kept term; chance terms would add up over long texts.
 TELLING = 8.0
+#: With fewer toxic rows than this no term can tell so much, and the least ratio falls in proportion.
+ENOUGH = 100
 #: A pair of the ``FREQUENT`` commonest terms keeps both, whatever they tell alone, if it tells so much more than the better of them.
 FREQUENT, PAIR_TELLING = 1_024, 40.0
 MEMO = 400_000
@@ -93,7 +95,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 25, rate: floa
     tell = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
     kept = np.flatnonzero(n >= LEAST)
     kept = np.sort(kept[np.argsort(-tell[kept], kind="stable")[:KEPT]])
-    kept = kept[tell[kept] > TELLING]
+    kept = kept[tell[kept] > TELLING * min(1.0, labels.sum() / ENOUGH)]
     place = np.full(len(all_), -1)
     common = np.sort(np.argsort(-n, kind="stable")[:FREQUENT])
     common = common[n[common] >= LEAST]
