@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import jobs, merge, metrics, queue, reports, views
+from .operators import identity, jobs, merge, metrics, queue, reports, views
 from .operators.store import Replace, Store, scratch
 from .plans.binding import CTES, Tables
 from .sources import bundles, manifests
@@ -459,3 +459,55 @@ query(
         case when repo_id % 4 = 0 then null else locked_by end as locked_by, case when repo_id % 4 = 0 then null else locked_at end as locked_at, case when repo_id % 4 = 0 then timestamp '1999-01-01' else last_collected end as last_collected,
         case when repo_id % 8 = 4 then 'error ' || repo_id end as last_error, force_full and repo_id % 8 <> 0 as force_full) from q""",
 )
+
+# Identities: every person is an account; two in a row share a login, some are known by identity or login.
+
+
+def _people(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, none = F.col("cntrb_id"), F.lit(None).cast("string")
+    login = F.concat(F.lit("s"), F.floor(k / 2).cast("string"))
+    seen = t.contributors.select(k.alias("seq"), F.lit(1).alias("platform_id"), k.alias("user_id"), login.alias("login"), F.lit("").alias("name"), "email")
+    people = t.contributors.filter(k % 6 == 0).select(F.concat(F.lit("c"), k.cast("string")).alias("cntrb_id"), login.alias("login"), none.alias("email"), F.col("login").alias("full_name"), F.when(k % 12 == 0, F.col("canonical")).alias("canonical"))
+    known = t.contributors.filter(k % 5 == 0).select(F.lit(1).alias("platform_id"), k.alias("user_id"), F.concat(F.lit("i"), k.cast("string")).alias("cntrb_id"), login.alias("login"), none.alias("name"), "email")
+    return seen, people, known
+
+
+_PEOPLE = """with s as (select cntrb_id as user_id, 's' || cntrb_id // 2 as login, email from contributors where cntrb_id > 0),
+    people as (select 'c' || cntrb_id as cntrb_id, 's' || cntrb_id // 2 as login, login as full_name, case when cntrb_id % 12 = 0 then canonical end as canonical from contributors where cntrb_id % 6 = 0),
+    r as (select s.*, case when user_id % 5 = 0 then 'i' || user_id end as held, named, '01' || lpad(lower(to_hex(user_id)), 8, '0') || '-' as h from s left join (select login, min(cntrb_id) as named from people group by 1) using (login)),
+    o as (select *, '01' || left(lpad(lower(to_hex(user_id)), 8, '0'), 6) || '-' || right(lpad(lower(to_hex(user_id)), 8, '0'), 2) || '00-0000-0000-000000000000' as own from r),
+    m as (select login, min_by(own, user_id) as made from o where held is null and named is null group by 1),
+    a as (select 1 as platform_id, user_id, coalesce(held, named, made) as cntrb_id, case when held is not null then 'identity' when named is not null then 'login' else 'new' end as how, login, email from o left join m using (login))"""
+query("accounts_resolved", lambda t: identity.resolve_accounts(*_people(t)).accounts, f"{_PEOPLE} select platform_id, user_id, cntrb_id, how from a")
+query(
+    "contributors_merged",
+    lambda t: identity.resolve_accounts(*_people(t)).contributors,
+    f"""{_PEOPLE}, n as (select cntrb_id, min_by(login, user_id) as login, max_by(email, user_id) as email from a where how <> 'identity' group by 1)
+        select cntrb_id, coalesce(p.login, n.login) as login, n.email, p.full_name, p.canonical from people p full join n using (cntrb_id)""",
+)
+
+
+def _addresses(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Addresses of authors, resolved by a part of the contributors and the aliases of others."""
+    text = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    people = t.contributors.filter("cntrb_id % 4 = 0").select(text(F.col("cntrb_id")).alias("cntrb_id"), F.lit("").alias("login"), "email", F.lit("").alias("full_name"), F.when(F.col("cntrb_id") % 8 == 0, F.lit("")).otherwise(F.col("canonical")).alias("canonical"))
+    aliases = t.contributors.filter("cntrb_id % 4 = 1").select(F.col("email").alias("alias_email"), text(F.col("cntrb_id") - 1).alias("cntrb_id"), F.lit("first").alias("canonical_email"))
+    known = t.contributors.limit(0).select(F.lit(1).alias("platform_id"), F.col("cntrb_id").alias("user_id"), text(F.col("cntrb_id")).alias("cntrb_id"))
+    return people, aliases, identity.resolve_addresses(t.commits.select(F.col("author_email").alias("email")), people, aliases, known)
+
+
+_ADDRESSES = """with p as (select 'c' || cntrb_id as cntrb_id, email, case when cntrb_id % 8 <> 0 then canonical end as canonical from contributors where cntrb_id % 4 = 0),
+    al as (select email as alias_email, 'c' || (cntrb_id - 1) as cntrb_id, 'first' as canonical_email from contributors where cntrb_id % 4 = 1),
+    own as (select address, min(cntrb_id) as own from (select cntrb_id, email as address from p union all select cntrb_id, canonical from p) where address is not null group by 1),
+    res as (select email, coalesce(own, a.cntrb_id) as cntrb_id from (select distinct author_email as email from commits) left join own on address = email left join al a on alias_email = email)"""
+query(
+    "aliases_added",
+    lambda t: (lambda people, aliases, found: identity.add_aliases(aliases, found, people))(*_addresses(t)),
+    f"""{_ADDRESSES} select * from al union all select res.email, res.cntrb_id, coalesce(canonical, res.email) from res left join p using (cntrb_id)
+        where res.cntrb_id is not null and res.email is distinct from canonical and res.email not in (select alias_email from al)""",
+)
+query(
+    "unresolved_addresses",
+    lambda t: (lambda people, aliases, found: identity.add_unresolved(t.contributors.filter("cntrb_id % 4 = 3 and cntrb_id % 3 = 0").select("email"), found))(*_addresses(t)),
+    f"{_ADDRESSES} select email from contributors where cntrb_id % 4 = 3 and cntrb_id % 3 = 0 union select email from res where cntrb_id is null",
+)
