@@ -161,6 +161,14 @@ class Tables:
             licence.alias("license"), F.concat(F.lit("^"), (F.col("p_partkey") % 9).cast("string")).alias("requirement"), F.concat((F.col("p_partkey") % 9).cast("string"), F.lit(".0")).alias("current_version"), F.lit("9.0").alias("latest_version"), F.col("p_size").cast("double").alias("libyear"), day.alias("collected_at"), F.col("p_retailprice").alias("price"),
         )
 
+    @cached_property
+    def manifests(self) -> DataFrame:
+        """path, text: a manifest for each part, of the formats in turn, with the part's number in its names."""
+        k = (F.col("p_partkey") % len(MANIFESTS) + 1).cast("int")
+        pick = lambda i: F.element_at(F.array(*(F.lit(m[i]) for m in MANIFESTS)), k)
+        text = F.replace(pick(1), F.lit("{n}"), F.col("p_partkey").cast("string"))
+        return self.raw("part").select(F.concat(F.lit("/"), F.col("p_partkey").cast("string"), F.lit("/"), pick(0)).alias("path"), text.alias("text"))
+
     @cached_property
     def repo_info(self) -> DataFrame:
         k = F.col("s_suppkey")
@@ -176,6 +184,32 @@ class Tables:
         return self.raw("part").select((F.col("p_partkey") % 25).alias("repo_id"), F.col("p_brand").alias("language"), F.col("p_name").alias("file_path"), (F.col("p_size") * 10).cast("long").alias("code_lines"), (F.col("p_size") % 7).cast("long").alias("complexity"), (F.col("p_size") % 5).cast("long").alias("blank_lines"), (F.col("p_size") % 11).cast("long").alias("comment_lines"), minute.alias("analysed_at"))
 
 
+#: Manifests given to parts by the binding ({n}: the part's number): file, text, rows of the listing with versions (manager,
+#: name, version, type), and its names where they are not those of the rows that are neither peers nor optional. Test data of our own.
+MANIFESTS = (
+    ("package.json", '{"dependencies": {"a{n}": "^1.2"}, "devDependencies": {"c": ">=3,<4"}, "peerDependencies": {"p": "1"}}', [("npm", "a{n}", "1.2", "runtime"), ("npm", "c", "3", "dev"), ("npm", "p", "1", "peer")], None),
+    ("requirements.txt", "# note\nf{n}==2.3.0\nrequests[socks]>=2.28.0,<3 # why\npandas\n", [("pypi", "f{n}", "2.3.0", "runtime"), ("pypi", "requests", "2.28.0", "runtime"), ("pypi", "pandas", "", "runtime")], None),
+    ("setup.py", "setup(name='x', install_requires=['a{n}>=1.0', \"b\"])", [("pypi", "a{n}", "1.0", "runtime"), ("pypi", "b", "", "runtime")], None),
+    ("setup.cfg", "[options]\ninstall_requires =\n    a{n}>=1\n    b\nzip_safe = no\n", [("pypi", "a{n}", "1", "runtime"), ("pypi", "b", "", "runtime")], None),
+    ("pyproject.toml", '[project]\ndependencies = [\n  "a{n}[x]>=1",\n]\n[tool.poetry.dependencies]\npython = "^3"\nc = "^2.1"\n', [("pypi", "a{n}", "1", "runtime"), ("pypi", "c", "2.1", "runtime")], None),
+    ("Pipfile", '[packages]\na{n} = "*"\nb = {version = "==1.0"}\n[dev-packages]\nc = "*"\n', [("pypi", "a{n}", "", "runtime"), ("pypi", "b", "1.0", "runtime")], None),
+    ("go.mod", "module m\n\nrequire x.org/one v1.2.3\n\nrequire (\n\tx.org/p{n} v5.9.1\n\t// note\n)\n", [("go", "x.org/one", "v1.2.3", "runtime"), ("go", "x.org/p{n}", "v5.9.1", "runtime")], ["x.org/p{n}"]),
+    ("Cargo.toml", '[dependencies]\na{n} = "1.0"\n[dev-dependencies]\nd = "3"\n', [("cargo", "a{n}", "1.0", "runtime"), ("cargo", "d", "3", "dev")], ["a{n}"]),
+    ("Gemfile", "source 'https://x'\ngem 'r{n}', '~> 7.0'\n", [("rubygems", "r{n}", "7.0", "runtime")], None),
+    ("pom.xml", "<dependencies><dependency>\n<groupId>g</groupId>\n<artifactId>a{n}</artifactId>\n<version>1</version>\n</dependency></dependencies>", [("maven", "g:a{n}", "1", "runtime")], ["a{n}"]),
+    ("build.gradle", "dependencies {\n  implementation 'g:a{n}:1.0'\n  testImplementation(\"h:b:2\")\n}\n", [("maven", "g:a{n}", "1.0", "runtime"), ("maven", "h:b", "2", "dev")], None),
+    ("composer.json", '{"require": {"php": ">=8", "v/a{n}": "^1"}, "require-dev": {"v/b": "2"}}', [("packagist", "v/a{n}", "1", "runtime"), ("packagist", "v/b", "2", "dev")], None),
+    ("build.sbt", 'libraryDependencies += "org" %% "n{n}" % "1.0"\n', [("maven", "org:n{n}", "1.0", "runtime")], None),
+    ("packages.config", '<packages>\n<package id="A{n}" version="1" />\n<Package Id="B" Version="2" />\n</packages>', [("nuget", "A{n}", "1", "runtime"), ("nuget", "B", "2", "runtime")], ["A{n}"]),
+    ("App.csproj", '<PackageReference Include="A{n}" Version="1" />\n', [("nuget", "A{n}", "1", "runtime")], None),
+    ("Directory.Packages.props", '<PackageVersion Include="A{n}" Version="1" />\n', [("nuget", "A{n}", "1", "runtime")], None),
+    ("package.yaml", "name: x\ndependencies:\n- b{n} >= 4.7 && < 5\nlibrary:\n  - no\n", [("hackage", "b{n}", "4.7", "runtime")], None),
+    ("mix.exs", 'defp deps do\n [\n  {:p{n}, "~> 1.7.0"},\n  {:bare}\n ]\nend\n', [("hex", "p{n}", "1.7.0", "runtime")], ["p{n}", "bare"]),
+    ("pubspec.yaml", "name: x\ndependencies:\n  flutter:\n    sdk: flutter\n  h{n}: ^0.13.6\ndev_dependencies:\n  lints: '2.0'\n", [("pub", "h{n}", "0.13.6", "runtime"), ("pub", "lints", "2.0", "dev")], None),
+    ("Package.swift", '.package(url: "https://h/o/A{n}.git", from: "5.6.0"),\n', [("swiftpm", "A{n}", "5.6.0", "runtime")], None),
+    ("Makefile", "all:\n\tcc x{n}.c\n", [], None),
+)
+
 #: Raw licence strings given to dependencies by the binding (test data of our own).
 LICENCES = ("MIT License", "Apache 2.0", "BSD", "GPLv3", "", "NOASSERTION", "ISC license", "Custom terms", " mit ", "MPL 2.0")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import identity, jobs, merge, metrics, queue, reports, views
 from .operators.store import Replace, Store, scratch
-from .plans.binding import CTES, Tables
+from .plans.binding import CTES, MANIFESTS, Tables
 from .sources import bundles, manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -511,3 +511,17 @@ query(
     lambda t: (lambda people, aliases, found: identity.add_unresolved(t.contributors.filter("cntrb_id % 4 = 3 and cntrb_id % 3 = 0").select("email"), found))(*_addresses(t)),
     f"{_ADDRESSES} select email from contributors where cntrb_id % 4 = 3 and cntrb_id % 3 = 0 union select email from res where cntrb_id is null",
 )
+
+# Manifests of all formats, in turn over the parts.
+_LISTED = ", ".join(f"({k}, '{file}', '{m}', '{n}', '{v}', '{kind}')" for k, (file, _, rows, _) in enumerate(MANIFESTS) for m, n, v, kind in rows)
+_NAMED = ", ".join(f"({k}, '{file}', '{'.NET' if file.endswith('.csproj') else manifests.ECOSYSTEM[file]}', '{n}')" for k, (file, _, rows, names) in enumerate(MANIFESTS) for n in (names or [r[1] for r in rows if r[3] not in ("peer", "optional")]))
+query(
+    "manifest_formats",
+    lambda t: manifests.dependencies(t.manifests),
+    f"select '/' || p_partkey || '/' || file as path, manager, replace(name, '{{n}}', cast(p_partkey as varchar)) as name, version, kind as type from part join (values {_LISTED}) m(k, file, manager, name, version, kind) on p_partkey % {len(MANIFESTS)} = k",
+)
+query(
+    "manifest_names",
+    lambda t: manifests.dependency_names(t.manifests),
+    f"select '/' || p_partkey || '/' || file as path, ecosystem, replace(name, '{{n}}', cast(p_partkey as varchar)) as name from part join (values {_NAMED}) m(k, file, ecosystem, name) on p_partkey % {len(MANIFESTS)} = k",
+)

@@ -27,25 +27,29 @@ _TOML = r'^\s*([A-Za-z0-9_.-]+)\s*=\s*(?:"([^"]*)"|\{(?:.*?\bversion\s*=\s*"([^"
 _REQUIREMENT = r"([^\s#;<>=!~,\[-][^\s#;<>=!~,\[]*)\s*(?:\[[^\]]*\])?\s*(?:(?:===?|>=|~=)\s*([^,;\s#]+))?()"
 _ATTRIBUTES = r'.*?(?i:include)="([^"]+)"(?:.*?(?i:version)="([^"]*)")?()'
 #: format, manager, line that opens a section (group 1: its name), line that closes one, sections and their dependency types,
-#: entry (groups: name, version, version), whether versions lose their operators.
+#: entry (groups: name, version, version), whether versions lose their operators, and the listing it is for: of versions, of names, or both.
 _RULES = [
-    ("requirements.txt", "pypi", None, None, {"": "runtime"}, r"^\s*" + _REQUIREMENT, False),
-    ("setup.cfg", "pypi", r"^([^\s=\[][^=]*?)\s*=", r"^\[", {"install_requires": "runtime"}, r"^\s+" + _REQUIREMENT, False),
-    ("pyproject.toml", "pypi", r"^\s*\[([^\]]+)\]", None, {"tool.poetry.dependencies": "runtime"}, _TOML, True),
-    ("Pipfile", "pypi", r"^\s*\[([^\]]+)\]", None, {"packages": "runtime"}, _TOML, True),
-    ("go.mod", "go", r"^\s*(require) \(\s*$", r"^\s*\)\s*$", {"require": "runtime"}, r"^\s*([^\s/()]\S*)\s+(\S+)()", False),
-    ("go.mod", "go", None, None, {"": "runtime"}, r"^\s*require\s+([^\s(]\S*)\s+([^\s(]\S*)()", False),
-    ("Cargo.toml", "cargo", r"^\s*\[([^\]]+)\]", None, {"dependencies": "runtime", "dev-dependencies": "dev", "build-dependencies": "build"}, _TOML, True),
-    ("Gemfile", "rubygems", None, None, {"": "runtime"}, r"""^\s*gem\s+["']?([^"',\s]+)["']?\s*(?:,\s*["']?([^"',]*)["']?)?()""", True),
-    ("build.gradle", "maven", None, None, {"": "runtime"}, r"""^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|testCompileOnly)[^"']*["']([^"':]+:[^"':]+)(?::([^"']*))?["']()""", False),
-    ("build.sbt", "maven", None, None, {"": "runtime"}, r'libraryDependencies(?=.*%)[^"]*"([^"]*"[^"]*"[^"]*)"(?:[^"]*"([^"]*)")?()', False),
-    ("packages.config", "nuget", None, None, {"": "runtime"}, r'<[Pp]ackage\s.*?(?i:\bid)="([^"]+)"(?:.*?(?i:\bversion)="([^"]*)")?()', False),
-    ("csproj", "nuget", None, None, {"": "runtime"}, "PackageReference" + _ATTRIBUTES, False),
-    ("Directory.Packages.props", "nuget", None, None, {"": "runtime"}, "PackageVersion" + _ATTRIBUTES, False),
-    ("package.yaml", "hackage", r"^\s*(dependencies):\s*$", r"^[^\s-]", {"dependencies": "runtime"}, r"^\s*- ([^ ><=!]+)(?:[^0-9]*([0-9][0-9.]*))?()", False),
-    ("mix.exs", "hex", None, None, {"": "runtime"}, r"""^\s*\{:([^,\s}]+)\s*(?:,\s*["']?([^"',}\]]*))?()""", True),
-    ("pubspec.yaml", "pub", r"^(dependencies|dev_dependencies):\s*$", r"^\S", {"dependencies": "runtime", "dev_dependencies": "dev"}, r"""^\s+([^#:\s][^:]*?)\s*:\s*["']?([^"']*?)["']?\s*$()""", True),
-    ("Package.swift", "swiftpm", None, None, {"": "runtime"}, r'\.package\(url:\s*"[^"]*?([^"/]+?)(?:\.git)?/?"(?:[^"]*"([^"]*)")?()', False),
+    ("requirements.txt", "pypi", None, None, {"": "runtime"}, r"^\s*" + _REQUIREMENT, False, "both"),
+    ("setup.cfg", "pypi", r"^([^\s=\[][^=]*?)\s*=", r"^\[", {"install_requires": "runtime"}, r"^\s+" + _REQUIREMENT, False, "both"),
+    ("pyproject.toml", "pypi", r"^\s*\[([^\]]+)\]", None, {"tool.poetry.dependencies": "runtime"}, _TOML, True, "both"),
+    ("Pipfile", "pypi", r"^\s*\[([^\]]+)\]", None, {"packages": "runtime"}, _TOML, True, "both"),
+    ("go.mod", "go", r"^\s*(require) \(\s*$", r"^\s*\)\s*$", {"require": "runtime"}, r"^\s*([^\s/()]\S*)\s+(\S+)()", False, "versions"),
+    ("go.mod", "go", r"^\s*(require) \(\s*$", r"^\s*\)\s*$", {"require": "runtime"}, r"^\s*(\S+)()()", False, "names"),
+    ("go.mod", "go", None, None, {"": "runtime"}, r"^\s*require\s+([^\s(]\S*)\s+([^\s(]\S*)()", False, "versions"),
+    ("Cargo.toml", "cargo", r"^\s*\[([^\]]+)\]", None, {"dependencies": "runtime", "dev-dependencies": "dev", "build-dependencies": "build"}, _TOML, True, "versions"),
+    ("Cargo.toml", "cargo", r"^\s*\[([^\]]+)\]", None, {"dependencies": "runtime"}, r"^\s*([^=\s]+)\s*=()()", False, "names"),
+    ("Gemfile", "rubygems", None, None, {"": "runtime"}, r"""^\s*gem\s+["']?([^"',\s]+)["']?\s*(?:,\s*["']?([^"',]*)["']?)?()""", True, "both"),
+    ("build.gradle", "maven", None, None, {"": "runtime"}, r"""^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|testCompileOnly)[^"']*["']([^"':]+:[^"':]+)(?::([^"']*))?["']()""", False, "both"),
+    ("build.sbt", "maven", None, None, {"": "runtime"}, r'libraryDependencies(?=.*%)[^"]*"([^"]*"[^"]*"[^"]*)"(?:[^"]*"([^"]*)")?()', False, "both"),
+    ("packages.config", "nuget", None, None, {"": "runtime"}, r'<[Pp]ackage\s.*?(?i:\bid)="([^"]+)"(?:.*?(?i:\bversion)="([^"]*)")?()', False, "versions"),
+    ("packages.config", "nuget", None, None, {"": "runtime"}, r'<package\s.*?\bid="([^"]+)"()()', False, "names"),
+    ("csproj", "nuget", None, None, {"": "runtime"}, "PackageReference" + _ATTRIBUTES, False, "both"),
+    ("Directory.Packages.props", "nuget", None, None, {"": "runtime"}, "PackageVersion" + _ATTRIBUTES, False, "both"),
+    ("package.yaml", "hackage", r"^\s*(dependencies):\s*$", r"^[^\s-]", {"dependencies": "runtime"}, r"^\s*- ([^ ><=!]+)(?:[^0-9]*([0-9][0-9.]*))?()", False, "both"),
+    ("mix.exs", "hex", None, None, {"": "runtime"}, r"""^\s*\{:([^,\s}]+)\s*(?:,\s*["']?([^"',}\]]*))?()""", True, "names"),
+    ("mix.exs", "hex", None, None, {"": "runtime"}, r"""^\s*\{:([^,\s}]+)\s*,\s*["']?([^"',}\]]*)()""", True, "versions"),
+    ("pubspec.yaml", "pub", r"^(dependencies|dev_dependencies):\s*$", r"^\S", {"dependencies": "runtime", "dev_dependencies": "dev"}, r"""^\s+([^#:\s][^:]*?)\s*:\s*["']?([^"']*?)["']?\s*$()""", True, "both"),
+    ("Package.swift", "swiftpm", None, None, {"": "runtime"}, r'\.package\(url:\s*"[^"]*?([^"/]+?)(?:\.git)?/?"(?:[^"]*"([^"]*)")?()', False, "both"),
 ]
 _JSON = "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, optionalDependencies map<string,string>, require map<string,string>, `require-dev` map<string,string>"
 
@@ -70,8 +74,8 @@ def _base() -> Column:
     return F.when(base == "build.gradle.kts", "build.gradle").when(base.endswith(".csproj"), "csproj").otherwise(base)
 
 
-def _by_lines(files: DataFrame) -> DataFrame:
-    rules = [(i, *rule) for i, rule in enumerate(_RULES)]
+def _by_lines(files: DataFrame, listing: str) -> DataFrame:
+    rules = [(i, *rule[:-1]) for i, rule in enumerate(_RULES) if rule[-1] in (listing, "both")]
     schema = "rule int, format string, manager string, open string, close string, sections map<string,string>, entry string, clean boolean"
     rules = F.broadcast(files.sparkSession.createDataFrame(rules, schema))  # a row for each rule above
     rows = files.join(rules, "format").select("path", "rule", "format", "manager", "open", "close", "sections", "entry", "clean", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
@@ -88,7 +92,7 @@ def _by_lines(files: DataFrame) -> DataFrame:
     return rows.select("path", "manager", name.alias("name"), F.when(version == "*", "").otherwise(version).alias("version"), kind.alias("type"))
 
 
-def _by_texts(files: DataFrame) -> DataFrame:
+def _by_texts(files: DataFrame, listing: str) -> DataFrame:
     json = files.filter(F.col("format").isin("package.json", "composer.json")).withColumn("j", F.from_json("text", _JSON))
     npm = F.col("format") == "package.json"
     parts = [("dependencies", "runtime", npm), ("devDependencies", "dev", npm), ("peerDependencies", "peer", npm), ("optionalDependencies", "optional", npm), ("require", "runtime", ~npm), ("require-dev", "dev", ~npm)]
@@ -106,20 +110,24 @@ def _by_texts(files: DataFrame) -> DataFrame:
 
     tag = lambda t: F.trim(F.regexp_extract("b", rf"(?s)<{t}>(.*?)</{t}>", 1))
     pom = files.filter("format = 'pom.xml'").select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<dependency>(.*?)</dependency>"), 1)).alias("b"))
-    pom = pom.select("path", F.lit("maven").alias("manager"), F.concat(tag("groupId"), F.lit(":"), tag("artifactId")).alias("name"), tag("version").alias("version"), F.lit("runtime").alias("type"))
+    pom = pom.select("path", F.lit("maven").alias("manager"), (tag("artifactId") if listing == "names" else F.concat(tag("groupId"), F.lit(":"), tag("artifactId"))).alias("name"), tag("version").alias("version"), F.lit("runtime").alias("type"))
     return json.unionByName(lists).unionByName(pom.filter("name not like ':%' and name not like '%:'"))
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """path, manager, name, version ('' if none), type (runtime, dev, build, peer, optional); files of other names give nothing."""
+def dependencies(files: DataFrame, listing: str = "versions") -> DataFrame:
+    """path, manager, name, version ('' if none), type (runtime, dev, build, peer, optional); files of other names give nothing.
+
+    listing="names" reads a few formats as the plain listing does: only the block of go.mod, only the main section of Cargo.toml,
+    artifacts of pom.xml without their groups, small-letter elements of packages.config, entries of mix.exs without a version.
+    """
     files = files.select("path", "text", _base().alias("format"))
-    return _by_lines(files).unionByName(_by_texts(files)).filter("name <> ''")
+    return _by_lines(files, listing).unionByName(_by_texts(files, listing)).filter("name <> ''")
 
 
 def dependency_names(files: DataFrame) -> DataFrame:
     """path, ecosystem, name: what a plain listing counts; peers and options of a package are not listed."""
     ecosystem = F.create_map(*[F.lit(x) for pair in ECOSYSTEM.items() for x in pair])
-    names = dependencies(files).filter("type not in ('peer', 'optional')").withColumn("format", F.substring_index("path", "/", -1))
+    names = dependencies(files, "names").filter("type not in ('peer', 'optional')").withColumn("format", F.substring_index("path", "/", -1))
     return names.select("path", F.when(F.col("format").endswith(".csproj"), ".NET").otherwise(ecosystem[F.col("format")]).alias("ecosystem"), "name").distinct()
 
 

@@ -56,6 +56,21 @@ def test_names_leave_out_peers_and_files_are_found(spark, tmp_path):
     assert {(r["ecosystem"], r["name"]) for r in manifests.dependency_names(files).collect()} == {("JavaScript", "a"), ("JavaScript", "b"), ("JavaScript", "c"), ("Python", "flask")}
 
 
+def test_names_of_formats_that_list_otherwise(spark):
+    texts = {
+        "go.mod": ("module m\nrequire one/line v1\nrequire (\n\ta/b v1\n\t// note\n\tbare\n)\n", {"a/b", "bare"}),
+        "Cargo.toml": ('[dependencies]\na = "1"\nb.workspace = true\n[dev-dependencies]\nd = "3"\n[build-dependencies]\ne = "1"\n', {"a", "b.workspace"}),
+        "pom.xml": (FILES["pom.xml"][0], {"a", "b"}),
+        "packages.config": (FILES["packages.config"][0], {"A"}),
+        "mix.exs": ("{:phoenix, \"~> 1.7\"},\n{:bare}\n", {"phoenix", "bare"}),
+    }
+    files = spark.createDataFrame([(f"/r/{n}", t) for n, (t, _) in texts.items()], "path string, text string")
+    got = manifests.dependency_names(files).collect()
+    assert {n: {r["name"] for r in got if r["path"] == f"/r/{n}"} for n in texts} == {n: want for n, (_, want) in texts.items()}
+    versions = manifests.dependencies(files).collect()
+    assert {r["name"] for r in versions if r["path"] == "/r/mix.exs"} == {"phoenix"} and "one/line" in {r["name"] for r in versions}
+
+
 def test_registry_join(spark):
     deps = spark.createDataFrame([("npm", "a", "1.0"), ("npm", "-x", "1"), ("maven", "g:a", "1"), ("cargo", "c", "2"), ("hex", "gone", "")], "manager string, name string, version string")
     registry = spark.createDataFrame(
