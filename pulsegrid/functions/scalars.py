@@ -264,6 +264,11 @@ def first_copyright(json: Column, limit: int = 120) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) < 1, F.lit("")).when(n == 1, first).otherwise(F.concat(first, F.lit(" (+"), (n - 1).cast("string"), F.lit(" more)")))
 
 
+def without_bad_times(df, columns: list[str], year: int = 1970, instead: Column | None = None):
+    """The frame with times before the year as null, or as ``instead`` where a column may not be null."""
+    return df.withColumns({c: F.when(F.year(c) >= year, F.col(c)).when(F.col(c).isNotNull(), instead) for c in columns})
+
+
 def register(spark) -> None:
     """Expose the row functions under SQL names where SQL text can express them."""
     spark.sql("create or replace temporary function pg_email_domain(e string) returns string return case when contains(e, '@') then lower(substring_index(e, '@', -1)) else '' end")

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import identity, jobs, merge, metrics, queue, reports, views
+from .operators import cursors, diff, identity, jobs, merge, metrics, queue, reports, views
 from .operators.store import Replace, Store, scratch
 from .plans.binding import CTES, MANIFESTS, Tables
-from .sources import bundles, manifests
+from .sources import bundles, manifests, scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,7 +66,12 @@ query(
     "select id as pull_request_id, repo_id, created_at as pr_created_at, state as pr_src_state from pull_requests",
 )
 query("url_rewrite", lambda t: t.repos.select("repo_id", F.replace("repo_git", F.lit("forge.example.org"), F.lit("code.example.net")).alias("repo_git")), "select repo_id, replace(repo_git, 'forge.example.org', 'code.example.net') as repo_git from repos")
-query("bad_timestamp_cleanup", lambda t: t.items.select("id", F.when(F.year("closed_at") >= 1995, F.col("closed_at")).alias("closed_at")), "select id, case when year(closed_at) >= 1995 then closed_at end as closed_at from items")
+_SHIFTED = "created_at closed_at merged_at updated_at".split()
+query(
+    "bad_timestamp_cleanup",
+    lambda t: S.without_bad_times(t.items.select("id", *((F.col(c) - F.make_ym_interval(F.lit(26))).alias(c) for c in _SHIFTED)), _SHIFTED),
+    f"select id, {', '.join(f'case when year({c} - interval 26 years) >= 1970 then {c} - interval 26 years end as {c}' for c in _SHIFTED)} from items",
+)
 query("git_suffix_cleanup", lambda t: t.repos.select("repo_id", S.repo_url(F.col("repo_git")).alias("url"), S.url_owner(F.col("repo_git")).alias("owner"), S.url_repo(F.col("repo_git")).alias("repo")), "select repo_id, regexp_replace(repo_git, '\\.git$', '') as url, repo_owner as owner, lower(repo_name) as repo from repos")
 query("libyear_list", lambda t: t.deps.select("repo_id", "name", F.coalesce("license", F.lit("")).alias("license"), "libyear"), "select repo_id, name, coalesce(license, '') as license, libyear from deps")
 query("page_urls", lambda t: t.raw("pages").select("page_id", S.trailing_number(F.col("url")).alias("number"), F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host")), r"select page_id, try_cast(nullif(regexp_extract(url, '(\d+)$', 1), '') as bigint) as number, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages")
@@ -525,3 +530,60 @@ query(
     lambda t: manifests.dependency_names(t.manifests),
     f"select '/' || p_partkey || '/' || file as path, ecosystem, replace(name, '{{n}}', cast(p_partkey as varchar)) as name from part join (values {_NAMED}) m(k, file, ecosystem, name) on p_partkey % {len(MANIFESTS)} = k",
 )
+
+# Two copies of the model with other local ids; cursors; a landscape tree.
+
+
+def _copies(t: Tables) -> tuple[dict[str, DataFrame], dict[str, DataFrame], list[diff.Spec]]:
+    """The second copy has its own ids, lacks some items, and has others in another state."""
+    specs = [
+        diff.Spec("messages", ["item_id", "platform_msg_id"], "msg_id", {"item_id": "items"}),
+        diff.Spec("items", ["repo_id", "number"], "id", {"repo_id": "repos"}),
+        diff.Spec("repos", ["repo_git"], "repo_id", ignore=("collected_at",)),
+    ]
+    items = t.items.select("id", "repo_id", F.col("id").alias("number"), "state")
+    messages = t.messages.select("msg_id", "item_id", F.col("msg_id").alias("platform_msg_id"), "msg_text")
+    repos = t.repos.select("repo_id", "repo_git", "repo_name", "collected_at")
+    a = {"repos": repos, "items": items, "messages": messages}
+    b = {
+        "repos": repos.withColumn("repo_id", F.col("repo_id") + 500).withColumn("collected_at", F.lit(None).cast("timestamp_ntz")),
+        "items": items.filter("id % 13 <> 0").select((F.col("id") * 2 + 1).alias("id"), (F.col("repo_id") + 500).alias("repo_id"), "number", F.when(F.col("id") % 17 == 0, "gone").otherwise(F.col("state")).alias("state")),
+        "messages": messages.withColumn("item_id", F.col("item_id") * 2 + 1).withColumn("msg_id", -F.col("msg_id")),
+    }
+    return a, b, specs
+
+
+query(
+    "stable_diff",
+    lambda t: diff.compare(*_copies(t)),
+    """with k as (select items.id, repo_git || '|' || items.id as item from items join repos using (repo_id))
+       select 'items' as table_name, item as key, case when id % 13 = 0 then 'missing' else 'content' end as status from k where id % 13 = 0 or id % 17 = 0
+       union all select 'messages', item || '|' || msg_id, 'missing' from messages join k on k.id = item_id where item_id % 13 = 0
+       union all select 'messages', '<missing:item_id=' || (item_id * 2 + 1) || '>|' || msg_id, 'extra' from messages join k on k.id = item_id where item_id % 13 = 0
+       union all select 'messages', '<missing:item_id=' || item_id || '>|' || msg_id, 'missing' from messages where item_id not in (select id from k)
+       union all select 'messages', '<missing:item_id=' || (item_id * 2 + 1) || '>|' || msg_id, 'extra' from messages where item_id not in (select id from k)""",
+)
+query("since_bounds", lambda t: cursors.since(_queue(t), 7 * 86_400, "1999-01-01 00:00:00"), f"{_QUEUE} select repo_id, case when last_collected is not null and not force_full then timestamp '1998-12-25' end as since from q")
+
+
+def _appended(t: Tables) -> DataFrame:
+    """Reads that overlap: half of the time, then all, then all again."""
+    store, rows = Store(t.spark, scratch(t.spark, "activity"), buckets=8), t.item_events.select("event_id", "cntrb_id", "action", "created_at")
+    for k, part in enumerate((rows.filter("created_at < timestamp_ntz'2024-01-15 00:00:00'"), rows, rows)):
+        cursors.append_new(store, "activity", part, "event_id", "cntrb_id", "created_at", "activity", k)
+    return store.table("activity").join(store.table("activity_marks").select("cntrb_id", F.col("created_at").alias("mark")), "cntrb_id")
+
+
+query("activity_appended", _appended, "select event_id, cntrb_id, action, created_at, max(created_at) over (partition by cntrb_id) as mark from item_events")
+
+
+def _landscape(t: Tables) -> DataFrame:
+    """A landscape document for each group, its repositories as items."""
+    k = F.col("repo_id")
+    status = F.element_at(F.array(*map(F.lit, ("graduated", "archived", "sandbox", "incubating"))), (k % 4 + 1).cast("int"))
+    item = F.struct(F.col("repo_name").alias("name"), status.alias("project"), F.when(k % 3 == 0, F.lit("")).otherwise(F.col("repo_git")).alias("repo_url"), F.when(k % 2 == 0, F.array(F.struct(F.concat("repo_git", F.lit("/")).alias("repo_url")))).alias("additional_repos"))
+    docs = t.repos.groupBy("repo_group_id").agg(F.collect_list(item).alias("items")).select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct("items")).alias("subcategories"))).alias("landscape"))).alias("json"))
+    return scans.landscape_projects(docs).select("status", "name", F.size("repos").cast("long").alias("n"))
+
+
+query("landscape_projects", _landscape, "with x as (select repo_name as name, ['graduated', 'archived', 'sandbox', 'incubating'][repo_id % 4 + 1] as status, cast(case when repo_id % 3 <> 0 then 1 else 0 end + case when repo_id % 2 = 0 then 1 else 0 end as bigint) as n from repos) select status, name, n from x where status <> 'archived' and n > 0")

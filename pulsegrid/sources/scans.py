@@ -112,3 +112,30 @@ def foundation_projects(answers: DataFrame) -> DataFrame:
     """slug, name, homepage, status of a foundation's projects. answers: json (slug to project), status."""
     rows = answers.select("status", F.explode(F.from_json("json", "map<string, struct<name:string, homepage:string, pmc:string>>")).alias("slug", "p"))
     return rows.select("slug", "p.name", "p.homepage", "status")
+
+
+#: States of landscape projects that are taken.
+TAKEN = ("graduated", "incubating", "sandbox")
+
+
+def landscape_projects(documents: DataFrame) -> DataFrame:
+    """status, name, homepage, repos of a landscape tree (json: categories, subcategories, items; YAML turned into JSON).
+
+    The tree is a variant: what else it holds, and fields of other types, do no harm. Items of other states and those without
+    a repository are left out; repositories are the primary one and then the additional ones, normalised, without blanks.
+    """
+    spark = documents.sparkSession
+
+    def below(df: DataFrame, column: str) -> DataFrame:
+        each = spark.tvf.variant_explode(F.col(column).outer()).select(F.col("pos"), F.col("value"))
+        return df.lateralJoin(each)
+
+    get = lambda path, kind="string": F.try_variant_get("value", path, kind)
+    rows = documents.select(F.monotonically_increasing_id().alias("doc"), F.try_variant_get(F.try_parse_json("json"), F.lit("$.landscape"), "variant").alias("v"))
+    for depth, path in enumerate(("$.subcategories", "$.items")):
+        rows = below(rows, "v").select("doc", *(f"at{i}" for i in range(depth)), F.col("pos").alias(f"at{depth}"), get(path, "variant").alias("v"))
+    items = below(rows, "v").filter(get("$.project").isin(*TAKEN))
+    more = F.transform(F.coalesce(get("$.additional_repos", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$.repo_url", "string"))
+    repos = F.filter(F.transform(F.concat(F.array(get("$.repo_url")), more), lambda u: S.repo_url(F.trim(u))), lambda u: F.coalesce(u, F.lit("")) != "")
+    items = items.select(get("$.project").alias("status"), get("$.name").alias("name"), get("$.homepage_url").alias("homepage"), repos.alias("repos"))
+    return items.filter(F.size("repos") > 0)
