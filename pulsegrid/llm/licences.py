@@ -2,8 +2,8 @@
 
 A notice of a few words is split into ``errors + 1`` pieces; by the pigeonhole rule any occurrence with at
 most so many edits holds one piece unchanged. The pieces are exact seeds, found over the whole text (words
-joined by one blank); from each word that may begin an occurrence about a seed, a banded edit-distance table
-gives the edits of every end at a word border. So all spans of whole words within a notice's edits are found,
+joined by one blank); each span from a word that may begin an occurrence about a seed to a word border within its
+edits is then matched whole by the regex library with bounds of no edits, one, and so on. So all spans of whole words within a notice's edits are found,
 overlapping ones too, each with its least edits; edits count bytes. Spans without edits of a base phrase are
 the base; the others add labels of their own.
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import ALNUM, texts
@@ -39,7 +40,12 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, bytes]]:
     return [(a, phrase[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-_FUZZY = [(phrase.encode(), label, errors, pieces(phrase, errors)) for phrase, (label, errors) in NOTICES.items()]
+def bounded(phrase: str, errors: int) -> list[regex.Pattern]:
+    """Patterns of the phrase with at most no, one, ... and ``errors`` edits."""
+    return [regex.compile(b"(?:%s){e<=%d}" % (regex.escape(phrase, special_only=True).encode(), e)) for e in range(errors + 1)]
+
+
+_FUZZY = [(phrase.encode(), label, errors, pieces(phrase, errors), bounded(phrase, errors)) for phrase, (label, errors) in NOTICES.items()]
 
 
 def blanks_of(padded: bytes) -> np.ndarray:
@@ -58,34 +64,15 @@ def base_places(padded: bytes) -> list[tuple[int, str]]:
     return out
 
 
-def prefix_edits(phrase: bytes, text: bytes, errors: int) -> list[tuple[int, int]]:
-    """(n, edits) for every n with at most ``errors`` edits between the phrase and the text's first n bytes."""
-    far, size = errors + 1, len(text)
-    row = [j if j <= errors else far for j in range(size + 1)]
-    for i, c in enumerate(phrase, 1):
-        lo, hi = max(1, i - errors), min(size, i + errors)
-        if lo > hi:
-            return []
-        above, row = row, [far] * (size + 1)
-        best = row[0] = min(i, far)
-        for j in range(lo, hi + 1):
-            x = above[j - 1] + (text[j - 1] != c)
-            if above[j] < x:
-                x = above[j] + 1
-            if row[j - 1] < x:
-                x = row[j - 1] + 1
-            row[j] = x
-            if x < best:
-                best = x
-        if best > errors:
-            return []
-    return [(j, x) for j, x in enumerate(row) if x <= errors]
+def span_edits(patterns: list[regex.Pattern], text: bytes, begin: int, end: int) -> int | None:
+    """The least number of edits with which the notice matches the whole span, by trying its bounds in turn; None beyond all."""
+    return next((edits for edits, pattern in enumerate(patterns) if pattern.fullmatch(text, begin, end)), None)
 
 
 def fuzzy_places(padded: bytes) -> list[tuple[int, int, str, int]]:
     """(begin, end, label, edits) in the padded text of every span of whole words within a notice's edits."""
     out = []
-    for phrase, label, errors, seeds in _FUZZY:
+    for phrase, label, errors, seeds, patterns in _FUZZY:
         seen: set[int] = set()
         for offset, seed in seeds:
             at = -1
@@ -95,9 +82,12 @@ def fuzzy_places(padded: bytes) -> list[tuple[int, int, str, int]]:
                     blank += 1
                     if blank not in seen:
                         seen.add(blank)
-                        for n, edits in prefix_edits(phrase, padded[blank : blank + len(phrase) + errors], errors):
-                            if padded[blank + n : blank + n + 1] == b" " != padded[blank + n - 1 : blank + n]:
-                                out.append((blank, blank + n, label, edits))
+                        end = padded.find(b" ", blank + max(1, len(phrase) - errors))
+                        while 0 <= end <= blank + len(phrase) + errors:
+                            edits = span_edits(patterns, padded, blank, end)
+                            if edits is not None:
+                                out.append((blank, end, label, edits))
+                            end = padded.find(b" ", end + 1)
     return out
 
 
