@@ -74,6 +74,7 @@ class Tables:
             F.concat(F.lit("dev"), dev.cast("string"), F.lit("@org"), (dev % 7).cast("string"), F.lit(".example.com")).alias("author_email"),
             F.nullif(F.col("r.l_returnflag"), F.lit("N")).alias("affiliation"), F.col("r.l_shipdate").alias("authored_at"),
             F.col("r.l_quantity").cast("long").alias("added"), F.col("r.l_linenumber").cast("long").alias("removed"), (F.col("r.l_linenumber") % 3).cast("long").alias("whitespace"),
+            F.concat(F.lit("push"), (dev % 20).cast("string"), F.lit("@example.com")).alias("committer_email"), F.to_date(F.col("r.l_shipdate") + F.make_dt_interval(days=F.col("r.l_linenumber") % 3)).alias("committer_date"),
         )
 
     @cached_property
@@ -234,7 +235,8 @@ items as (select o_orderkey as id, cast(c_nationkey as bigint) as repo_id, o_cus
 issues as (select * from items where is_issue), pull_requests as (select * from items where not is_issue),
 commits as (select cast(s_nationkey as bigint) as repo_id, l_orderkey as hash, l_partkey as filename, l_suppkey as author_id,
     'dev' || l_suppkey || '@org' || (l_suppkey % 7) || '.example.com' as author_email, nullif(l_returnflag, 'N') as affiliation, l_shipdate as authored_at,
-    cast(trunc(l_quantity) as bigint) as added, cast(l_linenumber as bigint) as removed, cast(l_linenumber % 3 as bigint) as whitespace from
+    cast(trunc(l_quantity) as bigint) as added, cast(l_linenumber as bigint) as removed, cast(l_linenumber % 3 as bigint) as whitespace,
+    'push' || (l_suppkey % 20) || '@example.com' as committer_email, cast(l_shipdate + to_days(cast(l_linenumber % 3 as int)) as date) as committer_date from
     (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_suppkey, l_shipdate, l_quantity, l_returnflag) as k from lineitem)
     join supplier on l_suppkey = s_suppkey where k = 1),
 item_events as (select event_id, cast(floor(event_id / 2) as bigint) + 1 as item_id, user_id as cntrb_id,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import cursors, diff, identity, jobs, merge, metrics, queue, reports, views
+from .operators import cursors, diff, documents, identity, jobs, merge, metrics, queue, reports, views
 from .operators.store import Replace, Store, scratch
 from .plans.binding import CTES, MANIFESTS, Tables
 from .sources import bundles, manifests, scans
@@ -59,7 +59,7 @@ query(
     f"select id, repo_id, updated_at from issues where state = 'open' and year(date '{AS_OF}') - year(updated_at) >= 1",
 )
 query("issue_reporters", lambda t: t.issues.select("id", "repo_id", F.col("author_id").alias("reporter_id"), "created_at", "closed_at"), "select id, repo_id, author_id as reporter_id, created_at, closed_at from issues")
-query("pr_files", lambda t: t.pull_requests.join(t.commits.select(F.col("hash").alias("id"), "filename"), "id").select("id", "repo_id", F.coalesce(F.col("filename").cast("string"), F.lit("")).alias("path")), "select p.id, p.repo_id, coalesce(cast(filename as varchar), '') as path from pull_requests p join commits c on c.hash = p.id")
+query("pr_files", lambda t: t.pull_requests.join(t.pr_files, "id").select("id", "repo_id", F.coalesce("path", F.lit("")).alias("path")), "select p.id, p.repo_id, coalesce(path, '') as path from pull_requests p join pr_files f on f.id = p.id")
 query(
     "compat_pull_requests",
     lambda t: t.pull_requests.select("id", "repo_id", "created_at", "state").withColumnsRenamed({"id": "pull_request_id", "created_at": "pr_created_at", "state": "pr_src_state"}).withColumn("pr_created_at", F.col("pr_created_at").cast("timestamp_ntz")),
@@ -83,8 +83,8 @@ query("all_repos_issues", lambda t: t.issues.groupBy("repo_id").agg(F.count("*")
 query("entry_list", lambda t: t.repos.join(t.repo_groups, "repo_group_id").select("repo_git", "rg_name").distinct(), "select distinct repo_git, rg_name from repos join repo_groups using (repo_group_id)")
 query(
     "daily_commits",
-    lambda t: t.commits.groupBy("repo_id", F.date_trunc("day", "authored_at").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("author_id").alias("committers")),
-    "select repo_id, cast(date_trunc('day', authored_at) as timestamp) as day, count(*) as n, count(distinct author_id) as committers from commits group by all",
+    lambda t: t.commits.join(t.repos.select("repo_id", "repo_name"), "repo_id", "left").groupBy("repo_id", "repo_name", "committer_date").agg(F.count("*").alias("n"), F.count_distinct("committer_email").alias("committers")),
+    "select repo_id, repo_name, committer_date, count(*) as n, count(distinct committer_email) as committers from commits left join repos using (repo_id) group by all",
 )
 query(
     "libyear_by_month",  # every repository, in its own month and year, gets the average over all dependencies: one row, as the view defines it
@@ -587,3 +587,28 @@ def _landscape(t: Tables) -> DataFrame:
 
 
 query("landscape_projects", _landscape, "with x as (select repo_name as name, ['graduated', 'archived', 'sandbox', 'incubating'][repo_id % 4 + 1] as status, cast(case when repo_id % 3 <> 0 then 1 else 0 end + case when repo_id % 2 = 0 then 1 else 0 end as bigint) as n from repos) select status, name, n from x where status <> 'archived' and n > 0")
+
+# Bills of materials: the parts of their documents.
+
+
+def _spdx(t: Tables) -> DataFrame:
+    repos = t.repos.withColumn("license", F.when(F.col("repo_id") % 2 == 0, "MIT"))
+    scanned = t.repos.filter("repo_id % 3 = 0").select("repo_id", F.lit("Apache-2.0").alias("concluded"), F.array(F.lit("A"), F.lit("B")).alias("holders"))
+    deps = t.deps.withColumn("purl", F.concat(F.lit("pkg:npm/"), F.col("dep_id").cast("string"))).withColumn("license", S.spdx(F.col("license")))
+    return documents.spdx(repos, deps, scanned, "2024-01-01T00:00:00Z", "t-1", "https://example.org/spdx").drop("purl")
+
+
+query(
+    "spdx_parts",
+    _spdx,
+    f"""with d as (select repo_id, dep_id, name, 'SPDXRef-Package-' || left(sha256(name || '@' || current_version), 16) as ref, current_version, {_SPDX} as l from deps),
+       r as (select *, case when repo_id % 2 = 0 then 'MIT' else 'NOASSERTION' end as declared from repos)
+       select repo_id, 0 as section, null as name, null as dep_id, '{{"spdxVersion":"SPDX-2.3","dataLicense":"CC0-1.0","SPDXID":"SPDXRef-DOCUMENT","name":"' || repo_name || '","documentNamespace":"https://example.org/spdx/' || repo_owner || '/' || repo_name || '/' ||
+         sha256(repo_git || '/2024-01-01T00:00:00Z') || '","creationInfo":{{"created":"2024-01-01T00:00:00Z","creators":["Tool: t-1"]}},"packages":[{{"SPDXID":"SPDXRef-RootPackage","name":"' || repo_name || '","downloadLocation":"' || repo_git || '","licenseConcluded":"' ||
+         case when repo_id % 3 = 0 then 'Apache-2.0' else declared end || '","licenseDeclared":"' || declared || '","copyrightText":"' || case when repo_id % 3 = 0 then 'A\\nB' else 'NOASSERTION' end || '"}}' as text from r
+       union all select repo_id, 1, name, dep_id, ',{{"SPDXID":"' || ref || '","name":"' || name || '","versionInfo":"' || current_version || '","downloadLocation":"NOASSERTION","licenseConcluded":"NOASSERTION","licenseDeclared":"' || l ||
+         '","externalRefs":[{{"referenceCategory":"PACKAGE-MANAGER","referenceType":"purl","referenceLocator":"pkg:npm/' || dep_id || '"}}]}}' from d
+       union all select repo_id, 2, null, null, '],"relationships":[' from r
+       union all select repo_id, 3, name, dep_id, '{{"spdxElementId":"SPDXRef-RootPackage","relationshipType":"DEPENDS_ON","relatedSpdxElement":"' || ref || '"}},' from d
+       union all select repo_id, 4, null, null, '{{"spdxElementId":"SPDXRef-DOCUMENT","relationshipType":"DESCRIBES","relatedSpdxElement":"SPDXRef-RootPackage"}}]}}' from r""",
+)
