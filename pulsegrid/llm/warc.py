@@ -12,7 +12,7 @@ Reading: tasks take a sorted range of lookup keys, read from the directory the r
 binary-search it for the block and the block for the capture. The captures found are then dealt by (file,
 offset), so that records are read by ranges in the order of the archives.
 
-Null payloads are empty; null URLs have the empty key. Page rows that repeat exactly share a record's
+Null payloads are empty; null URLs have the empty key; a null page_id counts as the smallest, -2^63, and comes back as null. Page rows that repeat exactly share a record's
 content; rows with one page_id and different payloads are told apart by their digests. Other columns are ignored.
 """
 
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import new_path, open_fs, table
 
 BLOCK, REVISIT_BYTES = 512, 1_000
+#: Stands for a missing page_id in records and index.
+NO_ID = -(2**63)
 CAPTURE = "key string, page_id long, digest string, file string, offset long, length long"
 _URL = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^#]*)")
 
@@ -81,7 +83,7 @@ def parse(member: bytes) -> dict:
 
 def with_digests(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("digest", F.sha1("payload"))
+    return pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", html.alias("payload")).withColumn("digest", F.sha1("payload"))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -235,4 +237,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages, index them, look every page up by its URL key and read its record back."""
     captures = write_archives(pages)
     directory = build_index(captures)
-    return read_records(table(lookup(captures.select(*_ORDER), directory), "warc-found"))
+    records = read_records(table(lookup(captures.select(*_ORDER), directory), "warc-found"))
+    return records.withColumn("page_id", F.nullif(F.col("page_id"), F.lit(NO_ID)))

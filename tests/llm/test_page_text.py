@@ -7,7 +7,7 @@ import time
 import pytest
 from conftest import DATA, assert_same, duck
 
-from pulsegrid.llm import page_text, queries
+from pulsegrid.llm import page_text, queries, warc
 
 LONG = "A sentence that is long enough to count as a part of an article, and then some more words to be sure of it. "
 P1, P2 = (LONG * 3).strip(), (LONG.replace("sentence", "paragraph") * 2).strip()
@@ -69,3 +69,10 @@ def test_empty_table_and_extra_columns(spark):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_against_sql(spark, sf):
     assert_same(queries.op11_page_text(spark, f"{DATA}/{sf}"), duck(sf), queries.ORACLE_SQL["op11_page_text"])
+
+
+def test_archived_pages_without_an_id(spark):
+    big = "x" * 2_000
+    rows = [(1, "http://a/x", big), (2, "http://a/x", big), (None, "http://a/x", big), (None, None, None), (3, None, "s"), (None, "http://b", "s")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [(0, 0, "response", 0), (0, 1, "response", 0), (0, 2_000, "revisit", 2), (1, 2_000, "revisit", 2), (2, 2_000, "response", 0), (3, 1, "response", 0)]
