@@ -45,6 +45,14 @@ PUBLIC_DOMAINS = (
     "yandex.ru", "yandex.com", "qq.com", "163.com", "126.com", "sina.com", "foxmail.com", "gmx.com", "gmx.de", "web.de", "mail.ru", "pm.me", "tutanota.com", "fastmail.com", "users.noreply.github.com",
 )
 NOREPLY = "users.noreply.github.com"
+#: Prefix of the classifiers that name a licence, and what names hold, in order of precedence.
+CLASSIFIER = "License :: OSI Approved :: "
+CLASSIFIED = (
+    ("MIT", "MIT"), ("Apache", "Apache-2.0"), ("GPLv3", "GPL-3.0"), ("GPLv2", "GPL-2.0"), ("GNU General Public License v3", "GPL-3.0"), ("GNU General Public License v2", "GPL-2.0"),
+    ("GNU Lesser General Public License", "LGPL"), ("BSD", "BSD"), ("ISC", "ISC"), ("Mozilla Public License 2.0", "MPL-2.0"), ("Eclipse", "EPL"), ("Artistic", "Artistic"), ("Zlib", "Zlib"), ("Unlicense", "Unlicense"),
+)
+#: Kinds of error and the class of each; other errors are fatal.
+ERROR_CLASSES = {"canceled": "transient", "deadline exceeded": "transient", "not modified": "not_modified", "not found": "skip", "forbidden": "skip", "gone": "skip", "wrong entity kind": "skip", "all keys invalidated": "auth"}
 #: Phrases that identify a full licence text, in order of precedence: all of, none of.
 FULL_TEXTS = (
     ("MIT", ("permission is hereby granted, free of charge", 'the software is provided "as is"'), ()),
@@ -100,6 +108,21 @@ def spdx(raw: Column) -> Column:
     )
 
 
+def classifier_licence(classifiers: Column) -> Column:
+    """Licence of the first classifier that names one; its name without `` License`` if no rule fits; empty without any."""
+    name = F.replace(F.try_element_at(F.filter(classifiers, lambda c: c.startswith(CLASSIFIER)), F.lit(1)), F.lit(CLASSIFIER), F.lit(""))
+    out = F.regexp_replace(name, " License$", "")
+    for held, licence in reversed(CLASSIFIED):
+        out = F.when(name.contains(held), licence).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def error_class(kind: Column) -> Column:
+    """What to do about an error of a kind: ok (null), transient, not_modified, skip, auth or fatal."""
+    known = F.create_map(*[F.lit(x) for pair in ERROR_CLASSES.items() for x in pair])
+    return F.when(kind.isNull(), "ok").otherwise(F.coalesce(known[F.lower(kind)], F.lit("fatal")))
+
+
 def is_osi(licence: Column) -> Column:
     return licence.isin(*OSI)
 
@@ -222,6 +245,16 @@ def repo_url(url: Column) -> Column:
     return F.regexp_replace(t, r"\.git$", "")
 
 
+def repo_name(name: Column) -> Column:
+    """Trimmed, without one trailing slash, then without ``.git``."""
+    return F.regexp_replace(F.regexp_replace(F.trim(name), r"/\z", ""), r"\.git\z", "")
+
+
+def repo_address(url: Column) -> Column:
+    """Without one trailing slash, then without ``.git``."""
+    return F.regexp_replace(F.regexp_replace(url, r"/\z", ""), r"\.git\z", "")
+
+
 def url_platform(url: Column) -> Column:
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     return F.when(host.contains("github"), "github").when(host.contains("gitlab"), "gitlab").otherwise("generic")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import cursors, diff, documents, identity, jobs, merge, metrics, queue, reports, views
+from .operators import catalog, cursors, diff, documents, identity, jobs, merge, metrics, queue, reports, views
 from .operators.store import Replace, Store, scratch
-from .plans.binding import CTES, MANIFESTS, Tables
+from .plans.binding import CTES, MANIFESTS, VECTORS, Tables
 from .sources import bundles, manifests, scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -612,3 +612,262 @@ query(
        union all select repo_id, 3, name, dep_id, '{{"spdxElementId":"SPDXRef-RootPackage","relationshipType":"DEPENDS_ON","relatedSpdxElement":"' || ref || '"}},' from d
        union all select repo_id, 4, null, null, '{{"spdxElementId":"SPDXRef-DOCUMENT","relationshipType":"DESCRIBES","relatedSpdxElement":"SPDXRef-RootPackage"}}]}}' from r""",
 )
+
+
+# Repositories and what hangs on them; contributors stand for many repositories where the groups' 25 are too few.
+_NOW = "2024-06-01 00:00:00"
+_DAY = lambda k: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=k.cast("int"))
+_day = lambda k: f"timestamp '2024-01-01' + to_days(cast({k} as int))"
+
+
+def _many_repos(t: Tables) -> DataFrame:
+    k, none = F.col("cntrb_id"), F.lit(None)
+    return t.contributors.select(
+        k.alias("repo_id"), (k % 4).alias("repo_group_id"), F.concat(F.lit("https://forge.example.org/org/"), "login").alias("repo_git"), F.col("login").alias("repo_name"), F.lit("org").alias("repo_owner"),
+        none.cast("string").alias("repo_description"), F.lit("C").alias("primary_language"), none.cast("string").alias("forked_from"), F.lit(False).alias("repo_archived"), _DAY(k % 50).alias("created_at"), _DAY(k % 50).alias("updated_at"),
+    )
+
+
+_MANY = f"""with m as (select cntrb_id as repo_id, cntrb_id % 4 as repo_group_id, 'https://forge.example.org/org/' || login as repo_git, login as repo_name, 'org' as repo_owner, 'C' as primary_language, {_day("cntrb_id % 50")} as updated_at from contributors)"""
+
+
+def _repos_added(t: Tables) -> DataFrame:
+    groups = catalog.add_groups(t.repo_groups.select("repo_group_id", "rg_name", F.lit("").alias("rg_type"), F.lit("").alias("rg_website"), F.lit("").alias("rg_description")), t.spark.createDataFrame([(catalog.DEFAULT_GROUP, "", "")], "rg_name string, rg_type string, rg_website string"))
+    new = _many_repos(t).filter("repo_id % 3 = 0").withColumns({"repo_name": F.concat("repo_name", F.lit(".git")), "primary_language": F.lit("Go"), "updated_at": F.when(F.col("repo_id") % 5 > 0, _DAY(F.lit(100))), "seq": F.col("repo_id"), "repo_group_id": F.col("repo_id") % 2})
+    out = catalog.add_repos(_many_repos(t).filter("repo_id % 2 = 0"), new.drop("repo_id"), groups)
+    default = groups.filter(F.col("rg_name") == catalog.DEFAULT_GROUP).select(F.col("repo_group_id").alias("d"))
+    return out.join(F.broadcast(default)).select("repo_git", F.when(F.col("repo_git").rlike("[02468]$"), F.col("repo_id")).alias("known_id"), F.when(F.col("repo_group_id") != F.col("d"), F.col("repo_group_id")).alias("repo_group_id"), "repo_name", "primary_language", "updated_at")
+
+
+query(
+    "repos_upserted",
+    _repos_added,
+    f"""{_MANY} select repo_git, case when repo_id % 2 = 0 then repo_id end as known_id, case when repo_id % 2 = 0 then repo_group_id else nullif(repo_id % 2, 0) end as repo_group_id, repo_name, case when repo_id % 3 = 0 then 'Go' else 'C' end as primary_language,
+        case when repo_id % 3 = 0 and repo_id % 5 > 0 then {_day("100")} when repo_id % 2 = 0 then updated_at end as updated_at from m where repo_id % 2 = 0 or repo_id % 3 = 0""",
+)
+query(
+    "repos_moved",
+    lambda t: catalog.archive(catalog.move_repos(_many_repos(t), t.contributors.filter("cntrb_id % 3 = 0").select(F.col("cntrb_id").alias("repo_id"), F.concat(F.lit("https://new.example.org/a/b/"), "login", F.lit(".git/")).alias("url"))), t.contributors.filter("cntrb_id % 4 = 0").select(F.col("cntrb_id").alias("repo_id"))).select("repo_id", "repo_git", "repo_owner", "repo_name", "repo_archived"),
+    f"{_MANY} select repo_id, case when repo_id % 3 = 0 then 'https://new.example.org/a/b/' || repo_name else repo_git end as repo_git, case when repo_id % 3 = 0 then 'a/b' else 'org' end as repo_owner, repo_name, repo_id % 4 = 0 as repo_archived from m",
+)
+query("legacy_repos", lambda t: catalog.legacy_repos(_many_repos(t).select("repo_id", F.when(F.col("repo_id") % 3 > 0, F.col("repo_git")).otherwise(F.nullif(F.lit(""), F.lit("x"))).alias("repo_git"), F.when(F.col("repo_id") % 2 > 0, F.col("repo_name")).alias("repo_name"))), f"{_MANY} select repo_id, repo_git, case when repo_id % 2 > 0 then repo_name else '' end as repo_name from m where repo_id % 3 > 0")
+
+
+def _releases(t: Tables) -> DataFrame:
+    """Half of the releases by one author, then all of them by another: known ones keep their author."""
+    store, k = Store(t.spark, scratch(t.spark, "releases"), buckets=8), F.col("dep_id")
+    for batch, rows in enumerate((t.deps.filter("dep_id % 2 = 0"), t.deps)):
+        new = rows.select(
+            "repo_id", k.alias("release_id"), F.concat(F.lit(f"r{batch}\x07-"), k.cast("string")).alias("release_name"), F.when(k % 3 > 0, F.col("name")).alias("release_description"), F.lit(f"author{batch}").alias("release_author"), F.concat(F.lit("v"), k.cast("string")).alias("release_tag_name"),
+            F.lit(None).cast("string").alias("release_url"), F.col("collected_at").alias("created_at"), F.when(k % 7 > 0, F.col("collected_at")).alias("published_at"), _DAY(F.lit(batch)).alias("updated_at"), k.alias("seq"),
+        )
+        store.commit([catalog.releases(new)], "releases", batch)
+    return catalog.release_list(store.table("releases"), t.repos)
+
+
+query(
+    "release_list",
+    _releases,
+    """select repo_id, dep_id as release_id, 'r1-' || dep_id as release_name, case when dep_id % 3 > 0 then name else '' end as release_description, case when dep_id % 2 = 0 then 'author0' else 'author1' end as release_author, 'v' || dep_id as release_tag_name, '' as release_url,
+       deps.collected_at as created_at, case when dep_id % 7 > 0 then deps.collected_at end as published_at, repo_name from deps join repos using (repo_id)""",
+)
+
+
+def _sinks(t: Tables) -> DataFrame:
+    """Clone counts and memberships written twice in one commit each, snapshots beside both."""
+    store, k = Store(t.spark, scratch(t.spark, "sinks"), buckets=8), F.col("cntrb_id")
+    for batch, rows in enumerate((t.contributors.filter("cntrb_id % 3 = 0"), t.contributors)):
+        clones = rows.select("repo_id", _DAY(k).alias("clone_timestamp"), (k * (batch + 1)).alias("total_clones"), k.alias("unique_clones"), k.alias("seq"))
+        members = rows.select(F.lit("cf").alias("foundation"), F.col("login").alias("project_name"), F.col("email").alias("repo_url"), F.lit(f"state{batch}").alias("status"), F.lit("h").alias("homepage_url"), k.alias("seq"))
+        info = rows.select("repo_id", k.alias("info_id"), (k % 2 == 0).alias("wiki_enabled"))
+        store.commit([catalog.clones(clones), catalog.memberships(members), catalog.repo_info(info)], "sinks", batch)
+    c = store.table("repo_clones").select(F.lit("clones").alias("entity"), F.concat(F.col("repo_id").cast("string"), F.lit("/"), F.col("unique_clones").cast("string")).alias("key"), F.col("total_clones").cast("string").alias("value"))
+    m = store.table("foundation_membership").select(F.lit("members").alias("entity"), F.concat("project_name", F.lit("/"), "repo_url").alias("key"), F.col("status").alias("value"))
+    i = store.table("repo_info").groupBy("info_id").agg(F.max("wiki_enabled").alias("v"), F.count("*").cast("string").alias("n")).select(F.lit("info").alias("entity"), F.col("info_id").cast("string").alias("key"), F.concat("v", F.lit("/"), "n").alias("value"))
+    return c.unionByName(m).unionByName(i)
+
+
+query(
+    "sinks_committed",
+    _sinks,
+    """select 'clones' as entity, repo_id || '/' || cntrb_id as key, cast(cntrb_id * 2 as varchar) as value from contributors union all select 'members', login || '/' || email, 'state1' from contributors
+       union all select 'info', cast(cntrb_id as varchar), case when cntrb_id % 2 = 0 then 'true' else 'false' end || '/' || case when cntrb_id % 3 = 0 then 2 else 1 end from contributors""",
+)
+
+
+def _status(t: Tables) -> DataFrame:
+    store, k = Store(t.spark, scratch(t.spark, "status"), buckets=8), F.col("repo_id")
+    blank = {f"{p}_status": F.lit("") for p in catalog.PHASES} | {f"{p}_data_last_collected": F.lit(None).cast("timestamp_ntz") for p in catalog.PHASES} | {f"{p}_task_id": F.lit(None).cast("string") for p in catalog.PHASES}
+    repos = _many_repos(t).select("repo_id")
+    first = repos.filter("repo_id % 3 > 0").withColumns(blank | {"core_status": F.lit("Success"), "core_data_last_collected": _DAY(k % 50), "seq": k})
+    then = repos.filter("repo_id % 2 = 0 and repo_id % 3 > 0").withColumns(blank | {"facade_status": F.lit("Error"), "core_status": F.when(k % 4 == 0, "Collecting").otherwise(""), "seq": k})
+    for batch, rows in enumerate((first, then)):
+        store.commit([catalog.status_changes(rows)], "status", batch)
+    return catalog.collection_status(repos, store.table("collection_status")).select("repo_id", "core_status", "facade_status", "ml_status", "core_task_id", "core_data_last_collected")
+
+
+query(
+    "collection_status",
+    _status,
+    f"""{_MANY} select repo_id, case when repo_id % 3 = 0 then 'Pending' when repo_id % 4 = 0 then 'Collecting' else 'Success' end as core_status, case when repo_id % 3 > 0 and repo_id % 2 = 0 then 'Error' else 'Pending' end as facade_status, 'Pending' as ml_status,
+        '' as core_task_id, case when repo_id % 3 > 0 then updated_at end as core_data_last_collected from m""",
+)
+query("scans_due", lambda t: catalog.scans_due(_many_repos(t), t.contributors.filter("cntrb_id % 3 > 0").select(F.col("cntrb_id").alias("repo_id"), _DAY(F.col("cntrb_id") % 150).alias("collected_at")), _NOW), f"{_MANY} select repo_id, case when repo_id % 3 > 0 then {_day('repo_id % 150')} end as last_run from m where repo_id % 3 = 0 or {_day('repo_id % 150')} < timestamp '2024-05-02'")
+
+
+def _profiles(t: Tables) -> DataFrame:
+    k, none = F.col("cntrb_id"), F.lit(None).cast("string")
+    return t.contributors.select(k, "login", F.when(k % 3 == 0, F.lit("")).otherwise(F.col("company")).alias("company"), F.when(k % 2 == 0, none).otherwise(F.lit("here")).alias("location"), F.when(k % 5 > 0, F.col("canonical")).otherwise(F.lit("-")).alias("canonical"), F.when(k % 4 > 0, _DAY(k % 150)).alias("enriched_at"), _DAY(k % 9).alias("collected_at"))
+
+
+_PROFILES = f"""with p as (select cntrb_id, login, case when cntrb_id % 3 > 0 then company else '' end as company, case when cntrb_id % 2 > 0 then 'here' end as location, case when cntrb_id % 5 > 0 then canonical else '-' end as canonical, case when cntrb_id % 4 > 0 then {_day('cntrb_id % 150')} end as enriched_at, {_day('cntrb_id % 9')} as collected_at, email from contributors)"""
+_COLD = "(enriched_at is null or enriched_at < timestamp '2024-05-02')"
+query("thin_profiles", lambda t: catalog.thin_profiles(_profiles(t), _NOW, 500), f"{_PROFILES} select login from p where company = '' and location is null and {_COLD} order by collected_at desc nulls last, login limit 500")
+query("missing_canonical", lambda t: catalog.missing_canonical(_profiles(t), _NOW, 500), f"{_PROFILES} select cntrb_id, login from p where length(canonical) < 2 and {_COLD} order by login, cntrb_id limit 500")
+
+
+def _enriched(t: Tables, canonical: bool) -> DataFrame:
+    k = F.col("cntrb_id")
+    asked = t.contributors.filter("cntrb_id % 6 = 0")
+    found = asked.filter("cntrb_id % 4 = 0").select("login", F.lit("New").alias("company"), F.lit("").alias("location"), F.when(k % 8 == 0, F.lit("x@NoReply.example.com")).otherwise(F.col("email")).alias("email"))
+    return catalog.enrich(_profiles(t), catalog.Answers(asked, found), _NOW, canonical).drop("collected_at")
+
+
+query("profiles_enriched", lambda t: _enriched(t, False), f"{_PROFILES} select cntrb_id, login, case when cntrb_id % 12 = 0 then 'New' else company end as company, location, canonical, case when cntrb_id % 6 = 0 then timestamp '2024-06-01' else enriched_at end as enriched_at from p")
+query("canonical_enriched", lambda t: _enriched(t, True), f"{_PROFILES} select cntrb_id, login, company, location, case when cntrb_id % 12 = 0 and cntrb_id % 8 > 0 then email else canonical end as canonical, case when cntrb_id % 6 = 0 then timestamp '2024-06-01' else enriched_at end as enriched_at from p")
+query("queue_search", lambda t: catalog.search_queue(catalog.dequeue(_queue(t), t.items.filter("id % 5 = 0").select(F.col("id").alias("repo_id"))), t.items.select(F.col("id").alias("repo_id"), F.col("state").alias("repo_owner"), F.concat(F.lit("Repo"), F.col("id").cast("string")).alias("repo_name")), "PO1").select("repo_id", "status"), f"{_QUEUE} select repo_id, status from q where repo_id % 5 > 0 and repo_id::varchar like '1%'")
+query("seen_companies", lambda t: catalog.seen_companies(t.commits, t.contributors.withColumn("email", F.upper("email"))), "select distinct author_email, company from commits join contributors on author_email = email where company <> 'None'")
+
+
+def _pages(t: Tables) -> DataFrame:
+    """Listing pages: for each day and repository its issues with their messages and its pull requests; a later page closes some."""
+    talk = t.messages.groupBy(F.col("item_id").alias("id")).agg(F.collect_list(F.struct(F.col("msg_id").alias("databaseId"), F.col("msg_text").alias("body"))).alias("nodes"))
+    i = t.items.join(talk, "id", "left")
+    node = F.struct(F.col("id").alias("number"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.upper("state").alias("state"), F.col("merged_at").alias("mergedAt"), F.struct(F.col("author_id").alias("databaseId")).alias("author"), F.struct("nodes").alias("comments"))
+    some = lambda kind: F.struct(F.filter(F.collect_list(F.when(kind, node)), lambda n: n.isNotNull()).alias("nodes"))
+    page = F.to_json(F.struct(F.struct(some(F.col("is_issue")).alias("issues"), some(~F.col("is_issue")).alias("pullRequests")).alias("repository")))
+    pages = i.groupBy("repo_id", F.to_date("created_at").alias("day")).agg(page.alias("payload")).withColumn("seq", F.lit(2))
+    return pages.unionByName(pages.withColumns({"payload": F.regexp_replace("payload", '"(CLOSED|MERGED)"', '"OPEN"'), "seq": F.lit(1)}))
+
+
+def _listing(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "listing")
+    bundles.split_listing(_pages(t)).write.partitionBy("entity").parquet(path)
+    rows = t.spark.read.parquet(path)
+    out = [bundles.listed(rows, e).selectExpr("repo_id", "number", f"'{e}' as entity", f"{k} as key", f"{v} as value") for e, k, v in (("issues", "title", "state"), ("pull_requests", "title", "state"), ("issue_messages", "cast(msg_id as string)", "msg_text"))]
+    return reduce(DataFrame.unionByName, out)
+
+
+query(
+    "listing_split",
+    _listing,
+    """select repo_id, id as number, case when is_issue then 'issues' else 'pull_requests' end as entity, 't' || id as key, state as value from items
+       union all select repo_id, id, 'issue_messages', cast(msg_id as varchar), msg_text from issues join messages on item_id = id""",
+)
+
+# Logs and scanner reports, written from the tables and read back.
+
+
+def _log(t: Tables, leading: bool) -> DataFrame:
+    """A log folder per repository: each commit's header, then a line for each of its files; every seventh file is binary."""
+    stat = F.when(F.col("filename") % 7 == 0, F.concat_ws("\t", F.lit("-"), F.lit("-"), F.col("filename").cast("string"))).otherwise(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("added", "removed", "filename"))))
+    one = t.commits.groupBy("repo_id", "hash").agg(F.array_join(F.collect_list(stat), "\n").alias("stats"), F.min("author_email").alias("mail"), F.min("authored_at").alias("at"))
+    parents = F.when(F.col("hash") % 4 > 0, F.concat_ws(" ", F.lit("p1"), F.when(F.col("hash") % 3 == 0, "p2"))).otherwise("")
+    when = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    header = F.concat_ws("\x1e", F.col("hash").cast("string"), parents, F.lit("A"), "mail", when, F.lit("C"), F.lit("c@example.com"), when, F.lit("subject \x1e of its own"))
+    text = F.concat(header, F.lit("\n\n"), "stats", F.lit("\n")) if leading else F.concat(header, F.lit("\x1d\n\n"), "stats")
+    path = scratch(t.spark, "log")
+    one.select(F.col("repo_id").alias("repo"), text.alias("value")).write.partitionBy("repo").option("lineSep", "\x1d" if leading else "\n").text(path)
+    return scans.log_commits(scans.read_log(t.spark, f"{path}/*"), leading)
+
+
+_repo_of = lambda df: df.withColumn("repo_id", F.regexp_extract("file", r"/repo=(\d+)/", 1).cast("long"))
+_LOG = "select repo_id, cast(hash as varchar) as hash, case when hash % 4 = 0 then 0 when hash % 3 = 0 then 2 else 1 end as parents, min(author_email) as author_email, cast(min(authored_at) as date) as authored_on, 'subject \x1e of its own' as subject from commits group by repo_id, commits.hash"
+for _name, _leading in (("log_commits", False), ("log_commits_leading", True)):
+    query(_name, lambda t, leading=_leading: _repo_of(_log(t, leading)).select("repo_id", "hash", F.size("parents").alias("parents"), "author_email", "authored_on", "subject"), _LOG)
+query("log_files", lambda t: _repo_of(scans.log_files(_log(t, True))).select("repo_id", "hash", "filename", "added", "removed"), "select repo_id, cast(hash as varchar) as hash, cast(filename as varchar) as filename, case when filename % 7 = 0 then 0 else added end as added, case when filename % 7 = 0 then 0 else removed end as removed from commits")
+
+
+def _reports(rows: DataFrame, entry: Column, name: str, *keys: str) -> DataFrame:
+    """repo_id, json: a report of the repository's rows, in parts as large as the keys say."""
+    return rows.groupBy("repo_id", *keys).agg(F.collect_list(entry).alias("l")).select("repo_id", F.to_json(F.struct(F.col("l").alias(name))).alias("json"))
+
+
+def _sizes(t: Tables) -> DataFrame:
+    one = F.struct(F.col("file_path").alias("Location"), F.when(F.col("code_lines") % 20 > 0, F.col("language")).alias("Language"), (F.col("code_lines") + F.col("comment_lines") + F.col("blank_lines")).alias("Lines"), F.col("code_lines").alias("Code"), F.col("comment_lines").alias("Comment"), F.col("blank_lines").alias("Blank"), F.col("complexity").alias("Complexity"))
+    files = t.labor.groupBy("repo_id", "language").agg(F.collect_list(one).alias("Files"))
+    return scans.code_sizes(files.select("repo_id", F.to_json(F.array(F.struct(F.col("language").alias("Name"), "Files"))).alias("json")))
+
+
+query("code_sizes", _sizes, "select repo_id, language, file_path, code_lines + comment_lines + blank_lines as lines, code_lines, comment_lines, blank_lines, complexity from labor")
+_FOUND = ("MIT", "", " Apache-2.0 ", "GPL-3.0-only AND MIT")
+
+
+def _scanned(t: Tables) -> DataFrame:
+    k = F.col("dep_id")
+    named = lambda what: F.transform(F.sequence(F.lit(1), k % 3 + 1), lambda i: F.struct(F.concat(F.lit(what), (k % 5 + i).cast("string")).alias(what)))
+    one = F.struct(F.concat(F.lit("src/"), k.cast("string")).alias("path"), F.when(k % 11 > 0, "file").otherwise("directory").alias("type"), F.element_at(F.array(*map(F.lit, _FOUND)), (k % 4 + 1).cast("int")).alias("detected_license_expression_spdx"), F.lit(50.0).alias("percentage_of_license_text"), F.when(k % 4 > 0, named("copyright")).alias("copyrights"), named("holder").alias("holders"))
+    return scans.licence_scan(_reports(t.deps, one, "files", "manager"))
+
+
+_SCANNED = f"""with f as (select repo_id, dep_id, 'src/' || dep_id as path, ['{"', '".join(_FOUND)}'][dep_id % 4 + 1] as l from deps where dep_id % 11 > 0), h as (select repo_id, path, 'holder' || (dep_id % 5 + i) as holder from f, unnest([1, 2, 3]) as u(i) where i <= dep_id % 3 + 1)"""
+query("scan_file_list", lambda t: scans.scan_file_list(_scanned(t)), f"{_SCANNED} select repo_id, path, trim(l) as licence, case when dep_id % 4 = 0 then '' else 'copyright' || (dep_id % 5 + 1) || case when dep_id % 3 > 0 then ' (+' || (dep_id % 3) || ' more)' else '' end end as copyright from f")
+query("source_licence_counts", lambda t: scans.source_licence_counts(_scanned(t)), f"{_SCANNED} select repo_id, trim(l) as licence, count(*) as n, trim(l) in ('MIT', 'Apache-2.0') as is_osi from f where l <> '' group by all")
+query("copyright_holders", lambda t: scans.copyright_holders(_scanned(t)), f"{_SCANNED} select repo_id, holder, count(distinct path) as files from h group by all")
+query("sbom_enrichment", lambda t: scans.sbom_enrichment(_scanned(t)).select("repo_id", "licence", F.array_join("holders", ",").alias("holders")), f"{_SCANNED}, a as (select repo_id, string_agg(v, ' AND ' order by v) as licence from (select distinct repo_id, trim(l) as v from f where l <> '') group by 1), b as (select repo_id, string_agg(holder, ',' order by holder) as holders from (select distinct repo_id, holder from h) group by 1) select * from a full join b using (repo_id)")
+query(
+    "scorecard_checks",
+    lambda t: scans.scorecard_checks(_reports(t.repo_info, F.struct(F.concat(F.lit("check"), F.col("info_id").cast("string")).alias("name"), (F.col("stars") % 11 - 1).alias("score"), F.when(F.col("info_id") % 2 > 0, "why").alias("reason"), F.when(F.col("info_id") % 3 > 0, F.array(F.lit("d"))).alias("details")), "checks")),
+    "select repo_id, 'check' || info_id as name, cast(stars % 11 - 1 as int) as score, case when info_id % 2 > 0 then 'why' end as reason, case when info_id % 3 > 0 then '[\"d\"]' else '[]' end as details from repo_info",
+)
+
+
+def _findings(t: Tables) -> DataFrame:
+    """An answer for every second package, with one or two findings; every third has no vector."""
+    k, name, purl = F.col("dep_id"), F.concat(F.lit("pkg"), F.col("dep_id").cast("string")), F.concat(F.lit("pkg:npm/"), F.col("dep_id").cast("string")).alias("purl")
+    vector = F.element_at(F.array(*map(F.lit, VECTORS)), (k % len(VECTORS) + 1).cast("int"))
+    events = F.array(F.struct(F.concat(F.lit("1."), k.cast("string")).alias("introduced"), F.lit(None).cast("string").alias("fixed")), F.struct(F.lit(None).cast("string").alias("introduced"), F.lit("9.9").alias("fixed")))
+    other = F.struct(F.struct(F.lit("other").alias("name")).alias("package"), F.array(F.struct(F.array(F.struct(F.lit("0").alias("introduced"), F.lit("0").alias("fixed"))).alias("events"))).alias("ranges"))
+    mine = F.struct(F.struct(name.alias("name")).alias("package"), F.array(F.struct(events.alias("events"))).alias("ranges"))
+    one = F.struct(F.concat(F.lit("F-"), k.cast("string")).alias("id"), F.array(F.lit("X"), F.concat(F.lit("CVE-"), k.cast("string"))).alias("aliases"), F.when(k % 3 > 0, F.array(F.struct(F.lit("CVSS_V2").alias("type"), F.lit("no").alias("score")), F.struct(F.lit("CVSS_V3").alias("type"), vector.alias("score")))).alias("severity"), F.array(other, mine).alias("affected"))
+    bare = F.struct(F.concat(F.lit("G-"), k.cast("string")).alias("id"), *(F.lit(None).alias(c) for c in ("aliases", "severity", "affected")))
+    answers = t.deps.filter("dep_id % 2 = 0").select(purl, F.to_json(F.struct(F.when(k % 4 == 0, F.array(one)).otherwise(F.array(one, bare.cast(_kind(one, t)))).alias("vulns"))).alias("json"))
+    return scans.vulnerabilities(t.deps.select("repo_id", purl, name.alias("name")), answers)
+
+
+def _kind(column: Column, t: Tables):
+    return t.deps.select(column.alias("c")).schema["c"].dataType
+
+
+query(
+    "vulnerabilities_scanned",
+    _findings,
+    f"""with v as (select repo_id, dep_id, case when dep_id % 3 > 0 then ['{"', '".join(VECTORS)}'][dep_id % {len(VECTORS)} + 1] else '' end as vector from deps where dep_id % 2 = 0),
+        s as (select *, case when vector = '' then 0.0 else [9.8, 7.5, 4.0, 6.5][dep_id % 4 + 1] end as score from v)
+        select repo_id, 'pkg:npm/' || dep_id as purl, 'pkg' || dep_id as name, 'F-' || dep_id as finding, 'CVE-' || dep_id as cve, vector, cast(score as double) as score, case when score >= 9 then 'CRITICAL' when score >= 7 then 'HIGH' when score >= 4 then 'MEDIUM' else 'UNKNOWN' end as severity, '1.' || dep_id as introduced, '9.9' as fixed from s
+        union all select repo_id, 'pkg:npm/' || dep_id, 'pkg' || dep_id, 'G-' || dep_id, '', '', 0, 'UNKNOWN', '', '' from s where dep_id % 4 > 0""",
+)
+query("foundation_projects", lambda t: scans.foundation_projects(t.repos.groupBy(F.when(F.col("repo_group_id") % 2 == 0, "graduated").otherwise("incubating").alias("status"), "repo_group_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.lower("repo_name"), F.struct(F.col("repo_name").alias("name"), F.col("repo_git").alias("homepage")))))).alias("json"))), "select lower(repo_name) as slug, repo_name as name, repo_git as homepage, case when repo_group_id % 2 = 0 then 'graduated' else 'incubating' end as status from repos")
+
+# A registry with two versions of each package, years apart, and licences that only classifiers tell.
+_MANAGED = ("npm", "pypi", "go", "cargo", "rubygems", "maven", "packagist", "hex", "nuget", "pub", "swiftpm", "hackage")
+
+
+def _versions(t: Tables) -> DataFrame:
+    k = F.col("dep_id")
+    manager, name = F.element_at(F.array(*map(F.lit, _MANAGED)), (k % len(_MANAGED) + 1).cast("int")).alias("manager"), F.concat(F.lit("pkg"), k.cast("string")).alias("name")
+    deps = t.deps.select("dep_id", manager, name, F.when(k % 3 == 0, F.lit("1")).when(k % 3 == 1, F.lit("1.0.0")).otherwise(F.lit("7.7")).alias("version"))
+    row = lambda version, at, licence, latest: F.struct(F.lit(version).alias("version"), F.lit(at).alias("released_at"), licence.alias("licence"), F.lit(latest).alias("is_latest"))
+    both = F.explode(F.array(row("1.0.0", "2020-01-01T00:00:00Z", F.when(k % 2 == 0, "ISC").otherwise(""), False), row("2.0.0", "2021-01-01T00:00:00Z", F.lit("UNKNOWN"), True)))
+    tags = F.array(F.lit("Topic :: X"), F.lit("License :: OSI Approved :: Apache Software License"), F.lit("License :: OSI Approved :: MIT License"))
+    registry = t.deps.select(manager, name, both.alias("r"), tags.alias("classifiers")).select("manager", "name", "r.*", "classifiers")
+    return manifests.registry_join(deps, manifests.with_classifiers(registry)).select("dep_id", "manager", "latest_version", "current_released", "licence", F.round("libyear", 6).alias("libyear"))
+
+
+query(
+    "registry_versions",
+    _versions,
+    f"""with d as (select dep_id, ['{"', '".join(_MANAGED)}'][dep_id % {len(_MANAGED)} + 1] as manager from deps)
+        select dep_id, manager, '2.0.0' as latest_version, case when dep_id % 3 < 2 then '2020-01-01T00:00:00Z' end as current_released, case when dep_id % 3 < 2 and dep_id % 2 = 0 then 'ISC' when manager = 'pypi' then 'Apache-2.0' else 'Unknown' end as licence,
+        case when dep_id % 3 < 2 and manager <> 'maven' then round(366 / 365, 6) else 0.0 end as libyear from d""",
+)

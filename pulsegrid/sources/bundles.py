@@ -114,3 +114,47 @@ def child(rows: DataFrame, entity: str) -> DataFrame:
 def changes(rows: DataFrame) -> list[Merge]:
     """The merges of all child tables, for one commit. rows: of ``fan_out``, written or kept, as each table reads them."""
     return [Merge(entity, child(rows, entity), keys_of(entity)) for entity in CHILDREN]
+
+
+#: Tables of a listing: names of their slots.
+LISTED = {
+    "issues": {"text": "title", "name": "state", "user_id": "author_id", "login": "author", "at": "created_at", "updated_at": "updated_at", "closed_at": "closed_at"},
+    "pull_requests": {"text": "title", "name": "state", "user_id": "author_id", "login": "author", "at": "created_at", "updated_at": "updated_at", "closed_at": "closed_at"},
+    "issue_messages": {"id": "msg_id", "text": "msg_text", "user_id": "author_id", "login": "author", "at": "msg_timestamp"},
+}
+_LIST_SLOTS = {"id": "long", "text": "string", "name": "string", "user_id": "long", "login": "string", "at": "timestamp", "updated_at": "timestamp", "closed_at": "timestamp"}
+
+
+def split_listing(staged: DataFrame) -> DataFrame:
+    """seq, repo_id, number, entity and slots: issues, their messages and pull requests of combined listing pages, from one parse.
+
+    staged: seq, repo_id, payload. Nodes without a number and messages without an id are left out.
+    """
+    item = f"number: long, title: string, state: string, createdAt: timestamp, updatedAt: timestamp, closedAt: timestamp, mergedAt: timestamp, author: {_USER}"
+    comments = _nodes(f"databaseId: long, body: string, createdAt: timestamp, author: {_USER}")
+    schema = f"struct<repository: struct<issues: {_nodes(f'{item}, comments: {comments}')}, pullRequests: {_nodes(item)}>>"
+    page = staged.select("seq", "repo_id", F.from_json(strip_json_nul(F.col("payload")), schema)["repository"].alias("r"))
+    kind = f"struct<number: long, entity: string, {', '.join(f'{s}: {t}' for s, t in _LIST_SLOTS.items())}>"
+
+    def row(entity: str, number: Column, **slots: Column) -> Column:
+        return F.struct(number.alias("number"), F.lit(entity).alias("entity"), *(slots.get(s, F.lit(None)).cast(t).alias(s) for s, t in _LIST_SLOTS.items()))
+
+    def items(entity: str, n: Column) -> Column:
+        state = F.lower(n["state"]) if entity == "issues" else pr_state(n["state"], n["mergedAt"])
+        return row(entity, n["number"], text=n["title"], name=state, user_id=n["author"]["databaseId"], login=n["author"]["login"], at=n["createdAt"], updated_at=n["updatedAt"], closed_at=n["closedAt"])
+
+    def talk(n: Column) -> Column:
+        said = F.filter(n["comments"]["nodes"], lambda c: c["databaseId"].isNotNull())
+        return F.transform(said, lambda c: row("issue_messages", n["number"], id=c["databaseId"], text=c["body"], user_id=c["author"]["databaseId"], login=c["author"]["login"], at=c["createdAt"]))
+
+    none = F.array().cast(f"array<{kind}>")
+    nodes = lambda path: F.filter(F.col(f"r.{path}.nodes"), lambda n: n["number"].isNotNull())
+    parts = (F.transform(nodes("issues"), lambda n: items("issues", n)), F.flatten(F.transform(nodes("issues"), lambda n: F.coalesce(talk(n), none))), F.transform(nodes("pullRequests"), lambda n: items("pull_requests", n)))
+    return page.select("seq", "repo_id", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("c")).select("seq", "repo_id", "c.*")
+
+
+def listed(rows: DataFrame, entity: str) -> DataFrame:
+    """One table of a split listing: the newest row of each number, or of each message."""
+    key = ["repo_id", "id"] if entity == "issue_messages" else ["repo_id", "number"]
+    out = dedupe(rows.filter(F.col("entity") == entity), key, [F.desc("seq"), *map(F.col, _LIST_SLOTS)])
+    return out.select("repo_id", "number", *(F.col(s).alias(n) for s, n in LISTED[entity].items()))

@@ -137,6 +137,12 @@ def package_url(manager: Column, name: Column, version: Column) -> Column:
     return F.concat(F.lit("pkg:"), kinds[manager], F.lit("/"), plain, F.when(version != "", F.concat(F.lit("@"), version)).otherwise(""))
 
 
+def with_classifiers(registry: DataFrame) -> DataFrame:
+    """The registry (with a column classifiers: array<string>), pypi's missing or unknown licences taken from the classifiers."""
+    lacking = (F.col("manager") == "pypi") & F.upper(F.trim(F.coalesce("licence", F.lit("")))).isin("", "UNKNOWN")
+    return registry.withColumn("licence", F.when(lacking, S.classifier_licence(F.col("classifiers"))).otherwise(F.col("licence"))).drop("classifiers")
+
+
 def registry_join(deps: DataFrame, registry: DataFrame) -> DataFrame:
     """deps with purl, latest_version, current_released, latest_released, licence, libyear.
 

@@ -21,22 +21,26 @@ def rfc3339(raw: Column) -> Column:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """file, k, value: the pieces between header ends, one log file per repository."""
+    """file, k, value: the pieces between separators, one or more log files per repository."""
     return spark.read.option("lineSep", COMMIT).text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("k"), "value")
 
 
-def log_commits(pieces: DataFrame) -> DataFrame:
+def log_commits(pieces: DataFrame, leading: bool = False) -> DataFrame:
     """file, hash, parents, author and committer (name, email, date), subject, stats (the lines that follow the header).
 
-    A piece ends with a commit's header; the next one begins with that commit's lines. Headers of fewer than nine
-    fields are dropped; a separator in the subject stays in it.
+    With the separator after each header, a piece ends with a commit's header and the next one begins with that commit's lines;
+    a window over each file brings them together, so a file is one task's work. With ``leading``, the separator stands before each
+    header, a piece is a whole commit, and files of any length are read in parallel: ask for logs of this form where they
+    are large. Headers of fewer than nine fields are dropped; a separator in the subject stays in it.
     """
-    w = Window.partitionBy("file").orderBy("k")
-    header, rest = F.trim(F.regexp_extract("value", r"([^\n]*)\z", 1)), F.regexp_replace("value", r"[^\n]*\z", "")
-    rows = pieces.select("file", "k", F.split(header, FIELD, 9).alias("f"), rest.alias("before")).withColumn("stats", F.lead("before").over(w))
+    if leading:
+        rows = pieces.select("file", F.trim(F.regexp_extract("value", r"\A\n*([^\n]*)", 1)).alias("header"), F.regexp_replace("value", r"\A\n*[^\n]*", "").alias("stats"))
+    else:
+        header, rest = F.trim(F.regexp_extract("value", r"([^\n]*)\z", 1)), F.regexp_replace("value", r"[^\n]*\z", "")
+        rows = pieces.select("file", "k", header.alias("header"), rest.alias("before")).withColumn("stats", F.lead("before").over(Window.partitionBy("file").orderBy("k")))
+    rows = rows.withColumn("f", F.split("header", FIELD, 9)).filter(F.size("f") == 9)
     names = ("hash", None, "author_name", "author_email", "author_date", "committer_name", "committer_email", "committer_date", "subject")
     parents = F.filter(F.split(F.col("f")[1], r"\s+"), lambda p: p != "")
-    rows = rows.filter(F.size("f") == 9)
     return rows.select("file", *(F.col("f")[i].alias(n) for i, n in enumerate(names) if n), parents.alias("parents"), "stats", date_prefix(F.col("f")[4]).alias("authored_on"), rfc3339(F.col("f")[4]).alias("authored_at"))
 
 
