@@ -830,15 +830,11 @@ def _findings(t: Tables) -> DataFrame:
     other = F.struct(F.struct(F.lit("other").alias("name")).alias("package"), F.array(F.struct(F.array(F.struct(F.lit("0").alias("introduced"), F.lit("0").alias("fixed"))).alias("events"))).alias("ranges"))
     mine = F.struct(F.struct(name.alias("name")).alias("package"), F.array(F.struct(events.alias("events"))).alias("ranges"))
     one = F.struct(F.concat(F.lit("F-"), k.cast("string")).alias("id"), F.array(F.lit("X"), F.concat(F.lit("CVE-"), k.cast("string"))).alias("aliases"), F.when(k % 3 > 0, F.array(F.struct(F.lit("CVSS_V2").alias("type"), F.lit("no").alias("score")), F.struct(F.lit("CVSS_V3").alias("type"), vector.alias("score")))).alias("severity"), F.array(other, mine).alias("affected"))
-    bare = F.struct(F.concat(F.lit("G-"), k.cast("string")).alias("id"), *(F.lit(None).alias(c) for c in ("aliases", "severity", "affected")))
-    answers = t.deps.filter("dep_id % 2 = 0").select(purl, F.to_json(F.struct(F.when(k % 4 == 0, F.array(one)).otherwise(F.array(one, bare.cast(_kind(one, t)))).alias("vulns"))).alias("json"))
+    bare = F.struct(F.concat(F.lit("G-"), k.cast("string")).alias("id"), *(F.when(k < 0, one[c]).alias(c) for c in ("aliases", "severity", "affected")))
+    answers = t.deps.filter("dep_id % 2 = 0").select(purl, F.to_json(F.struct(F.when(k % 4 == 0, F.array(one)).otherwise(F.array(one, bare)).alias("vulns"))).alias("json"))
     return scans.vulnerabilities(t.deps.select("repo_id", purl, name.alias("name")), answers)
 
 
-def _kind(column: Column, t: Tables):
-    return t.deps.select(column.alias("c")).schema["c"].dataType
-
-
 query(
     "vulnerabilities_scanned",
     _findings,
