@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import chunks, lowered_words, mix, new_path, read_columns, table, texts
 
 STATES, CLASSES, ROUNDS = 4, 1 << 12, 3
+#: Tokens of a block: longer texts are cut into blocks, whose products are joined (exact, whatever the size).
+BLOCK = 1024
 FREQUENT = 5_000_000
 #: Training texts whose class counts start the states apart; Baum-Welch itself reads all.
 SEED_TEXTS = 200
@@ -86,18 +88,67 @@ def _frequent(path: str) -> tuple[np.ndarray, np.ndarray]:
     return _loaded[path]
 
 
-def _forward(log_b: np.ndarray, a: np.ndarray, start: np.ndarray, classes: np.ndarray, at: np.ndarray, keep: bool = False):
-    """Scaled forward recursion for several texts at once. Returns log10 likelihoods and, if asked, the scaled alphas."""
+def _blocks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the blocks of the texts begin (n + 1), the text of each and its place there; a text has at least one."""
+    n = np.diff(at)
+    many = np.maximum(1, -(-n // BLOCK))
+    text = np.repeat(np.arange(len(n)), many)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return np.r_[at[:-1][text] + place * BLOCK, at[-1:]], text, place
+
+
+def _transfer(b: np.ndarray, a: np.ndarray, classes: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Scaled products of the steps in each of the blocks ``which``, from before its first token's emission to after its last one's."""
+    begin, n = at[:-1][which], np.diff(at)[which]
+    order = np.argsort(-n, kind="stable")
+    begin, n = begin[order], n[order]
+    product, active = np.tile(np.eye(len(a)), (len(n), 1, 1)), len(n)
+    for t in range(int(n[0]) if len(n) else 0):
+        while active and n[active - 1] <= t:
+            active -= 1
+        step = (product[:active] @ a if t else product[:active]) * b[classes[begin[:active] + t]][:, None, :]
+        product[:active] = step / step.sum((1, 2), keepdims=True)
+    out = np.empty_like(product)
+    out[order] = product
+    return out
+
+
+def _ends(b: np.ndarray, a: np.ndarray, start: np.ndarray, classes: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State weights before each block's first token and, backwards, after its last one.
+
+    The blocks of a long text are multiplied step by step all at once and then joined, so the Python steps for
+    a text of n tokens are BLOCK + n / BLOCK instead of n.
+    """
+    before, after = np.tile(start, (len(place), 1)), np.ones((len(place), len(start)))
+    inner = np.flatnonzero((place > 0) | (np.r_[place[1:], 0] > 0))  # blocks of texts that have several
+    if not len(inner):
+        return before, after
+    slot = np.zeros(len(place), np.int64)
+    slot[inner] = np.arange(len(inner))
+    product = _transfer(b, a, classes, at, inner)
+    later = np.flatnonzero(place > 0)
+    by_place = np.split(later[np.argsort(place[later], kind="stable")], np.cumsum(np.bincount(place[later])[1:])[:-1])
+    for j in by_place:
+        out = np.einsum("ni,nij->nj", before[j - 1], product[slot[j - 1]])
+        before[j] = out / out.sum(1, keepdims=True) @ a
+    for j in reversed(by_place):
+        back = np.einsum("nij,nj->ni", product[slot[j]], after[j]) @ a.T
+        after[j - 1] = back / back.sum(1, keepdims=True)
+    return before, after
+
+
+def _run_blocks(b: np.ndarray, a: np.ndarray, before: np.ndarray, classes: np.ndarray, at: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scaled forward recursion in all blocks at once: log10 of the scales by block and, if asked, the scaled alphas."""
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
     begin, n = at[:-1][order], n[order]
     total = np.zeros(len(n))
-    alphas = np.zeros((len(classes), len(start))) if keep else None
-    alpha, active = np.tile(start, (len(n), 1)), len(n)
+    alphas = np.zeros((len(classes), before.shape[1])) if keep else None
+    alpha, active = before[order], len(n)
     for t in range(int(n[0]) if len(n) else 0):
         while active and n[active - 1] <= t:
             active -= 1
-        alpha = (alpha[:active] @ a if t else alpha[:active]) * log_b[classes[begin[:active] + t]]
+        alpha = (alpha[:active] @ a if t else alpha[:active]) * b[classes[begin[:active] + t]]
         scale = alpha.sum(1)
         alpha /= scale[:, None]
         total[:active] += np.log10(scale)
@@ -108,29 +159,47 @@ def _forward(log_b: np.ndarray, a: np.ndarray, start: np.ndarray, classes: np.nd
     return out, alphas
 
 
+def _forward(b: np.ndarray, a: np.ndarray, start: np.ndarray, classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 likelihoods of several texts at once, and their parts by block."""
+    cuts, text, place = _blocks(at)
+    before, _ = _ends(b, a, start, classes, cuts, place)
+    logs, _ = _run_blocks(b, a, before, classes, cuts, False)
+    return np.bincount(text, logs, len(at) - 1), logs
+
+
 def _expected(b: np.ndarray, a: np.ndarray, start: np.ndarray, classes: np.ndarray, at: np.ndarray):
     """Expected state-by-class, transition and start counts (Baum-Welch E step)."""
-    _, alphas = _forward(b, a, start, classes, at, keep=True)
-    n = np.diff(at)
+    cuts, _, place = _blocks(at)
+    before, after = _ends(b, a, start, classes, cuts, place)
+    _, alphas = _run_blocks(b, a, before, classes, cuts, True)
+    n = np.diff(cuts)
     order = np.argsort(-n, kind="stable")
-    begin, n = at[:-1][order], n[order]
+    begin, n, after = cuts[:-1][order], n[order], after[order]
     gamma, moves = np.zeros_like(alphas), np.zeros_like(a)
-    beta, active = np.zeros((len(n), len(start))), 0
+    beta, active = after.copy(), 0
+
+    def between(here: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        back = ahead @ a.T
+        scale = (alphas[here] * back).sum(1)[:, None]
+        return a * ((alphas[here] / scale).T @ ahead), back / scale
+
     for t in range(int(n[0]) - 1 if len(n) else -1, -1, -1):
         more = active
         while more < len(n) and n[more] > t:
             more += 1
         here = begin[:more] + t
         if active:
-            ahead = beta[:active] * b[classes[begin[:active] + t + 1]]
-            back = ahead @ a.T
-            scale = (alphas[here[:active]] * back).sum(1)
-            moves += a * ((alphas[here[:active]] / scale[:, None]).T @ ahead)
-            beta[:active] = back / scale[:, None]
-        beta[active:more] = 1
+            found, beta[:active] = between(here[:active], beta[:active] * b[classes[begin[:active] + t + 1]])
+            moves += found
         active = more
         gamma[here] = alphas[here] * beta[:active]
     gamma /= gamma.sum(1, keepdims=True)
+    first = np.empty_like(beta)
+    first[order] = beta
+    later = np.flatnonzero(place > 0)
+    if len(later):  # the steps from block to block
+        at_first = cuts[:-1][later]
+        moves += between(at_first - 1, first[later] * b[classes[at_first]])[0]
     emit = np.stack([np.bincount(classes, gamma[:, k], b.shape[0]) for k in range(len(start))], 1)
     return emit, moves, gamma[at[:-1][np.diff(at) > 0]].sum(0)
 
