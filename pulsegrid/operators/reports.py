@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .store import scratch
 
 
 def licence_counts(rows: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -48,24 +49,67 @@ def resolve_identities(commits: DataFrame, contributors: DataFrame, aliases: Dat
     return out.select("email", F.when(~S.is_bot(F.col("email")), F.coalesce("own", "via")).alias("cntrb_id"), how.alias("how"))
 
 
+#: Numbers of a repository that one task counts; longer runs are added up from their counts.
+SPAN = 1 << 16
+
+
+def _running(rows: DataFrame, flag: str, name: str) -> DataFrame:
+    """Running sum of a flag by number within each repository, in spans of numbers, so that a large repository is many tasks' work."""
+    rows = rows.withColumn("__span", F.floor(F.col("number") / SPAN))
+    before = Window.partitionBy("repo_id").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("repo_id", "__span").agg(F.sum(flag).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    within = Window.partitionBy("repo_id", "__span").orderBy("number")
+    out = rows.withColumn(name, F.sum(flag).over(within)).join(sums.drop("__n"), ["repo_id", "__span"])
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__span", "__before")
+
+
 def gaps(expected: DataFrame, collected: DataFrame) -> DataFrame:
     """(repo_id, first, last, n): runs of expected numbers that are not collected. Both: repo_id, number."""
-    marked = expected.distinct().join(collected.distinct().withColumn("have", F.lit(True)), ["repo_id", "number"], "left")
-    w = Window.partitionBy("repo_id").orderBy("number")
-    runs = marked.withColumn("run", F.sum(F.when(F.col("have"), 1).otherwise(0)).over(w)).filter("have is null")
+    marked = expected.distinct().join(collected.distinct().withColumn("have", F.lit(1)), ["repo_id", "number"], "left").fillna(0, ["have"])
+    runs = _running(marked, "have", "run").filter("have = 0")
     return runs.groupBy("repo_id", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.count("*").alias("n")).drop("run")
 
 
 def gap_edges(found: DataFrame, collected: DataFrame, edge: int = 2) -> DataFrame:
-    """Numbers to fetch: those in the gaps and up to ``edge`` collected neighbours at each side."""
-    w = Window.partitionBy("repo_id").orderBy("number")
-    both = collected.distinct().select("repo_id", "number", F.lit(1).alias("c")).unionByName(found.select("repo_id", F.col("first").alias("number"), F.lit(0).alias("c")))
-    both = both.withColumn("before", F.sum("c").over(w))
-    start = both.filter("c = 0").select("repo_id", F.col("number").alias("first"), "before")
-    ranked = both.filter("c = 1").select("repo_id", "number", F.col("before").alias("k"))
-    near = start.join(ranked, "repo_id").filter((F.col("k") > F.col("before") - edge) & (F.col("k") <= F.col("before") + edge)).select("repo_id", "number")
+    """Numbers to fetch: all from the first to the last of each gap and up to ``edge`` collected neighbours at each side."""
+    ends = found.select("repo_id", F.explode(F.array(*(F.struct(F.col(c).alias("number"), F.lit(side).alias("side")) for c, side in (("first", -1), ("last", 1))))).alias("e"))
+    both = collected.distinct().select("repo_id", "number", F.lit(0).alias("side"), F.lit(1).alias("c")).unionByName(ends.select("repo_id", "e.*", F.lit(0).alias("c")))
+    both = _running(both, "c", "k")  # an end of a gap: how many are collected below it; a collected number: its rank
+    near = F.when(F.col("side") < 0, F.sequence(F.col("k") - edge + 1, F.col("k"))).otherwise(F.sequence(F.col("k") + 1, F.col("k") + edge)) if edge else F.array().cast("array<long>")
+    wanted = both.filter("side <> 0").select("repo_id", F.explode(near).alias("k")).distinct()
+    sides = both.filter("side = 0").join(wanted, ["repo_id", "k"], "left_semi").select("repo_id", "number")
     inner = found.select("repo_id", F.explode(F.sequence("first", "last")).alias("number"))
-    return inner.unionByName(near).distinct()
+    return inner.unionByName(sides).distinct()
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that those who read them several times plan and run them once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def fill_plan(expected: DataFrame, collected: DataFrame, told: DataFrame, size: int, threshold: float = 5, edge: int = 2) -> DataFrame:
+    """repo_id, number, shard: what to fetch again where more than ``threshold`` percent of the items told of are not collected.
+
+    told: repo_id, n. Numbers are cut in order into as few shards of at most ``size`` as will do, whose sizes differ by one at most.
+    """
+    gathered = collected.distinct().groupBy("repo_id").agg(F.count("*").alias("gathered"))
+    due = told.join(gathered, "repo_id", "left").filter(S.gap_percent(F.coalesce("gathered", F.lit(0)), F.col("n")) > threshold).select("repo_id").distinct()
+    have = _written(collected.join(due, "repo_id", "left_semi").distinct(), "collected")
+    found = _written(gaps(expected.join(due, "repo_id", "left_semi"), have), "gaps")
+    numbers = _written(gap_edges(found, have, edge), "numbers")
+    counts = numbers.groupBy("repo_id").agg(F.count("*").alias("all")).withColumn("shards", S.shard_count(F.col("all"), F.lit(size)))
+    rows = _running(numbers.withColumn("one", F.lit(1)), "one", "k").join(counts, "repo_id")
+    least, more, at = F.floor(F.col("all") / F.col("shards")), F.col("all") % F.col("shards"), F.col("k") - 1
+    long_part = more * (least + 1)
+    shard = F.when(at < long_part, F.floor(at / (least + 1))).otherwise(more + F.floor((at - long_part) / F.greatest(least, F.lit(1))))
+    return rows.select("repo_id", "number", (shard + 1).cast("long").alias("shard"))
+
+
+def missed(planned: DataFrame, staged: DataFrame) -> DataFrame:
+    """Numbers of the plan that no shard has staged: those to fetch once more."""
+    return planned.select("repo_id", "number").distinct().join(staged, ["repo_id", "number"], "left_anti")
 
 
 def compare(series: DataFrame, mode: str) -> DataFrame:

@@ -334,6 +334,19 @@ query(
     """with m as (select repo_id, id as number, id % 10 not in (3, 4, 7) as have from items), r as (select *, sum(case when have then 1 else 0 end) over (partition by repo_id order by number) as run from m)
        select repo_id, min(number) as first, max(number) as last, count(*) as n from r where not have group by repo_id, run""",
 )
+_half = lambda t: _expected(t).filter("case when repo_id % 2 = 0 then number % 10 not in (3, 4, 7) else number % 50 <> 3 end")
+query(
+    "gap_fill_plan",
+    lambda t: reports.fill_plan(_expected(t), _half(t), t.items.groupBy("repo_id").agg(F.count("*").alias("n")), 40),
+    """with m as (select repo_id, id as number, case when repo_id % 2 = 0 then id % 10 not in (3, 4, 7) else id % 50 <> 3 end as have from items),
+       due as (select repo_id from m group by 1 having count(*) filter (where not have) * 100.0 / count(*) > 5),
+       c as (select *, row_number() over (partition by repo_id order by number) as k from m where have),
+       r as (select *, sum(case when have then 1 else 0 end) over (partition by repo_id order by number) as run from m where repo_id in (select repo_id from due)),
+       g as (select repo_id, run, min(number) as first, max(number) as last from r where not have group by repo_id, run),
+       f as (select repo_id, unnest(range(first, last + 1)) as number from g union select g.repo_id, c.number from g join c on c.repo_id = g.repo_id and c.k between run - 1 and run + 2),
+       p as (select *, ceil(count(*) over (partition by repo_id) / 40.0) as shards, count(*) over (partition by repo_id) as n, row_number() over (partition by repo_id order by number) - 1 as pos from f)
+       select repo_id, number, cast(1 + case when pos < n % shards * (floor(n / shards) + 1) then floor(pos / (floor(n / shards) + 1)) else n % shards + floor((pos - n % shards * (floor(n / shards) + 1)) / floor(n / shards)) end as bigint) as shard from p""",
+)
 _shards = lambda t: _expected(t).withColumn("shard", F.ntile(4).over(Window.partitionBy("repo_id").orderBy("number")).cast("long"))
 query("shards", _shards, "select repo_id, id as number, ntile(4) over (partition by repo_id order by id) as shard from items")
 query("reconcile", lambda t: _expected(t).join(_collected(t), ["repo_id", "number"], "left_anti").distinct(), "select distinct repo_id, id as number from items where id % 10 in (3, 4, 7)")
