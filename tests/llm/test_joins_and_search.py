@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import DATA, assert_same, duck
 
 from pulsegrid.llm import kdtree, ngram_join, queries
+from pulsegrid.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -135,3 +137,16 @@ def test_template_pages_that_cannot_link_meet_in_no_block(spark, monkeypatch):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_groups(rows)
     assert sum(met) == 0 and sum(measured) < len(rows)
+
+
+def test_join_leaves_no_shuffle_files_and_no_sketch(spark, tmp_path):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    dirs = [Path(str(d)) for d in env.blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f.name for d in dirs for f in d.glob("*/shuffle_*.data")}
+    scratch = Path(shared_dir(spark).removeprefix("file://"))
+    before, sketches = shuffles(), set(scratch.glob("ngram-sketch-*"))
+    rows = near_copies(3, 60)
+    out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id"))
+    assert not shuffles() - before
+    assert not set(scratch.glob("ngram-sketch-*")) - sketches
+    assert out.count() == len({doc for doc, _ in rows})
