@@ -150,11 +150,13 @@ def registry_join(deps: DataFrame, registry: DataFrame) -> DataFrame:
     padded to three parts; its licence is its own or else the newest's, normalised; maven has no libyear.
     """
     facts = F.struct("version", "released_at", "licence")
-    newest = registry.filter("is_latest").groupBy("manager", "name").agg(F.max_by(facts, F.struct("released_at", "version")).alias("newest"))
+    # Dealt out before anything is sorted, and merged: a small file can hold many packages, whose number no file size tells.
+    registry = registry.repartition("manager", "name")
+    newest = registry.filter("is_latest").groupBy("manager", "name").agg(F.max_by(facts, F.struct("released_at", "version")).alias("newest")).hint("merge")
     one = registry.groupBy("manager", "name", "version").agg(F.max_by(facts, "released_at").alias("own"))
     deps = deps.filter(~((F.col("manager") == "npm") & F.col("name").startswith("-")))
-    padded = one.select("manager", "name", F.col("version").alias("__padded"), F.col("own").alias("__own"))
-    out = deps.join(newest, ["manager", "name"], "left").join(one, ["manager", "name", "version"], "left")
+    padded = one.select("manager", "name", F.col("version").alias("__padded"), F.col("own").alias("__own")).hint("merge")
+    out = deps.join(newest, ["manager", "name"], "left").join(one.hint("merge"), ["manager", "name", "version"], "left")
     out = out.withColumn("__padded", S.version_pad(F.col("version"))).join(padded, ["manager", "name", "__padded"], "left").withColumn("own", F.coalesce("own", "__own"))
     licence = S.spdx(F.coalesce(F.nullif(F.trim("own.licence"), F.lit("")), F.col("newest.licence")))
     years = F.when(F.col("manager") == "maven", 0.0).otherwise(S.libyear(F.col("own.released_at"), F.col("newest.released_at")))

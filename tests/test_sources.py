@@ -116,3 +116,11 @@ def test_reports(spark):
     projects = spark.createDataFrame([(json.dumps({"x": {"name": "X", "homepage": "h"}}), "graduated")], "json string, status string")
     assert [(r["slug"], r["name"], r["status"]) for r in scans.foundation_projects(projects).collect()] == [("x", "X", "graduated")]
     assert spark.range(1).select(scans.date_prefix(F.lit("2024-13-01"))).first()[0] is None
+
+
+def test_registry_join_broadcasts_no_packages(spark):
+    deps = spark.createDataFrame([(1, "npm", "a", "1")], "dep_id long, manager string, name string, version string")
+    registry = spark.createDataFrame([("npm", "a", "1.0.0", "2020-01-01T00:00:00Z", "ISC", True)], "manager string, name string, version string, released_at string, licence string, is_latest boolean")
+    out = manifests.registry_join(deps, registry)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["latest_version"], r["current_released"]) for r in out.collect()] == [("1.0.0", "2020-01-01T00:00:00Z")]
