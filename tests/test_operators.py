@@ -13,7 +13,7 @@ from conftest import assert_same
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators import merge, views
+from pulsegrid.operators import merge, metrics, views
 from pulsegrid.streaming import ingest
 
 CASES = [
@@ -165,3 +165,11 @@ def test_pr_response_counts_all_actions_of_the_view(spark):
     assert [row[f"{a}_count"] for a in VIEW_COUNTS] == [2 * (i + 1) for i in range(12)]
     row = views.pr_response_times(t, True, views.VIEW_ACTIONS).first()
     assert [row[f"{a}_count"] for a in VIEW_COUNTS] == [i + 1 for i in range(12)]
+
+
+def test_period_aggregates_shuffle_rows_once(spark):
+    rows = [(1, "a@x", " ", "2020-01-01", "f", 7, 2, 1, 0), (1, "a@x", None, "2020-02-01", "f", 8, None, 1, 0), (1, "a@x", None, "2020-03-01", "g", None, 3, 1, 0), (1, "a@x", "A", None, "g", 9, 3, 1, 0)]
+    commits = spark.createDataFrame(rows, "repo_id long, author_email string, affiliation string, authored_at string, filename string, hash long, added long, removed long, whitespace long")
+    out = metrics.period_aggregates(commits.withColumn("authored_at", F.col("authored_at").cast("timestamp_ntz")), "year")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "a@x", "(Unknown)", 2020, 5, 3, 0, 2, 2)]
