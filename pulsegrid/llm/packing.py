@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import CHUNK_BYTES, chunks, table, texts
 
 #: Entries of a worker's cache of white-space-separated chunks; when full it is emptied.
 CACHE = 300_000
@@ -38,9 +39,12 @@ _tokenizers: dict[str, "_Tokens"] = {}
 _PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
 
 
-def _plain(c: bytes) -> bool:
-    """Letters of a-z and Latin-1 only, which normalising leaves as they are."""
-    return c.isalpha() or (s := c.decode()).isalpha() and "ß" <= min(x for x in s if x > "\x7f") and max(s) <= "ÿ"
+#: Words of letters of a-z and of Latin-1's small ones only, which normalising leaves as they are; chunks of these, digits and marks.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_MADE = re.compile(rb"(?:[\x00-\x26\x28-\x3b\x3d-\x7f]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Marks that end a pretoken's run only where a letter or digit stands before them.
+_MARKS = ".,:;!?"
+_CLOSED = f"[a-z0-9][{_MARKS}]+$"
 
 
 class _Tokens:
@@ -65,17 +69,15 @@ class _Tokens:
         """Plain words go through in one call, parted again at their word ends; chunks of words, digits and marks are joined from these; others go one by one."""
         words, other, joined = set(), set(), {}
         for c in chunks:
-            if c.isalpha() or _plain(c):
+            if _WORD(c):
                 words.add(c)
-                continue
-            parts = [c] if b"'" in c or b"<" in c else _PARTS.findall(c)
-            if len(parts) == 1 or not all(x.isalpha() or x < b"a" or b"{" <= x < b"\x80" or _plain(x) for x in parts):
+            elif _MADE(c) and len(parts := _PARTS.findall(c)) > 1:
+                joined[c] = parts
+                for x in parts:
+                    if x not in self.kept:
+                        (words if _WORD(x) else other).add(x)
+            else:
                 other.add(c)
-                continue
-            joined[c] = parts
-            for x in parts:
-                if x not in self.kept:
-                    (words if x.isalpha() or x >= b"\x80" or b"a" <= x < b"{" else other).add(x)
         words, other = list(words), list(other)
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
@@ -97,16 +99,29 @@ class _Tokens:
 
     def encode(self, values: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for i in range(0, len(values), 64):
-            split = [(v or b"").lower().split() for v in values[i : i + 64]]
-            if len(self.kept) > CACHE:
-                self.kept.clear()
-            missing = set().union(*split).difference(self.kept)
-            if missing:
-                self.learn(list(missing))
-            get = self.kept.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+        for lo, hi in chunks(values, 2 * CHUNK_BYTES):
+            lowered = pc.ascii_lower(pa.array([v or b"" for v in values[lo:hi]], pa.binary()).cast(pa.string()))
+            split = pc.ascii_split_whitespace(lowered)
+            words = split.flatten().dictionary_encode()
+            ids = self._of(words.dictionary).take(words.indices)
+            _, at, data = ids.buffers()
+            ends = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1][split.offsets.to_numpy()].tolist()
+            data = memoryview(data) if data else b""
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                yield bytes(data[a:b])
+
+    def _of(self, distinct: pa.Array) -> pa.Array:
+        """Ids of distinct chunks; closing marks after a letter or digit are split off, so that words are kept once."""
+        closed = pc.match_substring_regex(distinct, _CLOSED)
+        stems = pc.if_else(closed, pc.ascii_rtrim(distinct, _MARKS), distinct).dictionary_encode()
+        marks = pc.if_else(closed, pc.replace_substring_regex(distinct, "(?s)^.*[a-z0-9]", ""), "").dictionary_encode()
+        both = [texts(x.dictionary) for x in (stems, marks)]
+        if len(self.kept) > CACHE:
+            self.kept.clear()
+        if missing := set().union(*both).difference(self.kept):
+            self.learn(list(missing))
+        stem, mark = (pa.array(list(map(self.kept.__getitem__, d)), pa.large_binary()).take(x.indices) for d, x in zip(both, (stems, marks), strict=True))
+        return pc.binary_join_element_wise(stem, mark, pa.scalar(b"", pa.large_binary()))
 
 
 def encoder(path: str) -> _Tokens:
