@@ -9,7 +9,7 @@ from pulsegrid import registry
 from pulsegrid.plans import binding
 
 #: Query: steps that are dealt out by the number of rows.
-STEPS = {"repo_aggregates_year": 2, "repo_aggregates_month": 2, "repo_aggregates_week": 2, "group_aggregates_month": 2, "new_contributors": 5}
+STEPS = {"repo_aggregates_year": 2, "repo_aggregates_month": 2, "repo_aggregates_week": 2, "group_aggregates_month": 2, "new_contributors": 5, "contributors_per_file": 3}
 
 
 @pytest.mark.parametrize("name", STEPS)
