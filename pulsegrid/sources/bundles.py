@@ -113,7 +113,7 @@ def child(rows: DataFrame, entity: str) -> DataFrame:
 
 def changes(rows: DataFrame) -> list[Merge]:
     """The merges of all child tables, for one commit. rows: of ``fan_out``, written or kept, as each table reads them."""
-    return [Merge(entity, child(rows, entity), keys_of(entity)) for entity in CHILDREN]
+    return [Merge(entity, child(rows, entity), keys_of(entity), scope=rows.filter(F.col("entity") == entity)) for entity in CHILDREN]
 
 
 #: Tables of a listing: names of their slots.
