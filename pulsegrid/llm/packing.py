@@ -30,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, table, texts
+from .common import CHUNK_BYTES, caches, chunks, give_back, table, texts
 
 #: Entries of a worker's cache of white-space-separated chunks; when full it is emptied.
 CACHE = 300_000
 _tokenizers: dict[str, "_Tokens"] = {}
+caches["tokens"] = _tokenizers
 #: The tokenizer's splitter parts runs of letters, single digits and runs of marks (but for apostrophes' endings and special tokens).
 _PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
 
@@ -136,6 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
+        give_back("tokens")
         enc = encoder(tokenizer)
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(7)]
