@@ -134,7 +134,7 @@ class Benchmark:
 
         # One job for all blocks; a group holds the terms of one block, which is bounded.
         spark = index.sparkSession
-        every = spark.createDataFrame([(b, -1, 0) for b in range(len(paths))], "block int, term int, n long")
+        every = spark.range(len(paths)).select(F.col("id").cast("int").alias("block"), F.lit(-1).alias("term"), F.lit(0).cast("long").alias("n"))
         counts = index.select("postings").mapInArrow(run, "block int, term int, n long").groupBy("block", "term").agg(F.sum("n").alias("n"))
         if paths:
             counts.unionByName(every).groupBy("block").applyInPandas(order, "block int").collect()  # a number for each block

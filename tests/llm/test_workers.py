@@ -6,7 +6,7 @@ import os
 
 import pyarrow as pa
 
-from pulsegrid.llm import common, ngram_join, packing
+from pulsegrid.llm import common, decontam, ngram_join, packing
 from pulsegrid.llm.queries import tokenizer_path
 
 
@@ -39,3 +39,16 @@ def test_an_empty_table_needs_no_python(spark):
     assert "ExistingRDD" not in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "Local" in plan
     for state in (ngram_join._Graph(spark, rows).measured, ngram_join._Graph(spark, rows).state, common.components(spark.range(0).selectExpr("id a", "id b"))):
         assert "ExistingRDD" not in state._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decontamination_reads_no_list(spark, monkeypatch):
+    words = " ".join(f"w{k}" for k in range(20))
+    docs = common.table(spark.createDataFrame([(1, f"a b {words} c"), (2, "nothing of it")], "doc_id long, text string"), "docs")
+    bench = common.table(spark.createDataFrame([("x", words), ("y", "nothing")], "item_id string, text string"), "bench")
+
+    def refuse(*_, **__):
+        raise AssertionError("a list that Python processes of their own would read")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    rows = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.decontaminate(docs, bench).collect()}
+    assert rows == {1: (23, 20, 1, True), 2: (3, 1, 1, True)}
