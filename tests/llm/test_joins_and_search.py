@@ -150,3 +150,21 @@ def test_join_leaves_no_shuffle_files_and_no_sketch(spark, tmp_path):
     assert not shuffles() - before
     assert not set(scratch.glob("ngram-sketch-*")) - sketches
     assert out.count() == len({doc for doc, _ in rows})
+
+
+def test_join_holds_texts_and_not_their_shingles(spark, monkeypatch):
+    rows, write, held = near_copies(5, 150), ngram_join.table, []
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "ngram-sets":
+            held.extend((f.stat().st_size, out.columns) for x in out.inputFiles() for f in [Path(x.removeprefix("file://"))])
+        return out
+
+    monkeypatch.setattr(ngram_join, "table", noted)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    long = [(10_000 + k, " ".join(f"{(k // 2) * 3000 + j:x}" for j in range(2000 + k % 2))) for k in range(40)]
+    out = ngram_join.ngram_join(spark.createDataFrame([*rows, *long], "doc_id long, text string").repartition(2)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_groups([*rows, *long])
+    shingles = 8 * sum(len(x.split()) for _, x in long)
+    assert held and sum(n for n, _ in held) < 0.7 * shingles, held
