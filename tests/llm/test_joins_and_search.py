@@ -9,9 +9,10 @@ from pathlib import Path
 import numpy as np
 import pytest
 from conftest import DATA, assert_same, duck
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import kdtree, ngram_join, queries
-from pulsegrid.llm.common import shared_dir
+from pulsegrid.llm.common import shared_dir, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -168,3 +169,17 @@ def test_join_holds_texts_and_not_their_shingles(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_groups([*rows, *long])
     shingles = 8 * sum(len(x.split()) for _, x in long)
     assert held and sum(n for n, _ in held) < 0.7 * shingles, held
+
+
+def test_large_cells_are_joined_a_part_of_the_blocks_at_a_time(spark, monkeypatch):
+    rows = [(k, " ".join(f"{(k // 2) * 100 + j:x}" for j in range(40 + k % 2))) for k in range(300)]
+    docs = table(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    cell = table(ngram_join.sketch(docs).select("c", "doc_id", "n"), "cell").cache()
+    graph = ngram_join._Graph(spark, table(ngram_join._sets(docs, cell.select("c", "doc_id")), "sets"))
+    small, seats = ngram_join._small, []
+    monkeypatch.setattr(ngram_join, "_small", lambda df: (seats.append(df.count()) if "own" in df.columns else None, small(df))[1])
+    monkeypatch.setattr(ngram_join, "MOVED_SHINGLES", 1, raising=False)
+    ngram_join._join_blocks(graph, cell.selectExpr("0L as cell", "c", "n", "c as name"))
+    assert len(seats) == 5 and sum(seats) == 5 * len(rows) and max(seats) < 3 * len(rows), seats
+    pairs = graph.named(cell.select("c", "doc_id")).groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).collect()
+    assert {(r.lo, r.hi, r.n) for r in pairs} == {(k, k + 1, 2) for k in range(0, 300, 2)}
